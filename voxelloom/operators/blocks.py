@@ -7,12 +7,17 @@ memory bounded by the block itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from voxelloom.functions.batches import binary_column, payload_view
+from voxelloom.functions.batches import binary_column, ints, payload_view
+
+Row = tuple[tuple, np.ndarray]
 
 # Pieces a task holds back, in bytes, to merge copies before they reach the shuffle.
 HELD_BYTES = 64 << 20
@@ -73,3 +78,39 @@ def paste(canvas: np.ndarray, origin: np.ndarray, low: np.ndarray, high: np.ndar
     """Merge one piece into the canvas, greatest value first."""
     target = cut(canvas, origin, low, high)
     np.maximum(target, values, out=target)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        values = ints(batch, keys)
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+        ends = np.r_[starts[1:], batch.num_rows]
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            yield tuple(values[start].tolist()), batch.slice(start, end - start)
+
+
+def fold_blocks(
+    pieces: DataFrame,
+    keys: list[str],
+    schema: pa.Schema,
+    fold: Callable[[tuple, Iterator[pa.RecordBatch]], Iterable[Row]],
+) -> DataFrame:
+    """Shuffle pieces by integer keys and turn the pieces of each key into rows.
+
+    ``fold`` reads its group as a stream of batches, so a group may be larger than memory, and yields rows
+    as (all columns but the payload, payload). The number of tasks is the session's number of shuffle
+    partitions and is not reduced for small data: the work is in Python, not in the bytes.
+    """
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pieces.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = PieceBuffer(schema)
+        for key, group in groupby(_runs(batches, keys), key=lambda part: part[0]):
+            for head, payload in fold(key, (part for _, part in group)):
+                yield from buffer.add(head, payload)
+        yield from buffer.flush()
+
+    return placed.mapInArrow(run, from_arrow_schema(schema))

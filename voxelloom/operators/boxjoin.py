@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.copies import collapse_copies, restore_copies
-from voxelloom.schema import AXES, BOX, DIMS, EXTENT, ORIGIN, VOLUME
+from voxelloom.schema import AXES, DIMS, EXTENT, ORIGIN, VOLUME
 
 # Cell lengths a request, and a tile, may span per axis before it moves to a coarser level.
 SPAN = 16
@@ -37,6 +37,10 @@ class Grid:
     tile_rows: int
     request_cells: int
 
+    def strategy(self) -> str:
+        """Send the requests out if they are few, else shuffle both sides."""
+        return "broadcast" if self.request_cells <= BROADCAST_CELLS else "shuffle"
+
 
 def _level_of(extents: list[Column], cell: tuple[int, int, int], span: int) -> Column:
     """Smallest level on which no extent is longer than ``span`` cells, in integer arithmetic."""
@@ -59,31 +63,29 @@ def _extents() -> list[Column]:
     return [F.col(c) for c in EXTENT]
 
 
+def _level(extents: list[int], cell: tuple[int, int, int], span: int) -> int:
+    """:func:`_level_of` for plain numbers."""
+    return (max(1, *(-(-e // (span * g)) for e, g in zip(extents, cell))) - 1).bit_length()
+
+
 def measure(tiles: DataFrame, requests: DataFrame, cell: tuple[int, int, int] | None = None) -> Grid:
-    """Choose the cell and find the sizes of both sides from two small aggregates over metadata."""
-    if cell is None:
-        middle = tiles.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in DIMS]).first()
-        cell = tuple(max(1, middle[c] or 1) for c in DIMS)
-    tile_side = tiles.agg(
-        F.lit("tile").alias("side"),
-        F.count(F.lit(1)).alias("n"),
-        F.max(_level_of(_dims(), cell, TILE_SPAN)).alias("level"),
-    )
-    level = _level_of(_extents(), cell, SPAN)
+    """Choose the cell and find the sizes of both sides by one small aggregate over the metadata of each."""
+    middle = [F.percentile_approx(c, 0.5) for c in DIMS]
+    longest = [F.max(c) for c in DIMS]
+    count, *dims = tiles.agg(F.count(F.lit(1)), *middle, *longest).first()
+    dims = [max(1, d or 1) for d in dims]
+    cell = tuple(cell or dims[:3])
+
     cells = F.lit(1.0)
     for e, g in zip(_extents(), cell):
         # a box of length e touches at most e / g + 2 cells, and at most SPAN + 2 on its own level
         cells = cells * F.least(F.lit(SPAN + 2.0), F.greatest(F.lit(0), e) / F.lit(g) + 2)
-    request_side = requests.agg(
-        F.lit("request").alias("side"), F.sum(cells).cast("long").alias("n"), F.max(level).alias("level")
-    )
-    # two rows, one per side
-    found = {row["side"]: row for row in tile_side.unionByName(request_side).collect()}
-    tile, request = found["tile"], found["request"]
-    tile_level, request_level = tile["level"] or 0, request["level"] or 0
-    # a request is repeated on every coarser level that tiles use, at most 2**3 cells each
-    request_cells = (request["n"] or 0) * (1 + max(0, tile_level))
-    return Grid(tuple(cell), tile_level, request_level, tile["n"], request_cells)
+    request_cells, *extents = requests.agg(F.sum(cells).cast("long"), *[F.max(e) for e in _extents()]).first()
+
+    tile_level = _level(dims[3:], cell, TILE_SPAN)
+    request_level = _level([e or 1 for e in extents], cell, SPAN)
+    # a request is repeated on every coarser level that tiles use, on fewer cells each time
+    return Grid(cell, tile_level, request_level, count, (request_cells or 0) * (1 + tile_level))
 
 
 def _spread(df: DataFrame, lows: list[Column], highs: list[Column], own: Column, grid: Grid, other: int) -> DataFrame:
@@ -131,7 +133,7 @@ def box_join(
     requests: DataFrame,
     touching: bool = False,
     strategy: str = "auto",
-    cell: tuple[int, int, int] | None = None,
+    grid: Grid | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All (request, tile) pairs of the same image and zoom whose boxes share a voxel.
@@ -143,9 +145,9 @@ def box_join(
     """
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    grid = measure(tiles.select(*BOX), requests.select(*EXTENT), cell)
+    grid = grid or measure(tiles, requests)
     if strategy == "auto":
-        strategy = "broadcast" if grid.request_cells <= BROADCAST_CELLS else "shuffle"
+        strategy = grid.strategy()
 
     extra = 0 if touching else 1
     asked = requests.select(*[F.col(c).alias(f"roi_{c}") if c in ORIGIN else F.col(c) for c in requests.columns])

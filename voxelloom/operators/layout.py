@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import binary_column, ints, map_payloads, stacks, with_column
-from voxelloom.schema import AXES, BOX, ORIGIN, TILE_KEY, TILE_META, VOXELS
+from voxelloom.functions.batches import map_payloads, stacks
+from voxelloom.operators.blocks import Row, fold_blocks
+from voxelloom.schema import AXES, BOX, ORIGIN, TILE_META, VOXELS
 
 # Voxel rows per outgoing Arrow batch.
 VOXEL_ROWS = 1 << 18
@@ -100,19 +101,14 @@ def tiles_from_voxels(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFram
     width, height, depth = dims
     offset = (F.col("_z") * height + F.col("_y")) * width + F.col("_x")
 
-    def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
         payload = np.zeros(width * height * depth, np.uint8)
         for batch in batches:
-            at = batch.column("_at").to_numpy()
-            payload[at] = batch.column("v").to_numpy()
-        values = [pa.array([k.as_py()], pa.int32()) for k in key]
-        yield pa.RecordBatch.from_arrays([*values, binary_column([payload])], names=[*keys, "pixels"])
-
-    return (
-        placed.select(*keys, offset.alias("_at"), "v")
-        .groupBy(*keys)
-        .applyInArrow(fold, "image_id int, x int, y int, z int, pixels binary")
-    )
+            payload[batch.column("_at").to_numpy()] = batch.column("v").to_numpy()
+        yield key, payload
+
+    schema = pa.schema([*[(c, pa.int32()) for c in keys], ("pixels", pa.binary())])
+    return fold_blocks(placed.select(*keys, offset.alias("_at"), "v"), keys, schema, fold)
 
 
 def strip_layout(tiles: DataFrame) -> DataFrame:

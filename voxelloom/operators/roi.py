@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from voxelloom.functions.batches import binary_column, ints, payload_view
+from voxelloom.functions.batches import ints, payload_view
 from voxelloom.functions.names import name_of_box
-from voxelloom.operators.blocks import BLOCK, PIECE, PieceBuffer, cut, paste, read_pieces
-from voxelloom.operators.boxjoin import BROADCAST_CELLS, HOT_ROWS, box_join, measure
-from voxelloom.schema import BOX, DIMS, EXTENT, ORIGIN, ROI_LINE, TILE_KEY, TILE_META, VOLUME
+from voxelloom.operators.blocks import BLOCK, PIECE, PieceBuffer, Row, cut, fold_blocks, paste, read_pieces
+from voxelloom.operators.boxjoin import HOT_ROWS, box_join, measure
+from voxelloom.schema import BOX, EXTENT, ORIGIN, ROI_LINE, TILE_KEY, TILE_META, VOLUME
 
 # Voxels of one assembled row; a larger request comes out as several rows that tile its box.
 CHUNK_VOXELS = 1 << 26
@@ -50,11 +50,10 @@ def roi_join(
     requests: DataFrame,
     touching: bool = False,
     strategy: str = "auto",
-    cell: tuple[int, int, int] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Metadata of every tile that overlaps each request; payloads stay out of the join."""
-    return box_join(tiles.select(*TILE_META), requests, touching, strategy, cell, hot_rows)
+    return box_join(tiles.select(*TILE_META), requests, touching, strategy, hot_rows=hot_rows)
 
 
 def first_tile(pairs: DataFrame) -> DataFrame:
@@ -83,20 +82,14 @@ def _chunks(requests: DataFrame, chunk_voxels: int) -> DataFrame:
     return cut_up.select("req_id", *VOLUME, *fields)
 
 
-def _piece_schema() -> T.StructType:
-    ints_of = [T.StructField(c, T.IntegerType()) for c in [*VOLUME, *BLOCK, *PIECE]]
-    return T.StructType([T.StructField("req_id", T.LongType()), *ints_of, T.StructField("pixels", T.BinaryType())])
-
-
 def _cut_pairs(pairs: DataFrame) -> DataFrame:
     """From (block, tile with payload) rows to the shared piece of both."""
-    schema = _piece_schema()
-    arrow = pa.schema(
+    schema = pa.schema(
         [("req_id", pa.int64()), *[(c, pa.int32()) for c in [*VOLUME, *BLOCK, *PIECE]], ("pixels", pa.binary())]
     )
 
     def run(batches):
-        buffer = PieceBuffer(arrow)
+        buffer = PieceBuffer(schema)
         for batch in batches:
             data, starts = payload_view(batch.column("pixels"))
             heads = ints(batch, ["req_id", *VOLUME, *BLOCK])
@@ -110,7 +103,7 @@ def _cut_pairs(pairs: DataFrame) -> DataFrame:
                 yield from buffer.add(identity, cut(stack, box[:3], low, high))
         yield from buffer.flush()
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, from_arrow_schema(schema))
 
 
 def roi_assemble(
@@ -127,15 +120,15 @@ def roi_assemble(
     and only then meet the payloads, on the tile's box.
     """
     chunks = _chunks(requests, chunk_voxels)
+    grid = measure(tiles, chunks)
     if strategy == "auto":
-        grid = measure(tiles.select(*BOX), chunks.select(*EXTENT))
-        strategy = "broadcast" if grid.request_cells <= BROADCAST_CELLS else "shuffle"
+        strategy = grid.strategy()
     block = {**{f"roi_{a}": b for a, b in zip(ORIGIN, BLOCK)}, **dict(zip(EXTENT, BLOCK[3:]))}
 
     if strategy == "broadcast":
-        pairs = box_join(tiles.select(*TILE_KEY, "pixels"), chunks, strategy="broadcast")
+        pairs = box_join(tiles.select(*TILE_KEY, "pixels"), chunks, strategy="broadcast", grid=grid)
     else:
-        found = box_join(tiles.select(*TILE_KEY).distinct(), chunks, strategy="shuffle", hot_rows=hot_rows)
+        found = box_join(tiles.select(*TILE_KEY).distinct(), chunks, strategy="shuffle", grid=grid, hot_rows=hot_rows)
         pairs = found.join(tiles.select(*TILE_KEY, "pixels"), TILE_KEY)
     pieces = _cut_pairs(pairs.withColumnsRenamed(block).select("req_id", *TILE_KEY, *BLOCK, "pixels"))
 
@@ -145,17 +138,16 @@ def roi_assemble(
         *_CHUNK_KEY, *[F.lit(None).cast("int").alias(c) for c in PIECE], F.lit(None).cast("binary").alias("pixels")
     )
 
-    def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block_box = np.array([k.as_py() for k in key[3:]], np.int64)
-        canvas = np.zeros(block_box[:2:-1], np.uint8)
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+        box = np.array(key[3:])
+        canvas = np.zeros(box[:2:-1], np.uint8)
         for batch in batches:
             for _, low, high, values in read_pieces(batch):
-                paste(canvas, block_box[:3], low, high, values)
-        head = [pa.array([k.as_py()], k.type) for k in key]
-        yield pa.RecordBatch.from_arrays(
-            [*head, binary_column([canvas.reshape(-1)])], names=["req_id", *VOLUME, *BOX, "pixels"]
-        )
-
-    schema = "req_id long, image_id int, zoom_out int, " + ", ".join(f"{c} int" for c in BOX) + ", pixels binary"
-    whole = pieces.unionByName(announced).groupBy(*_CHUNK_KEY).applyInArrow(fold, schema)
+                paste(canvas, box[:3], low, high, values)
+        yield key, canvas
+
+    schema = pa.schema(
+        [("req_id", pa.int64()), *[(c, pa.int32()) for c in [*VOLUME, *BOX]], ("pixels", pa.binary())]
+    )
+    whole = fold_blocks(pieces.unionByName(announced), _CHUNK_KEY, schema, fold)
     return whole.withColumn("name", name_of_box()).select("req_id", *TILE_META, "pixels")

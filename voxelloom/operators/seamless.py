@@ -7,7 +7,7 @@ of the weights that were used. At the edge of an image the border voxel is repea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from itertools import product
 
@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from voxelloom.functions.batches import binary_column, ints, payload_view
-from voxelloom.operators.blocks import PIECE, PieceBuffer, cut, paste, read_pieces
+from voxelloom.functions.batches import ints, payload_view
+from voxelloom.operators.blocks import PIECE, PieceBuffer, Row, cut, fold_blocks, paste, read_pieces
 from voxelloom.operators.gauss import kernel_weights, weighted_sum
 from voxelloom.schema import AXES, BOX, DIMS, ORIGIN, TILE_META, VOLUME
 
@@ -98,7 +99,6 @@ def gauss3d_seamless(
     arrow = pa.schema(
         [(c, pa.string() if c == "name" else pa.int32()) for c in [*head, *carried]] + [("pixels", pa.binary())]
     )
-    piece_type = ", ".join(f"{c} {'string' if c == 'name' else 'int'}" for c in [*head, *carried]) + ", pixels binary"
 
     def send(batches):
         buffer = PieceBuffer(arrow)
@@ -122,9 +122,8 @@ def gauss3d_seamless(
                     yield from buffer.add(identity, cut(stack, low, p_low, p_high))
         yield from buffer.flush()
 
-    def blur_cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = np.array([k.as_py() for k in key[2:]], np.int64)
-        start = anchor + index * edge
+    def blur_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+        start = anchor + np.array(key[2:]) * edge
         canvas = present = None
         core_tiles: dict[tuple, str] = {}
         for batch in batches:
@@ -148,29 +147,18 @@ def gauss3d_seamless(
         c_low, c_high = np.maximum(start, low), np.minimum(start + edge, high)
         core = [slice(int(a), int(b)) for a, b in zip((c_low - low)[::-1], (c_high - low)[::-1])]
         result = _masked_blur(canvas, present, sigmas, core)
-        columns = {c: [] for c in [*BOX, *PIECE]}
-        payloads, names = [], []
         for box, name in core_tiles.items():
             origin, dims = np.array(box[:3]), np.array(box[3:])
             p_low, p_high = np.maximum(origin, c_low), np.minimum(origin + dims, c_high)
-            for c, v in zip([*BOX, *PIECE], [*box, *p_low.tolist(), *(p_high - p_low).tolist()]):
-                columns[c].append(v)
-            payloads.append(cut(result, c_low, p_low, p_high).reshape(-1))
-            names.append(name)
-        count = len(names)
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[pa.array([k.as_py()] * count, pa.int32()) for k in key[:2]],
-                *[pa.array(columns[c], pa.int32()) for c in [*BOX, *PIECE]],
-                pa.array(names, pa.string()),
-                binary_column(payloads),
-            ],
-            names=[*VOLUME, *BOX, *PIECE, "name", "pixels"],
-        )
-
-    out_type = ", ".join(f"{c} int" for c in [*VOLUME, *BOX, *PIECE]) + ", name string, pixels binary"
-    sent = with_bounds(tiles.select(*TILE_META, "pixels")).mapInArrow(send, piece_type)
-    blurred = sent.groupBy(*head).applyInArrow(blur_cell, out_type)
+            row = (*key[:2], *box, name, *p_low.tolist(), *(p_high - p_low).tolist())
+            yield row, cut(result, c_low, p_low, p_high)
+
+    blurred_schema = pa.schema(
+        [(c, pa.string() if c == "name" else pa.int32()) for c in [*VOLUME, *BOX, "name", *PIECE]]
+        + [("pixels", pa.binary())]
+    )
+    sent = with_bounds(tiles.select(*TILE_META, "pixels")).mapInArrow(send, from_arrow_schema(arrow))
+    blurred = fold_blocks(sent, head, blurred_schema, blur_cell)
     if whole_tiles:
         return blurred.select(*TILE_META, "pixels")
     return join_pieces(blurred)
@@ -180,20 +168,17 @@ def join_pieces(pieces: DataFrame) -> DataFrame:
     """Put the pieces of each tile together again."""
     keys = [*VOLUME, *BOX]
 
-    def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = np.array([k.as_py() for k in key[2:]], np.int64)
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+        box = np.array(key[2:])
         canvas = np.zeros(box[:2:-1], np.uint8)
-        name = None
+        names: set[str] = set()
         for batch in batches:
-            names = batch.column("name").to_pylist()
-            name = min(names) if name is None else min(name, *names)
+            names.add(min(batch.column("name").to_pylist()))
             for _, low, high, values in read_pieces(batch):
                 paste(canvas, box[:3], low, high, values)
-        head = [pa.array([k.as_py()], pa.int32()) for k in key]
-        yield pa.RecordBatch.from_arrays(
-            [*head, pa.array([name], pa.string()), binary_column([canvas.reshape(-1)])],
-            names=[*keys, "name", "pixels"],
-        )
-
-    schema = ", ".join(f"{c} int" for c in keys) + ", name string, pixels binary"
-    return pieces.groupBy(*keys).applyInArrow(fold, schema).select(*TILE_META, "pixels")
+        yield (*key, min(names)), canvas
+
+    schema = pa.schema(
+        [*[(c, pa.int32()) for c in keys], ("name", pa.string()), ("pixels", pa.binary())]
+    )
+    return fold_blocks(pieces, keys, schema, fold).select(*TILE_META, "pixels")

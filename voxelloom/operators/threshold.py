@@ -42,6 +42,10 @@ class Cumulative:
         high = (self.mass_total - self.mass) / np.maximum(self.above, 1)
         return low, high
 
+    def splits(self, t: int) -> np.ndarray:
+        """Slices in which level t occurs and divides the pixels; in between nothing changes on either side."""
+        return self.valid[:, t] & (self.counts[:, t] > 0)
+
     def smallest(self, score: np.ndarray) -> np.ndarray:
         """First level with the least score among the valid ones."""
         if score.dtype.kind == "f":
@@ -128,16 +132,16 @@ def huang(h: Cumulative) -> np.ndarray:
     """Least fuzziness around the two rounded class means."""
     low = (2 * h.mass + h.below) // np.maximum(2 * h.below, 1)
     high = (2 * (h.mass_total - h.mass) + h.above) // np.maximum(2 * h.above, 1)
-    score = np.zeros(h.counts.shape, np.int64)
+    score = np.full(h.counts.shape, np.iinfo(np.int64).max)
     span = h.brightest - h.darkest
     for width in np.unique(span[span > 0]).tolist():
         rows = np.flatnonzero(span == width)
         table = np.full(LEVELS, 0, np.int64)
         table[: width + 1] = fuzzy_entropy_table(width)
-        counts = h.counts[rows]
         for t in range(LEVELS - 1):
-            side = np.where(GREY <= t, low[rows, t][:, None], high[rows, t][:, None])
-            score[rows, t] = (counts * table[np.abs(GREY - side)]).sum(axis=1)
+            some = rows[h.splits(t)[rows]]
+            side = np.where(GREY <= t, low[some, t][:, None], high[some, t][:, None])
+            score[some, t] = (h.counts[some] * table[np.abs(GREY - side)]).sum(axis=1)
     return h.smallest(score)
 
 
@@ -258,14 +262,13 @@ def shanbhag(h: Cumulative) -> np.ndarray:
     share = h.counts / h.total
     below, above = h.below / h.total, h.above / h.total
     before = below - share
-    score = np.zeros(share.shape)
+    score = np.full(share.shape, np.inf)
     for t in range(LEVELS - 1):
-        usable = h.valid[:, t]
-        low = 0.5 / np.where(usable, below[:, t], 1.0)[:, None]
-        high = 0.5 / np.where(usable, above[:, t], 1.0)[:, None]
-        dark = -(share * _log(1 - low * before))[:, 1 : t + 1].sum(axis=1) * low.ravel()
-        light = -(share * _log(1 - high * above))[:, t + 1 :].sum(axis=1) * high.ravel()
-        score[:, t] = np.abs(dark - light)
+        rows = np.flatnonzero(h.splits(t))
+        low, high = 0.5 / below[rows, t], 0.5 / above[rows, t]
+        dark = (share[rows, 1 : t + 1] * _log(1 - low[:, None] * before[rows, 1 : t + 1])).sum(axis=1) * low
+        light = (share[rows, t + 1 :] * _log(1 - high[:, None] * above[rows, t + 1 :])).sum(axis=1) * high
+        score[rows, t] = np.abs(dark - light)
     return h.smallest(score)
 
 

@@ -69,9 +69,8 @@ def filter_sequence(
 
 def images_to_sequence(spark: SparkSession, path_list: str, folder: str, target: str) -> None:
     """Decode the listed images into raw-pixel sequence files; unusable images are left out."""
-    listed = images.read_path_list(spark, path_list, folder).select("path")
-    decoded = images.decode_tiles(spark, folder).where(F.col("problem").isNull())
-    kept = decoded.join(listed, "path", "left_semi")
+    decoded = images.in_path_list(images.decode_tiles(spark, folder), path_list)
+    kept = decoded.where(F.col("problem").isNull())
     sequence.write_sequence(kept.select("name", "pixels"), target)
 
 

@@ -18,6 +18,8 @@ from voxelloom.functions.names import base_name, parse_names
 from voxelloom.schema import TILE_META
 
 IMAGE_GLOB = "*.jpg"
+# Longest path list that is handed to a reader directly.
+LISTED_PATHS = 10_000
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str = IMAGE_GLOB) -> DataFrame:
@@ -25,14 +27,29 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str = IMAGE_GLO
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
-def read_path_list(spark: SparkSession, list_path: str, folder: str, glob: str = IMAGE_GLOB) -> DataFrame:
-    """The files of ``folder`` that a text file names, one path per line; lines may be full or relative."""
-    wanted = spark.read.text(list_path).select(F.trim("value").alias("_line")).where(F.col("_line") != "")
-    wanted = wanted.select(F.element_at(F.split("_line", "/"), -1).alias("_file"), "_line").distinct()
-    files = read_files(spark, folder, glob).withColumn("_file", F.element_at(F.split("path", "/"), -1))
-    return files.join(wanted, (files["_file"] == wanted["_file"]) & files["path"].endswith(wanted["_line"]), "left_semi").drop(
-        "_file"
-    )
+def _listed(spark: SparkSession, list_path: str) -> DataFrame:
+    lines = spark.read.text(list_path).select(F.trim("value").alias("_line"))
+    return lines.where(F.col("_line") != "").distinct()
+
+
+def in_path_list(files: DataFrame, list_path: str, path: str = "path") -> DataFrame:
+    """The rows whose file a text file names, one path per line; a line may be any ending of the full path."""
+    wanted = _listed(files.sparkSession, list_path).withColumn("_file", F.element_at(F.split("_line", "/"), -1))
+    found = files.withColumn("_file", F.element_at(F.split(path, "/"), -1))
+    same = (found["_file"] == wanted["_file"]) & found[path].endswith(wanted["_line"])
+    return found.join(wanted, same, "left_semi").drop("_file")
+
+
+def read_path_list(spark: SparkSession, list_path: str) -> DataFrame:
+    """Exactly the listed files, without scanning their folders; a missing file is an error.
+
+    The list goes through the driver and may have :data:`LISTED_PATHS` lines. For longer ones read the
+    folder and use :func:`in_path_list`.
+    """
+    lines = _listed(spark, list_path).limit(LISTED_PATHS + 1).collect()
+    if len(lines) > LISTED_PATHS:
+        raise ValueError(f"more than {LISTED_PATHS} paths: use in_path_list on the folder")
+    return read_files(spark, [row["_line"] for row in lines], "*")
 
 
 def brightness(weights: tuple[float, float, float] | None = None):

@@ -61,45 +61,71 @@ class PieceBuffer:
         yield pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def read_pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows with a payload as (row, low, high, values); rows without one only announce their block."""
-    boxes = np.stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in PIECE], axis=1)
-    column = batch.column("pixels")
-    present = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    if not present.size:
-        return
-    data, starts = payload_view(column.drop_null())
-    for i, row in enumerate(present.tolist()):
-        low, dims = boxes[row, :3].astype(np.int64), boxes[row, 3:].astype(np.int64)
-        yield row, low, low + dims, data[starts[i] : starts[i + 1]].reshape(dims[::-1])
-
-
 def paste(canvas: np.ndarray, origin: np.ndarray, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> None:
     """Merge one piece into the canvas, greatest value first."""
     target = cut(canvas, origin, low, high)
     np.maximum(target, values, out=target)
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+class _Decoded:
+    """Columns of one batch, each converted once."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.known: dict = {}
+
+    def get(self, key, read: Callable):
+        if key not in self.known:
+            self.known[key] = read()
+        return self.known[key]
+
+
+class Part:
+    """Consecutive rows of one group within one batch."""
+
+    def __init__(self, decoded: _Decoded, start: int, end: int):
+        self.decoded, self.start, self.end = decoded, start, end
+
+    def ints(self, names: list[str]) -> np.ndarray:
+        """Integer columns as a (rows, columns) array."""
+        batch = self.decoded.batch
+        return self.decoded.get(tuple(names), lambda: ints(batch, names))[self.start : self.end]
+
+    def texts(self, name: str) -> list[str]:
+        column = self.decoded.batch.column(name)
+        return self.decoded.get(name, column.to_pylist)[self.start : self.end]
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows with voxels as (row of this part, low, high, values); empty rows only announce their block."""
+        column = self.decoded.batch.column("pixels")
+        data, starts = self.decoded.get("pixels", lambda: payload_view(column))
+        for row, box in enumerate(self.ints(PIECE)):
+            if box[3]:
+                at = self.start + row
+                yield row, box[:3], box[:3] + box[3:], data[starts[at] : starts[at + 1]].reshape(box[:2:-1])
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Part]]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        decoded = _Decoded(batch)
         values = ints(batch, keys)
         starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
         ends = np.r_[starts[1:], batch.num_rows]
         for start, end in zip(starts.tolist(), ends.tolist()):
-            yield tuple(values[start].tolist()), batch.slice(start, end - start)
+            yield tuple(values[start].tolist()), Part(decoded, start, end)
 
 
 def fold_blocks(
     pieces: DataFrame,
     keys: list[str],
     schema: pa.Schema,
-    fold: Callable[[tuple, Iterator[pa.RecordBatch]], Iterable[Row]],
+    fold: Callable[[tuple, Iterator[Part]], Iterable[Row]],
 ) -> DataFrame:
     """Shuffle pieces by integer keys and turn the pieces of each key into rows.
 
-    ``fold`` reads its group as a stream of batches, so a group may be larger than memory, and yields rows
+    ``fold`` reads its group as a stream of parts, so a group may be larger than memory, and yields rows
     as (all columns but the payload, payload). The number of tasks is the session's number of shuffle
     partitions and is not reduced for small data: the work is in Python, not in the bytes.
     """
@@ -108,7 +134,7 @@ def fold_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = PieceBuffer(schema)
-        for key, group in groupby(_runs(batches, keys), key=lambda part: part[0]):
+        for key, group in groupby(_runs(batches, keys), key=lambda found: found[0]):
             for head, payload in fold(key, (part for _, part in group)):
                 yield from buffer.add(head, payload)
         yield from buffer.flush()

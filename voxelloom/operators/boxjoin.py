@@ -20,7 +20,7 @@ from voxelloom.schema import AXES, DIMS, EXTENT, ORIGIN, VOLUME
 SPAN = 16
 TILE_SPAN = 1
 # Request cells that may be sent to every executor (about 100 bytes each).
-BROADCAST_CELLS = 200_000
+BROADCAST_CELLS = 1_000_000
 # Rows of one side that may share a cell before the cell is split.
 HOT_ROWS = 50_000
 # Upper bound for the number of cells that are treated as hot on one side.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions.batches import map_payloads, stacks
-from voxelloom.operators.blocks import Row, fold_blocks
+from voxelloom.operators.blocks import Part, Row, fold_blocks
 from voxelloom.schema import AXES, BOX, ORIGIN, TILE_META, VOXELS
 
 # Voxel rows per outgoing Arrow batch.
@@ -101,10 +101,11 @@ def tiles_from_voxels(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFram
     width, height, depth = dims
     offset = (F.col("_z") * height + F.col("_y")) * width + F.col("_x")
 
-    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+    def fold(key: tuple, parts: Iterator[Part]) -> Iterable[Row]:
         payload = np.zeros(width * height * depth, np.uint8)
-        for batch in batches:
-            payload[batch.column("_at").to_numpy()] = batch.column("v").to_numpy()
+        for part in parts:
+            at, values = part.ints(["_at", "v"]).T
+            payload[at] = values
         yield key, payload
 
     schema = pa.schema([*[(c, pa.int32()) for c in keys], ("pixels", pa.binary())])

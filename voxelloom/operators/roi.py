@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from voxelloom.functions.batches import ints, payload_view
 from voxelloom.functions.names import name_of_box
-from voxelloom.operators.blocks import BLOCK, PIECE, PieceBuffer, Row, cut, fold_blocks, paste, read_pieces
+from voxelloom.operators.blocks import BLOCK, PIECE, Part, PieceBuffer, Row, cut, fold_blocks, paste
 from voxelloom.operators.boxjoin import HOT_ROWS, box_join, measure
 from voxelloom.schema import BOX, EXTENT, ORIGIN, ROI_LINE, TILE_KEY, TILE_META, VOLUME
 
@@ -135,14 +135,14 @@ def roi_assemble(
     # every block announces itself once, so that a request without tiles still gets its zeros
     own = chunks.withColumnsRenamed(dict(zip([*ORIGIN, *EXTENT], BLOCK)))
     announced = own.select(
-        *_CHUNK_KEY, *[F.lit(None).cast("int").alias(c) for c in PIECE], F.lit(None).cast("binary").alias("pixels")
+        *_CHUNK_KEY, *[F.lit(0).alias(c) for c in PIECE], F.lit(b"").alias("pixels")
     )
 
-    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+    def fold(key: tuple, parts: Iterator[Part]) -> Iterable[Row]:
         box = np.array(key[3:])
         canvas = np.zeros(box[:2:-1], np.uint8)
-        for batch in batches:
-            for _, low, high, values in read_pieces(batch):
+        for part in parts:
+            for _, low, high, values in part.pieces():
                 paste(canvas, box[:3], low, high, values)
         yield key, canvas
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from voxelloom.functions.batches import ints, payload_view
-from voxelloom.operators.blocks import PIECE, PieceBuffer, Row, cut, fold_blocks, paste, read_pieces
+from voxelloom.operators.blocks import PIECE, Part, PieceBuffer, Row, cut, fold_blocks, paste
 from voxelloom.operators.gauss import kernel_weights, weighted_sum
 from voxelloom.schema import AXES, BOX, DIMS, ORIGIN, TILE_META, VOLUME
 
@@ -122,20 +122,19 @@ def gauss3d_seamless(
                     yield from buffer.add(identity, cut(stack, low, p_low, p_high))
         yield from buffer.flush()
 
-    def blur_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+    def blur_cell(key: tuple, parts: Iterator[Part]) -> Iterable[Row]:
         start = anchor + np.array(key[2:]) * edge
         canvas = present = None
         core_tiles: dict[tuple, str] = {}
-        for batch in batches:
+        for part in parts:
             if canvas is None:
-                bounds = ints(batch, _BOUNDS)[0]
+                bounds = part.ints(_BOUNDS)[0]
                 low = np.maximum(start - radius, bounds[:3])
                 high = np.minimum(start + edge + radius, bounds[3:])
                 canvas = np.zeros((high - low)[::-1], np.uint8)
                 present = np.zeros(canvas.shape, np.uint8)
-            boxes = ints(batch, [f"t_{c}" for c in BOX])
-            names = batch.column("name").to_pylist()
-            for r, p_low, p_high, values in read_pieces(batch):
+            boxes, names = part.ints([f"t_{c}" for c in BOX]), part.texts("name")
+            for r, p_low, p_high, values in part.pieces():
                 paste(canvas, low, p_low, p_high, values)
                 cut(present, low, p_low, p_high)[...] = 1
                 c_low, c_high = np.maximum(p_low, start), np.minimum(p_high, start + edge)
@@ -168,13 +167,13 @@ def join_pieces(pieces: DataFrame) -> DataFrame:
     """Put the pieces of each tile together again."""
     keys = [*VOLUME, *BOX]
 
-    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterable[Row]:
+    def fold(key: tuple, parts: Iterator[Part]) -> Iterable[Row]:
         box = np.array(key[2:])
         canvas = np.zeros(box[:2:-1], np.uint8)
         names: set[str] = set()
-        for batch in batches:
-            names.add(min(batch.column("name").to_pylist()))
-            for _, low, high, values in read_pieces(batch):
+        for part in parts:
+            names.add(min(part.texts("name")))
+            for _, low, high, values in part.pieces():
                 paste(canvas, box[:3], low, high, values)
         yield (*key, min(names)), canvas
 

@@ -134,14 +134,14 @@ def huang(h: Cumulative) -> np.ndarray:
     high = (2 * (h.mass_total - h.mass) + h.above) // np.maximum(2 * h.above, 1)
     score = np.full(h.counts.shape, np.iinfo(np.int64).max)
     span = h.brightest - h.darkest
+    tables = np.zeros((LEVELS, LEVELS), np.int64)
     for width in np.unique(span[span > 0]).tolist():
-        rows = np.flatnonzero(span == width)
-        table = np.full(LEVELS, 0, np.int64)
-        table[: width + 1] = fuzzy_entropy_table(width)
-        for t in range(LEVELS - 1):
-            some = rows[h.splits(t)[rows]]
-            side = np.where(GREY <= t, low[some, t][:, None], high[some, t][:, None])
-            score[some, t] = (h.counts[some] * table[np.abs(GREY - side)]).sum(axis=1)
+        tables[width, : width + 1] = fuzzy_entropy_table(width)
+    for t in range(LEVELS - 1):
+        rows = np.flatnonzero(h.splits(t))
+        side = np.where(GREY <= t, low[rows, t][:, None], high[rows, t][:, None])
+        entropy = tables[span[rows][:, None], np.abs(GREY - side)]
+        score[rows, t] = (h.counts[rows] * entropy).sum(axis=1)
     return h.smallest(score)
 
 

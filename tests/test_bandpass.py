@@ -82,6 +82,14 @@ def test_transform_equals_a_direct_sum():
         assert np.allclose(got, back[top : top + 5, left : left + 3], atol=1e-9)
 
 
+@pytest.mark.parametrize("stripes", bp.STRIPES)
+@pytest.mark.parametrize("shape", [(1, 1), (2, 7), (16, 16), (33, 20)])
+def test_matrix_form_equals_the_transform(stripes, shape):
+    band = bp.Band(17.0, 2.0, stripes, 10.0)
+    slices = RNG.integers(0, 256, (3, *shape), dtype=np.uint8)
+    assert np.allclose(bp._multiply(slices, band), bp._transform(slices, band), atol=1e-9)
+
+
 def test_constant_slices_are_kept(spark):
     for scale in (True, False):
         out = bp.bandpass(frame(spark, [tile(np.full((3, 7, 5), 91))]), bp.Band(scale=scale)).first()

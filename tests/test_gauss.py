@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from helpers import as_voxels, cut_volume, frame, slow_blur, stack_of, tile, voxels_of
+from voxelloom.operators import gauss
 from voxelloom.operators.gauss import blur, gauss3d_tile, gauss_strip2d, kernel_weights
 from voxelloom.operators.seamless import gauss3d_seamless
 
@@ -115,3 +116,13 @@ def test_seamless_total_is_kept_away_from_the_edge(spark):
     volume[8, 8, 8] = 200
     out = voxels_of(gauss3d_seamless(frame(spark, cut_volume(volume, (4, 4, 4)))).collect())
     assert abs(sum(out.values()) - 200) <= 60
+
+
+def test_long_axes_give_the_same_as_short_ones(monkeypatch):
+    stack = RNG.integers(0, 256, (2, 5, 40, 31), dtype=np.uint8)
+    bright = np.full((1, 3, 30, 30), 255, np.uint8)
+    by_matrix = [blur(s, (2.0, 1.3, 0.7)) for s in (stack, bright)]
+    monkeypatch.setattr(gauss, "MATRIX_SIZE", 0)
+    for s, expected in zip((stack, bright), by_matrix):
+        assert (blur(s, (2.0, 1.3, 0.7)) == expected).all()
+    assert (by_matrix[1] == 255).all()

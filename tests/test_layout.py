@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import cut_volume, frame, stack_of, tile, voxels_of
-from voxelloom.functions.names import base_name, box_of_name, name_of_box, parse_names
+from voxelloom.functions.names import box_of_name, name_of_box, parse_names
 from voxelloom.operators import counting, layout, ordering
 from voxelloom.operators.filters import Filter, apply_filter, register_filter
 from voxelloom.operators.registration import phase_shift, register_pairs

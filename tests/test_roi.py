@@ -50,7 +50,7 @@ def mixed_boxes(seed, count=80):
 @pytest.mark.parametrize("touching", [False, True])
 @pytest.mark.parametrize("strategy,hot", [("auto", 50_000), ("broadcast", 50_000), ("shuffle", 50_000), ("shuffle", 3)])
 def test_join_equals_brute_force(spark, monkeypatch, touching, strategy, hot):
-    monkeypatch.setattr(boxjoin, "HOT_CELLS", 1 << 40)
+    monkeypatch.setattr(boxjoin, "HOT_KEYS", 1 << 40)
     rows, boxes = mixed_tiles(1), mixed_boxes(2)
     got = roi_join(frame(spark, rows), requests(spark, boxes), touching, strategy, hot_rows=hot)
     assert sorted((r["req_id"], r["name"]) for r in got.collect()) == slow_pairs(rows, boxes, touching)
@@ -58,7 +58,7 @@ def test_join_equals_brute_force(spark, monkeypatch, touching, strategy, hot):
 
 @pytest.mark.parametrize("hot", [2, 50_000])
 def test_join_keeps_every_copy_of_a_hot_tile_and_request(spark, monkeypatch, hot):
-    monkeypatch.setattr(boxjoin, "HOT_CELLS", 1 << 40)
+    monkeypatch.setattr(boxjoin, "HOT_KEYS", 1 << 40)
     rows = cut_volume(np.zeros((4, 8, 8)), (4, 4, 4)) + [tile(np.zeros((4, 4, 4)))] * 30
     boxes = [(0, 0, 0, 2, 2, 2)] * 40 + [(3, 3, 3, 4, 4, 4)]
     got = roi_join(frame(spark, rows), requests(spark, boxes), strategy="shuffle", hot_rows=hot)
@@ -94,9 +94,10 @@ def test_first_tile_takes_z_then_y_then_x(spark):
     assert got == {0: (0, 0, 0), 1: (2, 0, 2)}
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("strategy,hot", [("broadcast", 1000), ("shuffle", 1000), ("shuffle", 1)])
 @pytest.mark.parametrize("chunk", [1 << 26, 40, 3])
-def test_assembly_equals_brute_force(spark, strategy, chunk):
+def test_assembly_equals_brute_force(spark, monkeypatch, strategy, hot, chunk):
+    monkeypatch.setattr(boxjoin, "HOT_KEYS", 1 << 40)
     volume = RNG.integers(1, 256, (7, 8, 9), dtype=np.uint8)
     rows = cut_volume(volume, (4, 4, 4), origin=(-4, 0, 2))[:-2]
     # a second tile over the first, and plain copies
@@ -105,7 +106,7 @@ def test_assembly_equals_brute_force(spark, strategy, chunk):
     df = frame(spark, rows)
     known = {k[1:]: v for k, v in voxels_of(df.collect()).items()}
     got: dict[int, dict] = {}
-    for row in roi_assemble(df, requests(spark, boxes), strategy, chunk).collect():
+    for row in roi_assemble(df, requests(spark, boxes), strategy, chunk, hot).collect():
         assert row["x_dim"] * row["y_dim"] * row["z_dim"] <= chunk
         part = got.setdefault(row["req_id"], {})
         for (iz, iy, ix), v in np.ndenumerate(stack_of(row)):

@@ -9,8 +9,8 @@ import pyarrow as pa
 
 from voxelloom.schema import DIMS
 
-# Voxels handed to a kernel at once; bounds the working memory of a task.
-STACK_VOXELS = 1 << 22
+# Voxels handed to a kernel at once; bounds the working memory of a task and keeps it near the cache.
+STACK_VOXELS = 1 << 20
 
 
 def ints(batch: pa.RecordBatch, names: Iterable[str]) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from voxelloom.schema import TILE_META
 STRIPES = ("none", "horizontal", "vertical")
 # Canvas samples transformed at once; bounds the working memory of a task.
 CANVAS_SAMPLES = 1 << 21
+# Longest side of a slice that is filtered by matrix products instead of a transform.
+MATRIX_SIZE = 256
 # A filtered slice whose range is below this has no contrast to stretch.
 FLAT = 1e-6
 
@@ -83,8 +86,8 @@ def filter_grid(canvas: int, band: Band) -> np.ndarray:
     return grid
 
 
-def filter_slices(slices: np.ndarray, band: Band) -> np.ndarray:
-    """Filtered slices as floats, cropped to the original size."""
+def _transform(slices: np.ndarray, band: Band) -> np.ndarray:
+    """Pad, transform, multiply, transform back and crop."""
     _, height, width = slices.shape
     canvas = pad_size(width, height)
     rows, cols = mirror_index(canvas, height), mirror_index(canvas, width)
@@ -99,19 +102,67 @@ def filter_slices(slices: np.ndarray, band: Band) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _line_matrix(canvas: int, size: int, decay: float, sharp: float | None) -> np.ndarray:
+    """What one axis of the whole chain does to a line of pixels: pad, filter by a Gaussian, crop."""
+    k = np.arange(canvas)
+    square = np.minimum(k, canvas - k).astype(np.float64) ** 2
+    gain = np.exp(-square * decay)
+    if sharp is not None:
+        gain = gain * (1 - np.exp(-square * sharp))
+    response = np.fft.ifft(gain).real
+    place = canvas_origin(canvas, size) + np.arange(size)
+    spread = response[(place[:, None] - k[None, :]) % canvas]
+    matrix = np.zeros((size, size))
+    np.add.at(matrix.T, mirror_index(canvas, size), spread.T)
+    return matrix
+
+
+def _multiply(slices: np.ndarray, band: Band) -> np.ndarray:
+    """The same as :func:`_transform` by matrix products.
+
+    Without the mean the filter is a difference of two Gaussians, each a product of a row and a column part;
+    padding and cropping act on rows and columns separately as well. The mean of the canvas is added back.
+    """
+    _, height, width = slices.shape
+    canvas = pad_size(width, height)
+    large, small = (2 * band.large / canvas) ** 2, (2 * band.small / canvas) ** 2
+    sharp = ((100 - band.tolerance) / 100) ** 2
+    row_sharp = sharp if band.stripes == "vertical" else None
+    col_sharp = sharp if band.stripes == "horizontal" else None
+    grey = slices.astype(np.float64)
+    decays = (small, small + large)
+    rows = np.hstack([_line_matrix(canvas, height, d, row_sharp) * f for d, f in zip(decays, (1, -1))])
+    cols = [_line_matrix(canvas, width, d, col_sharp) for d in decays]
+    both = np.concatenate([grey @ c.T for c in cols], axis=1)
+    row_share = np.bincount(mirror_index(canvas, height), minlength=height) / canvas
+    col_share = np.bincount(mirror_index(canvas, width), minlength=width) / canvas
+    return rows @ both + ((grey @ col_share) @ row_share)[:, None, None]
+
+
+def filter_slices(slices: np.ndarray, band: Band) -> np.ndarray:
+    """Filtered slices as floats, cropped to the original size."""
+    return (_multiply if max(slices.shape[1:]) <= MATRIX_SIZE else _transform)(slices, band)
+
+
 def to_grey(filtered: np.ndarray, band: Band) -> np.ndarray:
     """Floats to 0..255: stretched to the slice's own range if asked for, else clamped."""
     if band.scale:
         flat = filtered.reshape(len(filtered), -1)
         size = flat.shape[1]
         clipped = int(size / 200.0) if band.saturate else 0
-        order = np.partition(flat, [clipped, size - 1 - clipped], axis=1)
-        low, high = order[:, clipped], order[:, size - 1 - clipped]
+        order = np.sort(flat, axis=1)
+        low, high = order[:, clipped, None, None], order[:, size - 1 - clipped, None, None]
         span = high - low
         usable = span > FLAT
-        scaled = (filtered - low[:, None, None]) / np.where(usable, span, 1.0)[:, None, None] * 255.0
-        filtered = np.where(usable[:, None, None], scaled, filtered)
-    return np.floor(np.clip(filtered, 0, 255) + 0.5).clip(0, 255).astype(np.uint8)
+        grey = filtered - np.where(usable, low, 0.0)
+        grey /= np.where(usable, span, 255.0)
+        grey *= 255.0
+    else:
+        grey = filtered.copy()
+    grey += 0.5
+    np.clip(grey, 0, 255, out=grey)
+    return grey.astype(np.uint8)
 
 
 def bandpass_stack(stack: np.ndarray, band: Band) -> np.ndarray:

@@ -8,6 +8,7 @@ box touches is bounded whatever its size. A pair meets on the coarser of its two
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ TILE_SPAN = 1
 BROADCAST_CELLS = 1_000_000
 # Rows of one side that may share a cell before the cell is split.
 HOT_ROWS = 50_000
-# Upper bound for the number of cells that are treated as hot on one side.
-HOT_CELLS = 10_000
+# Upper bound for the number of keys that are treated as hot on one side (about 100 bytes each).
+HOT_KEYS = 100_000
 
 _CELL = ["_level", "_cx", "_cy", "_cz"]
 
@@ -35,6 +36,7 @@ class Grid:
     tile_level: int
     request_level: int
     tile_rows: int
+    tile_voxels: int
     request_cells: int
 
     def strategy(self) -> str:
@@ -85,7 +87,8 @@ def measure(tiles: DataFrame, requests: DataFrame, cell: tuple[int, int, int] |
     tile_level = _level(dims[3:], cell, TILE_SPAN)
     request_level = _level([e or 1 for e in extents], cell, SPAN)
     # a request is repeated on every coarser level that tiles use, on fewer cells each time
-    return Grid(cell, tile_level, request_level, count, (request_cells or 0) * (1 + tile_level))
+    request_cells = (request_cells or 0) * (1 + tile_level)
+    return Grid(cell, tile_level, request_level, count, math.prod(dims[3:]), request_cells)
 
 
 def _spread(df: DataFrame, lows: list[Column], highs: list[Column], own: Column, grid: Grid, other: int) -> DataFrame:
@@ -101,31 +104,38 @@ def _spread(df: DataFrame, lows: list[Column], highs: list[Column], own: Column,
     return levelled
 
 
-def _split_hot(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Add join columns ``_a``/``_b`` that deal the rows of crowded cells out over several tasks.
+def split_hot(
+    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int, right_by: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Add join columns ``_a``/``_b`` that deal the rows of crowded keys out over several tasks.
 
-    A cell with n left and m right rows becomes ceil(n/hot) * ceil(m/hot) buckets: each row picks its share
-    on its own side by hash and is repeated over the shares of the other side, so every pair meets once.
+    A key with n left and m right rows becomes ceil(n/hot) * ceil(m/hot) buckets: each row picks its share
+    on its own side by a hash of its other columns (or of ``right_by``) and is repeated over the shares of the
+    other side, so every pair meets once. The table of crowded keys is sent to all tasks: the caller chooses
+    ``hot_rows`` so that neither side can have more than ``HOT_KEYS`` of them.
     """
-    count = F.count(F.lit(1))
     shares = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
     crowded = []
     for side, name in ((left, "_fa"), (right, "_fb")):
-        sizes = side.groupBy(*keys).agg(count.alias("_n")).where(F.col("_n") > hot_rows)
+        sizes = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
         crowded.append(sizes.select(*keys, shares.alias(name)))
-    hot = crowded[0].join(crowded[1], keys, "full_outer")
-    # bounded by the choice of hot_rows: at most HOT_CELLS entries per side
-    hot = F.broadcast(hot)
+    hot = F.broadcast(crowded[0].join(crowded[1], keys, "full_outer"))
     one = F.lit(1)
 
-    def deal(side: DataFrame, own: str, own_salt: str, other: str, other_salt: str) -> DataFrame:
-        identity = [c for c in side.columns if c not in keys]
+    def deal(side: DataFrame, by: list[str], own: str, own_share: str, other: str, other_share: str) -> DataFrame:
         marked = side.join(hot, keys, "left")
-        marked = marked.withColumn(own_salt, F.pmod(F.xxhash64(*identity), F.coalesce(own, one)).cast("int"))
+        marked = marked.withColumn(own_share, F.pmod(F.xxhash64(*by), F.coalesce(own, one)).cast("int"))
         repeats = F.sequence(F.lit(0), F.coalesce(other, one) - 1)
-        return marked.withColumn(other_salt, F.explode(repeats)).drop("_fa", "_fb")
+        return marked.withColumn(other_share, F.explode(repeats)).drop("_fa", "_fb")
 
-    return deal(left, "_fa", "_a", "_fb", "_b"), deal(right, "_fb", "_b", "_fa", "_a")
+    left_by = [c for c in left.columns if c not in keys]
+    right_by = right_by or [c for c in right.columns if c not in keys]
+    return deal(left, left_by, "_fa", "_a", "_fb", "_b"), deal(right, right_by, "_fb", "_b", "_fa", "_a")
+
+
+def hot_limit(hot_rows: int, *sizes: int) -> int:
+    """Rows a key may have before it is split, such that at most ``HOT_KEYS`` keys are."""
+    return max(hot_rows, *[size // HOT_KEYS for size in sizes])
 
 
 def box_join(
@@ -168,8 +178,7 @@ def box_join(
         joined = left.join(F.broadcast(right), keys)
     else:
         spread_rows = grid.tile_rows * 8 * (1 + grid.request_level) + grid.request_cells
-        limit = max(hot_rows, spread_rows // HOT_CELLS)
-        left, right = _split_hot(left, right, keys, limit)
+        left, right = split_hot(left, right, keys, hot_limit(hot_rows, spread_rows))
         joined = left.join(right, [*keys, "_a", "_b"]).drop("_a", "_b")
 
     kept = F.col("_level") == F.greatest("_tile_level", "_roi_level")

@@ -7,6 +7,7 @@ order of summation. Passes run along x, then y, then z; the border value is repe
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from voxelloom.functions.batches import map_payloads
 
 ONE = 1 << 16
+# Longest axis that is blurred by a matrix product.
+MATRIX_SIZE = 1024
 Z, Y, X = 1, 2, 3
 
 
@@ -28,32 +31,64 @@ def kernel_weights(sigma: float) -> list[int]:
     return [ONE - 2 * sum(side), *side]
 
 
-def weighted_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
-    """Sum of weighted neighbours along one axis with repeated border values."""
+@lru_cache(maxsize=64)
+def _weight_matrix(weights: tuple[int, ...], size: int) -> np.ndarray:
+    """Row i holds the weight of every source for output i; offsets beyond the border add to the border."""
+    matrix = np.zeros((size, size), np.float32)
+    rows = np.arange(size)
+    for offset in range(1 - len(weights), len(weights)):
+        np.add.at(matrix, (rows, np.clip(rows + offset, 0, size - 1)), weights[abs(offset)])
+    return matrix
+
+
+def _matrix_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
+    """:func:`weighted_sum` as a matrix product.
+
+    Single precision is exact here: every partial sum is an integer of at most 255 * 65536, below 2**24.
+    """
+    matrix = _weight_matrix(tuple(weights), values.shape[axis])
+    axis %= values.ndim
+    values = values.astype(np.float32, copy=False)
+    if axis == values.ndim - 1:
+        return (values.reshape(-1, values.shape[-1]) @ matrix.T).reshape(values.shape)
+    lines = values.reshape(*values.shape[: axis + 1], -1)
+    return (matrix @ lines).reshape(values.shape)
+
+
+def _shifted_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
+    """:func:`weighted_sum` by shifted additions, for axes too long for a matrix."""
     radius = len(weights) - 1
     size = values.shape[axis]
     pad = [(0, 0)] * values.ndim
     pad[axis] = (radius, radius)
-    wide = np.pad(values.astype(np.int32), pad, mode="edge")
+    wide = np.pad(values.astype(np.float32, copy=False), pad, mode="edge")
 
     def shifted(offset: int) -> np.ndarray:
         window = [slice(None)] * values.ndim
         window[axis] = slice(radius + offset, radius + offset + size)
         return wide[tuple(window)]
 
-    total = shifted(0) * np.int32(weights[0])
+    total = shifted(0) * np.float32(weights[0])
     for offset, weight in enumerate(weights[1:], 1):
-        total += (shifted(-offset) + shifted(offset)) * np.int32(weight)
+        total += (shifted(-offset) + shifted(offset)) * np.float32(weight)
     return total
 
 
+def weighted_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
+    """Sum of weighted neighbours along one axis with repeated border values: whole numbers as float32."""
+    return (_matrix_sum if values.shape[axis] <= MATRIX_SIZE else _shifted_sum)(values, weights, axis)
+
+
 def blur(stack: np.ndarray, sigmas: tuple[float, float, float]) -> np.ndarray:
     """Blur uint8 stacks of shape (n, z, y, x) with one sigma per axis x, y, z."""
     for axis, sigma in zip((X, Y, Z), sigmas):
         weights = kernel_weights(sigma)
         if len(weights) > 1:
-            stack = ((weighted_sum(stack, weights, axis) + ONE // 2) >> 16).astype(np.uint8)
-    return stack
+            total = weighted_sum(stack, weights, axis)
+            total += ONE // 2
+            total *= 1 / ONE
+            stack = np.floor(total, out=total)
+    return stack.astype(np.uint8)
 
 
 def blur_strip(stack: np.ndarray, sigma_x: float, sigma_y: float) -> np.ndarray:

@@ -13,11 +13,16 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from voxelloom.functions.batches import ints, payload_view
 from voxelloom.functions.names import name_of_box
 from voxelloom.operators.blocks import BLOCK, PIECE, Part, PieceBuffer, Row, cut, fold_blocks, paste
-from voxelloom.operators.boxjoin import HOT_ROWS, box_join, measure
+from voxelloom.operators.boxjoin import BROADCAST_CELLS, HOT_ROWS, box_join, hot_limit, measure, split_hot
 from voxelloom.schema import BOX, EXTENT, ORIGIN, ROI_LINE, TILE_KEY, TILE_META, VOLUME
+from voxelloom.session import reliable_checkpoint
 
 # Voxels of one assembled row; a larger request comes out as several rows that tile its box.
 CHUNK_VOXELS = 1 << 26
+# Bytes that one task may have to cut if all requests want the same tile; beyond it payloads are dealt out.
+PAYLOAD_BYTES = 16 << 30
+# Payload rows of one tile, or requests for it, that one task handles.
+HOT_PAYLOADS = 1_000
 
 _CHUNK_KEY = ["req_id", *VOLUME, *BLOCK]
 
@@ -111,25 +116,35 @@ def roi_assemble(
     requests: DataFrame,
     strategy: str = "auto",
     chunk_voxels: int = CHUNK_VOXELS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_PAYLOADS,
 ) -> DataFrame:
     """The request boxes cut out of all overlapping tiles, as tile rows with ``req_id``.
 
     Voxels no tile covers are 0. A request above ``chunk_voxels`` yields several rows that tile its box.
-    With few requests the pieces are cut where the tiles are read; otherwise pairs are found on metadata
-    and only then meet the payloads, on the tile's box.
+    With few requests (``broadcast``) the pieces are cut where the tiles are read, and only pieces move.
+    Otherwise (``shuffle``) pairs are found on metadata and only then meet the payloads of the tiles that
+    are needed; tiles wanted by very many requests, or stored very often, are dealt out over several tasks.
     """
     chunks = _chunks(requests, chunk_voxels)
     grid = measure(tiles, chunks)
     if strategy == "auto":
-        strategy = grid.strategy()
+        few = grid.request_cells * grid.tile_voxels <= PAYLOAD_BYTES
+        strategy = grid.strategy() if few else "shuffle"
     block = {**{f"roi_{a}": b for a, b in zip(ORIGIN, BLOCK)}, **dict(zip(EXTENT, BLOCK[3:]))}
+    payloads = tiles.select(*TILE_KEY, "pixels")
 
     if strategy == "broadcast":
-        pairs = box_join(tiles.select(*TILE_KEY, "pixels"), chunks, strategy="broadcast", grid=grid)
+        pairs = box_join(payloads, chunks, strategy="broadcast", grid=grid)
     else:
-        found = box_join(tiles.select(*TILE_KEY).distinct(), chunks, strategy="shuffle", grid=grid, hot_rows=hot_rows)
-        pairs = found.join(tiles.select(*TILE_KEY, "pixels"), TILE_KEY)
+        found = reliable_checkpoint(box_join(tiles.select(*TILE_KEY).distinct(), chunks, grid=grid))
+        size = found.count()
+        if size <= BROADCAST_CELLS:
+            payloads = payloads.join(F.broadcast(found.select(*TILE_KEY).distinct()), TILE_KEY, "left_semi")
+        # equal copies differ only in where they are read; a repeated task reads them at the same place
+        placed = payloads.withColumn("_part", F.spark_partition_id())
+        limit = hot_limit(hot_rows, size, grid.tile_rows)
+        left, right = split_hot(found, placed, TILE_KEY, limit, right_by=["_part"])
+        pairs = left.join(right, [*TILE_KEY, "_a", "_b"])
     pieces = _cut_pairs(pairs.withColumnsRenamed(block).select("req_id", *TILE_KEY, *BLOCK, "pixels"))
 
     # every block announces itself once, so that a request without tiles still gets its zeros

@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from voxelloom.functions.batches import ints, payload_view
 from voxelloom.operators.blocks import PIECE, Part, PieceBuffer, Row, cut, fold_blocks, paste
-from voxelloom.operators.gauss import kernel_weights, weighted_sum
-from voxelloom.schema import AXES, BOX, DIMS, ORIGIN, TILE_META, VOLUME
+from voxelloom.operators.gauss import ONE, kernel_weights, weighted_sum
+from voxelloom.schema import AXES, BOX, DIMS, TILE_META, VOLUME
 
 # Image bounds that may be sent to every executor (one small row per image).
 BROADCAST_IMAGES = 500_000
@@ -52,15 +52,15 @@ def _masked_blur(values: np.ndarray, present: np.ndarray, sigmas: tuple, core: l
         if len(weights) > 1:
             total = weighted_sum(values, weights, axis)
             if present.all():
-                values = ((total + (1 << 15)) >> 16).astype(np.uint8)
+                values = np.floor((total + ONE // 2) * np.float32(1 / ONE))
             else:
-                used = weighted_sum(present, weights, axis)
-                blurred = (total + used // 2) // np.maximum(used, 1)
-                values = np.where(present, blurred, 0).astype(np.uint8)
+                used = weighted_sum(present, weights, axis).astype(np.int64)
+                blurred = (total.astype(np.int64) + used // 2) // np.maximum(used, 1)
+                values = np.where(present, blurred, 0).astype(np.float32)
         crop = [slice(None)] * 3
         crop[axis] = core[axis]
         values, present = values[tuple(crop)], present[tuple(crop)]
-    return values
+    return values.astype(np.uint8)
 
 
 def gauss3d_seamless(

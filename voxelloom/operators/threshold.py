@@ -323,8 +323,7 @@ def auto_threshold(tiles: DataFrame, method: str = "Default", dark: bool = True)
 def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
     """Thresholds of the closed-form methods from (keys, v, n) rows, all in one pass over each slice.
 
-    Between two grey values that occur nothing changes on either side, so only occurring values compete,
-    except where the level itself enters the rule.
+    Between two grey values that occur nothing changes on either side, so only occurring values compete, except where the level itself enters the rule.
     """
     whole = Window.partitionBy(*keys)
     order = whole.orderBy("v")
@@ -341,8 +340,6 @@ def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
         F.max(F.struct("n", -v)).over(whole).alias("_peak"),
         F.lead("v").over(order).alias("up"), F.lag("v").over(order).alias("down"),
         F.max(F.struct("v", "n")).over(whole).alias("_last"), F.min(F.struct("v", "n")).over(whole).alias("_first"),
-        # at most 256 entries
-        F.collect_list(F.struct("v", "n")).over(whole).alias("_bins"),
     )
     p, pt, s, st = F.col("p"), F.col("pt"), F.col("s"), F.col("st")
     above = pt - p
@@ -385,22 +382,9 @@ def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
     at_bin = F.when(inside, F.struct((-drop(v, n)).alias("score"), v.alias("t")))
     at_gap = F.when(in_gap, F.struct((-drop(gap_level, F.lit(0))).alias("score"), gap_level.alias("t")))
 
-    low = F.expr("(2 * s + p) div (2 * p)")
-    high = F.expr("(2 * (st - s) + pt - p) div nullif(2 * (pt - p), 0)")
-    span = (F.col("v1") - F.col("v0")).cast("double")
-
-    def fuzziness(b: Column) -> Column:
-        distance = F.abs(b["v"] - F.when(b["v"] <= v, low).otherwise(high))
-        u = span / (span + distance)
-        other = F.when(distance > 0, (1 - u) * F.log(1 - u)).otherwise(F.lit(0.0))
-        return b["n"] * F.floor((-u * F.log(u) - other) * RESOLUTION + 0.5)
-
-    fuzzy = F.aggregate("_bins", F.lit(0).cast("long"), lambda acc, b: acc + F.when(valid, fuzziness(b)).otherwise(0))
-
     picked = bins.groupBy(*keys).agg(
         F.min("v").alias("_only"),
         iso.alias("t_default"),
-        first_best(fuzzy).alias("t_huang"),
         first_best(otsu_score).alias("t_otsu"),
         F.min(F.expr("cast(st div pt as int)")).alias("t_mean"),
         first_best(F.abs(2 * p - pt)).alias("t_percentile"),

@@ -220,6 +220,25 @@ select image_id, name, z, t from (
   group by all)
 qualify row_number() over (partition by image_id, name, z order by score, t) = 1"""
 
+# Fixed point of the minimum cross entropy iteration.
+_LEVELS["li"] = """
+select image_id, name, z, arg_max(level, i) as t from (
+  with recursive walk as (
+    select distinct image_id, name, z, v0, greatest(v1 - 1, v0) as v2, 0 as i, false as done,
+           greatest(v0, least(greatest(v1 - 1, v0), cast(floor(cast(st as double) / pt + 0.5) as bigint))) as level
+    from split
+    union all
+    select image_id, name, z, v0, v2, i + 1, fresh = level, greatest(v0, least(v2, fresh))
+    from (
+      select w.*, case when d.s > 0 then cast(floor(
+               (cast(d.st - d.s as double) / (d.pt - d.p) - cast(d.s as double) / d.p)
+               / (ln(cast(d.st - d.s as double) / (d.pt - d.p)) - ln(cast(d.s as double) / d.p)) + 0.5) as bigint) else 0 end as fresh
+      from walk w join dense d on d.image_id = w.image_id and d.name = w.name and d.z = w.z and d.t = w.level
+      where not w.done and w.i < 256)
+  )
+  select * from walk)
+group by image_id, name, z"""
+
 _LEVELS["triangle"] = """
 select image_id, name, z, t from (
   select k.image_id, k.name, k.z, g.t,
@@ -331,7 +350,7 @@ from voxels v join level_{key} l on l.image_id = v.image_id and l.name = v.name
 
 
 def _threshold_levels() -> str:
-    keys = ["default", "huang", "otsu", "mean", "percentile", "max_entropy", "yen", "triangle"]
+    keys = ["default", "otsu", "mean", "percentile", "max_entropy", "yen", "triangle"]
     columns = ", ".join(f"level_{k}.t as t_{k.replace('_', '')}" for k in keys)
     joins = " ".join(f"join level_{k} using (image_id, name, z)" for k in keys[1:])
     select = f"select image_id, name, z, {columns} from level_{keys[0]} {joins}"

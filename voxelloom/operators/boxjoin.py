@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.copies import collapse_copies, restore_copies
@@ -44,45 +44,34 @@ class Grid:
         return "broadcast" if self.request_cells <= BROADCAST_CELLS else "shuffle"
 
 
-def _level_of(extents: list[Column], cell: tuple[int, int, int], span: int) -> Column:
-    """Smallest level on which no extent is longer than ``span`` cells, in integer arithmetic."""
-    needed = F.greatest(
-        F.lit(1).cast("long"),
-        *[F.ceil(e.cast("long") / F.lit(span * g)).cast("long") for e, g in zip(extents, cell)],
-    )
-    return F.when(needed <= 1, F.lit(0)).otherwise(F.length(F.bin(needed - 1)))
+def _level_sql(extents: list[str], cell: tuple[int, int, int], span: int) -> str:
+    """Smallest level on which no extent is longer than ``span`` cells."""
+    needed = "greatest(1L, " + ", ".join(f"ceil({e} / {span * g})" for e, g in zip(extents, cell)) + ")"
+    return f"if({needed} <= 1, 0, length(bin({needed} - 1)))"
 
 
-def _cell_size(base: int) -> Column:
-    return F.lit(base).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))
-
-
-def _dims() -> list[Column]:
-    return [F.col(c) for c in DIMS]
-
-
-def _extents() -> list[Column]:
-    return [F.col(c) for c in EXTENT]
+def _cell_sql(place: str, base: int) -> str:
+    """Cell of a coordinate on the row's level."""
+    return f"floor(({place}) / ({base}L * shiftleft(1L, _level)))"
 
 
 def _level(extents: list[int], cell: tuple[int, int, int], span: int) -> int:
-    """:func:`_level_of` for plain numbers."""
+    """:func:`_level_sql` for plain numbers."""
     return (max(1, *(-(-e // (span * g)) for e, g in zip(extents, cell))) - 1).bit_length()
 
 
 def measure(tiles: DataFrame, requests: DataFrame, cell: tuple[int, int, int] | None = None) -> Grid:
     """Choose the cell and find the sizes of both sides by one small aggregate over the metadata of each."""
-    middle = [F.percentile_approx(c, 0.5) for c in DIMS]
-    longest = [F.max(c) for c in DIMS]
-    count, *dims = tiles.agg(F.count(F.lit(1)), *middle, *longest).first()
+    middle = [f"percentile_approx({c}, 0.5)" for c in DIMS]
+    longest = [f"max({c})" for c in DIMS]
+    count, *dims = tiles.selectExpr("count(1)", *middle, *longest).first()
     dims = [max(1, d or 1) for d in dims]
     cell = tuple(cell or dims[:3])
 
-    cells = F.lit(1.0)
-    for e, g in zip(_extents(), cell):
-        # a box of length e touches at most e / g + 2 cells, and at most SPAN + 2 on its own level
-        cells = cells * F.least(F.lit(SPAN + 2.0), F.greatest(F.lit(0), e) / F.lit(g) + 2)
-    request_cells, *extents = requests.agg(F.sum(cells).cast("long"), *[F.max(e) for e in _extents()]).first()
+    # a box of length e touches at most e / g + 2 cells, and at most SPAN + 2 on its own level
+    cells = " * ".join(f"least({SPAN + 2}D, greatest(0, {e}) / {g} + 2)" for e, g in zip(EXTENT, cell))
+    longest = [f"max({e})" for e in EXTENT]
+    request_cells, *extents = requests.selectExpr(f"cast(sum({cells}) as long)", *longest).first()
 
     tile_level = _level(dims[3:], cell, TILE_SPAN)
     request_level = _level([e or 1 for e in extents], cell, SPAN)
@@ -91,17 +80,14 @@ def measure(tiles: DataFrame, requests: DataFrame, cell: tuple[int, int, int] |
     return Grid(cell, tile_level, request_level, count, math.prod(dims[3:]), request_cells)
 
 
-def _spread(df: DataFrame, lows: list[Column], highs: list[Column], own: Column, grid: Grid, other: int) -> DataFrame:
+def _spread(df: DataFrame, corners: list[tuple[str, str]], own: str, level: str, grid: Grid, other: int) -> DataFrame:
     """One row per touched cell on the own level and on every coarser level used by the other side."""
-    levelled = df.withColumn("_own", own).withColumn(
-        "_level", F.explode(F.sequence(F.col("_own"), F.greatest(F.col("_own"), F.lit(other))))
-    )
-    for axis, g, low, high in zip(AXES, grid.cell, lows, highs):
-        size = _cell_size(g)
-        levelled = levelled.withColumn(
-            f"_c{axis}", F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-        )
-    return levelled
+    spread = df.selectExpr("*", f"{level} as {own}")
+    spread = spread.selectExpr("*", f"explode(sequence({own}, greatest({own}, {other}))) as _level")
+    for axis, g, (low, high) in zip(AXES, grid.cell, corners):
+        cells = f"sequence({_cell_sql(low, g)}, {_cell_sql(high, g)})"
+        spread = spread.selectExpr("*", f"explode({cells}) as _c{axis}")
+    return spread
 
 
 def split_hot(
@@ -164,14 +150,13 @@ def box_join(
     if strategy == "shuffle":
         tiles = collapse_copies(tiles)
 
-    tile_low = [F.col(a).cast("long") for a in AXES]
-    tile_high = [lo + F.greatest(d - extra, F.lit(0)) for lo, d in zip(tile_low, _dims())]
-    roi_low = [F.col(f"roi_{a}").cast("long") for a in AXES]
-    roi_high = [lo + F.greatest(e - extra, F.lit(0)) for lo, e in zip(roi_low, _extents())]
-
-    left = _spread(tiles, tile_low, tile_high, _level_of(_dims(), grid.cell, TILE_SPAN), grid, grid.request_level)
-    right = _spread(asked, roi_low, roi_high, _level_of(_extents(), grid.cell, SPAN), grid, grid.tile_level)
-    left, right = left.withColumnRenamed("_own", "_tile_level"), right.withColumnRenamed("_own", "_roi_level")
+    tile_low = [f"cast({a} as long)" for a in AXES]
+    roi_low = [f"cast(roi_{a} as long)" for a in AXES]
+    tile_corners = [(lo, f"{lo} + greatest({d} - {extra}, 0)") for lo, d in zip(tile_low, DIMS)]
+    roi_corners = [(lo, f"{lo} + greatest({e} - {extra}, 0)") for lo, e in zip(roi_low, EXTENT)]
+    tile_level, roi_level = _level_sql(DIMS, grid.cell, TILE_SPAN), _level_sql(EXTENT, grid.cell, SPAN)
+    left = _spread(tiles, tile_corners, "_tile_level", tile_level, grid, grid.request_level)
+    right = _spread(asked, roi_corners, "_roi_level", roi_level, grid, grid.tile_level)
 
     keys = [*VOLUME, *_CELL]
     if strategy == "broadcast":
@@ -181,13 +166,10 @@ def box_join(
         left, right = split_hot(left, right, keys, hot_limit(hot_rows, spread_rows))
         joined = left.join(right, [*keys, "_a", "_b"]).drop("_a", "_b")
 
-    kept = F.col("_level") == F.greatest("_tile_level", "_roi_level")
-    for axis, g, t, r, dim, ext in zip(AXES, grid.cell, tile_low, roi_low, _dims(), _extents()):
-        size = _cell_size(g)
-        kept = kept & (F.floor(F.greatest(t, r) / size) == F.col(f"_c{axis}"))
-        if touching:
-            kept = kept & (t >= r - dim) & (t <= r + ext)
-        else:
-            kept = kept & (t > r - dim) & (t < r + ext)
-    pairs = joined.where(kept).drop(*_CELL, "_tile_level", "_roi_level")
+    tests = ["_level = greatest(_tile_level, _roi_level)"]
+    low, high = (">=", "<=") if touching else (">", "<")
+    for axis, g, t, r, dim, extent in zip(AXES, grid.cell, tile_low, roi_low, DIMS, EXTENT):
+        tests.append(f"{_cell_sql(f'greatest({t}, {r})', g)} = _c{axis}")
+        tests.append(f"{t} {low} {r} - {dim} and {t} {high} {r} + {extent}")
+    pairs = joined.where(" and ".join(tests)).drop(*_CELL, "_tile_level", "_roi_level")
     return restore_copies(pairs) if strategy == "shuffle" else pairs

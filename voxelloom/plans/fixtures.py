@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box
-from voxelloom.schema import BOX, ROI, TILES
+from voxelloom.schema import BOX, ROI
 from voxelloom.session import ship_package
 
 SIDE = 4
@@ -24,16 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     grey = "cast(greatest(0, least(255, floor((cast(e as double) + 1) * 127.5))) as int)"
-    boxed = vectors.select(
-        F.expr("cast(1 + vec_id div 512 as int)").alias("image_id"),
-        F.lit(1).alias("zoom_out"),
-        F.expr(f"cast((vec_id % 8) * {SIDE} as int)").alias("x"),
-        F.expr(f"cast(((vec_id div 8) % 8) * {SIDE} as int)").alias("y"),
-        F.expr(f"cast(((vec_id div 64) % 8) * {SIDE} as int)").alias("z"),
-        *[F.lit(SIDE).alias(c) for c in BOX[3:]],
-        F.expr(f"unhex(array_join(transform(embedding, e -> lpad(hex({grey}), 2, '0')), ''))").alias("pixels"),
-    )
-    return boxed.withColumn("name", name_of_box()).select(*TILES.fieldNames())
+    return vectors.selectExpr(
+        "cast(1 + vec_id div 512 as int) as image_id",
+        "1 as zoom_out",
+        f"cast((vec_id % 8) * {SIDE} as int) as x",
+        f"cast(((vec_id div 8) % 8) * {SIDE} as int) as y",
+        f"cast(((vec_id div 64) % 8) * {SIDE} as int) as z",
+        *[f"{SIDE} as {c}" for c in BOX[3:]],
+        f"unhex(array_join(transform(embedding, e -> lpad(hex({grey}), 2, '0')), '')) as pixels",
+    ).select("image_id", name_of_box().alias("name"), "zoom_out", *BOX, "pixels")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "height": f"1 + {key} % 7",
         "depth": f"1 + {key} % 5",
     }
-    return parts.select(*[F.expr(fields[f.name]).cast(f.dataType).alias(f.name) for f in ROI])
+    return parts.selectExpr(*[f"cast({fields[f.name]} as {f.dataType.simpleString()}) as {f.name}" for f in ROI])
 
 
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

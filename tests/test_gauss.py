@@ -126,3 +126,5 @@ def test_long_axes_give_the_same_as_short_ones(monkeypatch):
     for s, expected in zip((stack, bright), by_matrix):
         assert (blur(s, (2.0, 1.3, 0.7)) == expected).all()
     assert (by_matrix[1] == 255).all()
+    monkeypatch.setattr(gauss, "BLOCK_VOXELS", 100)
+    assert (blur(stack, (2.0, 1.3, 0.7)) == by_matrix[0]).all()

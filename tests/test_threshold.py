@@ -165,3 +165,45 @@ def test_each_slice_has_its_own_threshold_and_bright_background_inverts(spark):
 def test_unknown_method_is_refused_before_any_job(spark):
     with pytest.raises(ValueError, match="unknown threshold"):
         auto_threshold(frame(spark, [tile(np.zeros((1, 1, 1)))]), "nope")
+
+
+def slow_peaks(values):
+    """Smooth until two strict peaks are left; None if that never happens."""
+    h = np.bincount(values, minlength=256).astype(float)
+    for _ in range(10_000):
+        noise = h.max() / 1e9
+        peaks = [i for i in range(1, 255) if h[i] - h[i - 1] > noise and h[i] - h[i + 1] > noise]
+        if len(peaks) <= 2:
+            return (h, peaks) if len(peaks) == 2 else (h, None)
+        wide = np.r_[0.0, h, 0.0]
+        h = (wide[:-2] + wide[1:-1] + wide[2:]) / 3
+    return h, None
+
+
+def test_peaks_of_the_smoothed_histogram():
+    values = np.array([v for v in samples() if v.min() != v.max()])
+    middle, valley = levels(histograms(values), "intermodes"), levels(histograms(values), "minimum")
+    for v, m, low in zip(values, middle.tolist(), valley.tolist()):
+        h, peaks = slow_peaks(v)
+        if peaks is None:
+            assert m == low == int(v.astype(int).sum() // len(v))
+        else:
+            assert m == sum(peaks) // 2
+            inside = np.floor(h / (h.max() / 1e9) + 0.5)[peaks[0] : peaks[1] + 1]
+            assert low == peaks[0] + int(np.argmin(inside))
+
+
+def test_method_names_ignore_case_and_the_background_suffix():
+    values = samples()
+    assert (levels(histograms(values), "HUANG dark") == levels(histograms(values), "huang")).all()
+
+
+def test_large_stacks_are_worked_off_in_parts(spark, monkeypatch):
+    from voxelloom.functions import batches
+
+    stack = RNG.integers(0, 256, (7, 5, 6), dtype=np.uint8)
+    from voxelloom.operators.threshold import binarise
+
+    whole = batches.per_slices(stack[None], lambda s: binarise(s, "otsu"))
+    monkeypatch.setattr(batches, "STACK_VOXELS", 60)
+    assert (batches.per_slices(stack[None], lambda s: binarise(s, "otsu")) == whole).all()

@@ -62,6 +62,16 @@ def stacks(batch: pa.RecordBatch, max_voxels: int = STACK_VOXELS) -> Iterator[tu
             yield part, flat.reshape(part.size, d, h, w)
 
 
+def per_slices(stack: np.ndarray, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Run a kernel over the slices of an (n, z, y, x) stack, a bounded number of voxels at a time."""
+    slices = stack.reshape(-1, *stack.shape[2:])
+    step = max(1, STACK_VOXELS // (slices.shape[1] * slices.shape[2]))
+    if len(slices) <= step:
+        return kernel(slices).reshape(stack.shape)
+    parts = [kernel(slices[i : i + step]) for i in range(0, len(slices), step)]
+    return np.concatenate(parts).reshape(stack.shape)
+
+
 def with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     i = batch.schema.get_field_index(name)
     return batch.set_column(i, pa.field(name, column.type), column)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import ints, map_payloads, stacks
+from voxelloom.functions.batches import ints, map_payloads, per_slices, stacks
 from voxelloom.operators.layout import VOXEL_ROWS
 from voxelloom.schema import TILE_META
 
@@ -165,15 +165,13 @@ def to_grey(filtered: np.ndarray, band: Band) -> np.ndarray:
     return grey.astype(np.uint8)
 
 
-def bandpass_stack(stack: np.ndarray, band: Band) -> np.ndarray:
-    n, depth = stack.shape[:2]
-    slices = stack.reshape(n * depth, *stack.shape[2:])
-    return to_grey(filter_slices(slices, band), band).reshape(stack.shape)
+def bandpass_slices(slices: np.ndarray, band: Band) -> np.ndarray:
+    return to_grey(filter_slices(slices, band), band)
 
 
 def bandpass(tiles: DataFrame, band: Band = Band()) -> DataFrame:
     """Filter every slice of every tile; a narrow step."""
-    return tiles.mapInArrow(map_payloads(lambda s: bandpass_stack(s, band)), tiles.schema)
+    return tiles.mapInArrow(map_payloads(lambda s: per_slices(s, lambda part: bandpass_slices(part, band))), tiles.schema)
 
 
 def mirror_pad(tiles: DataFrame) -> DataFrame:

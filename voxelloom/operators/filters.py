@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from voxelloom.functions.batches import map_payloads
+from voxelloom.functions.batches import map_payloads, per_slices
 from voxelloom.operators import bandpass, gauss, histogram, threshold
 
 
@@ -85,8 +85,7 @@ def apply_filter(tiles: DataFrame, spec: str | Filter, params: Mapping[str, obje
     if chosen.granularity == "slice":
 
         def run(stack: np.ndarray) -> np.ndarray:
-            n, depth = stack.shape[:2]
-            return kernel(stack.reshape(n * depth, *stack.shape[2:]), **values).reshape(stack.shape)
+            return per_slices(stack, lambda slices: kernel(slices, **values))
     else:
 
         def run(stack: np.ndarray) -> np.ndarray:
@@ -99,9 +98,8 @@ def _gaussian(stack, sigma_x, sigma_y, sigma_z):
     return gauss.blur(stack, (sigma_x, sigma_y, sigma_z))
 
 
-def _bandpass(slices, large, small, stripes, tolerance, scale, saturate):
-    band = bandpass.Band(large, small, stripes, tolerance, scale, saturate)
-    return bandpass.to_grey(bandpass.filter_slices(slices, band), band)
+def _bandpass(slices, **settings):
+    return bandpass.bandpass_slices(slices, bandpass.Band(**settings))
 
 
 _SIGMAS = {"sigma_x": "double", "sigma_y": "double", "sigma_z": "double"}
@@ -131,6 +129,7 @@ register_filter(
     threshold.binarise,
     {"method": "string", "dark": "boolean"},
     {"method": "Default", "dark": True},
+    granularity="slice",
 )
 register_filter("stretch", histogram.stretch, {"saturated": "double"}, {"saturated": 1.0}, granularity="slice")
 register_filter("invert", lambda stack: 255 - stack, granularity="slice")

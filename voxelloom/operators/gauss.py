@@ -17,6 +17,8 @@ from voxelloom.functions.batches import map_payloads
 ONE = 1 << 16
 # Longest axis that is blurred by a matrix product.
 MATRIX_SIZE = 1024
+# Voxels blurred at once.
+BLOCK_VOXELS = 1 << 18
 Z, Y, X = 1, 2, 3
 
 
@@ -79,16 +81,29 @@ def weighted_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarra
     return (_matrix_sum if values.shape[axis] <= MATRIX_SIZE else _shifted_sum)(values, weights, axis)
 
 
+def _blur_axis(stack: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
+    """One pass, in blocks along the longest other axis, so that a large tile needs little extra memory."""
+    along = max((a for a in range(stack.ndim) if a != axis), key=lambda a: stack.shape[a])
+    step = max(1, BLOCK_VOXELS * stack.shape[along] // stack.size)
+    out = np.empty(stack.shape, np.uint8)
+    block = [slice(None)] * stack.ndim
+    for first in range(0, stack.shape[along], step):
+        block[along] = slice(first, first + step)
+        total = weighted_sum(stack[tuple(block)], weights, axis)
+        total += ONE // 2
+        total *= 1 / ONE
+        # whole numbers below 256 after truncation
+        out[tuple(block)] = total.astype(np.uint8)
+    return out
+
+
 def blur(stack: np.ndarray, sigmas: tuple[float, float, float]) -> np.ndarray:
     """Blur uint8 stacks of shape (n, z, y, x) with one sigma per axis x, y, z."""
     for axis, sigma in zip((X, Y, Z), sigmas):
         weights = kernel_weights(sigma)
         if len(weights) > 1:
-            total = weighted_sum(stack, weights, axis)
-            total += ONE // 2
-            total *= 1 / ONE
-            stack = np.floor(total, out=total)
-    return stack.astype(np.uint8)
+            stack = _blur_axis(stack, weights, axis)
+    return stack
 
 
 def blur_strip(stack: np.ndarray, sigma_x: float, sigma_y: float) -> np.ndarray:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import ints, map_payloads, stacks
+from voxelloom.functions.batches import STACK_VOXELS, ints, map_payloads, per_slices, stacks
 from voxelloom.schema import TILE_META
 
 LEVELS = 256
@@ -15,9 +15,14 @@ LEVELS = 256
 
 def histograms(slices: np.ndarray) -> np.ndarray:
     """Dense counts (slices, 256) of uint8 slices (slices, ...)."""
-    count = slices.shape[0]
-    index = slices.reshape(count, -1) + np.arange(0, count * LEVELS, LEVELS, dtype=np.int64)[:, None]
-    return np.bincount(index.ravel(), minlength=count * LEVELS).reshape(count, LEVELS)
+    flat = slices.reshape(len(slices), -1)
+    counts = np.empty((len(flat), LEVELS), np.int64)
+    step = max(1, STACK_VOXELS // flat.shape[1])
+    for i in range(0, len(flat), step):
+        part = flat[i : i + step]
+        index = part + np.arange(0, len(part) * LEVELS, LEVELS, dtype=np.int32)[:, None]
+        counts[i : i + step] = np.bincount(index.ravel(), minlength=len(part) * LEVELS).reshape(-1, LEVELS)
+    return counts
 
 
 def apply_levels(slices: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -95,12 +100,7 @@ def stretch(slices: np.ndarray, saturated: float = 1.0) -> np.ndarray:
     return apply_levels(slices, table.astype(np.uint8))
 
 
-def stretch_stack(stack: np.ndarray, saturated: float = 1.0) -> np.ndarray:
-    n, depth = stack.shape[:2]
-    return stretch(stack.reshape(n * depth, *stack.shape[2:]), saturated).reshape(stack.shape)
-
-
 def contrast_stretch(tiles: DataFrame, saturate: bool = True) -> DataFrame:
     """Stretch every slice, clipping one percent of its pixels or none."""
     saturated = 1.0 if saturate else 0.0
-    return tiles.mapInArrow(map_payloads(lambda s: stretch_stack(s, saturated)), tiles.schema)
+    return tiles.mapInArrow(map_payloads(lambda s: per_slices(s, lambda part: stretch(part, saturated))), tiles.schema)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import map_payloads
+from voxelloom.functions.batches import map_payloads, per_slices
 from voxelloom.operators.histogram import LEVELS, apply_levels, histograms
 
 GREY = np.arange(LEVELS)
@@ -293,8 +293,9 @@ METHODS: dict[str, Callable[[Cumulative], np.ndarray]] = {
 
 
 def method_of(name: str) -> Callable[[Cumulative], np.ndarray]:
+    """Method by name, whatever its case; a trailing " dark" is the default background and changes nothing."""
     try:
-        return METHODS[name.lower()]
+        return METHODS[name.lower().removesuffix(" dark")]
     except KeyError:
         raise ValueError(f"unknown threshold method {name!r}; known: {sorted(METHODS)}") from None
 
@@ -305,19 +306,18 @@ def levels(counts: np.ndarray, method: str) -> np.ndarray:
     return np.where(h.darkest == h.brightest, h.darkest, method_of(method)(h))
 
 
-def binarise(stack: np.ndarray, method: str, dark: bool = True) -> np.ndarray:
-    n, depth = stack.shape[:2]
-    slices = stack.reshape(n * depth, -1)
+def binarise(slices: np.ndarray, method: str, dark: bool = True) -> np.ndarray:
+    """Black and white (n, y, x) slices."""
     level = levels(histograms(slices), method)[:, None]
     above = GREY[None, :] > level
     table = np.where(above if dark else ~above, 255, 0).astype(np.uint8)
-    return apply_levels(slices, table).reshape(stack.shape)
+    return apply_levels(slices, table)
 
 
 def auto_threshold(tiles: DataFrame, method: str = "Default", dark: bool = True) -> DataFrame:
     """Binarise every slice by its own threshold; a narrow step."""
     method_of(method)
-    return tiles.mapInArrow(map_payloads(lambda s: binarise(s, method, dark)), tiles.schema)
+    return tiles.mapInArrow(map_payloads(lambda s: per_slices(s, lambda part: binarise(part, method, dark))), tiles.schema)
 
 
 def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from voxelloom.operators.gauss import gauss3d_tile
 from voxelloom.plans import jobs
 from voxelloom.schema import TILES
 from voxelloom.sources import images, sequence, tables
-from voxelloom.streaming.arrivals import filter_arrivals
+from voxelloom.streaming.arrivals import arriving_tiles, filter_arrivals
 
 RNG = np.random.default_rng(2)
 
@@ -56,7 +56,7 @@ def test_decode_and_flag_bad_files(spark, folder, volume):
     good = images.read_tiles(spark, str(folder), image_id=7)
     assert good.schema.names == TILES.names
     assert content(good.collect()) == expected(volume)
-    problems = {r["name"]: r["problem"] for r in images.decode_tiles(spark, str(folder)).where("problem is not null").collect()}
+    problems = {r["name"]: r["problem"] for r in images.decode_tiles(images.read_images(spark, str(folder))).where("problem is not null").collect()}
     assert problems == {"0-4_0-4_90-93": "decode", "holiday": "name", "0-4_0-4_80-83": "shape"}
     with pytest.raises(Exception, match="unusable image"):
         images.read_tiles(spark, str(folder), on_error="fail").collect()
@@ -188,15 +188,18 @@ def test_request_jobs(spark, tmp_path, volume):
     assert pairs.count() == 16 and [tuple(r) for r in counts.collect()] == [(1, 2)]
 
 
-def test_arriving_files_are_filtered_once(spark, tmp_path, volume):
-    source, pix, state = (str(tmp_path / n) for n in ("in", "pix", "state"))
-    rows = cut_volume(volume, (4, 4, 3))
-    for part in (rows[:5], rows[3:]):
-        frame(spark, part).write.mode("append").parquet(source)
-        query = filter_arrivals(spark, source, pix, state, "invert", files_per_trigger=1)
-        query.awaitTermination(120)
-    assert content(tables.read_pix(spark, pix).collect()) == expected(255 - volume)
-    assert tables.read_pix(spark, pix).count() == 8
+def test_arriving_files_are_filtered_once(spark, tmp_path, folder, volume):
+    source, pix, state = tmp_path / "in", str(tmp_path / "pix"), str(tmp_path / "state")
+    source.mkdir()
+    files = sorted(folder.iterdir())
+    for part in (files[:5], files[3:]):
+        for file in part:
+            (source / file.name).write_bytes(file.read_bytes())
+        arriving = arriving_tiles(spark, str(source), image_id=3, files_per_trigger=2)
+        filter_arrivals(arriving, pix, state, "invert").awaitTermination(120)
+    stored = tables.read_pix(spark, pix).collect()
+    assert content(stored) == expected(255 - volume)
+    assert len(stored) == 8 and {r["image_id"] for r in stored} == {3}
 
 
 def test_single_slice_and_single_voxel_tiles(spark, tmp_path):

@@ -51,6 +51,7 @@ def mixed_boxes(seed, count=80):
 @pytest.mark.parametrize("strategy,hot", [("auto", 50_000), ("broadcast", 50_000), ("shuffle", 50_000), ("shuffle", 3)])
 def test_join_equals_brute_force(spark, monkeypatch, touching, strategy, hot):
     monkeypatch.setattr(boxjoin, "HOT_KEYS", 1 << 40)
+    monkeypatch.setattr(boxjoin, "BROADCAST_CELLS", 1 << 40)
     rows, boxes = mixed_tiles(1), mixed_boxes(2)
     got = roi_join(frame(spark, rows), requests(spark, boxes), touching, strategy, hot_rows=hot)
     assert sorted((r["req_id"], r["name"]) for r in got.collect()) == slow_pairs(rows, boxes, touching)
@@ -78,7 +79,17 @@ def test_touching_is_not_overlapping(spark):
     assert sorted(r["req_id"] for r in roi_join(df, asked, touching=True).collect()) == [0, 1, 3]
 
 
-def test_plan_has_no_pairwise_join_and_broadcast_keeps_tiles_in_place(spark):
+def test_only_few_request_cells_are_broadcast(spark, monkeypatch):
+    df, asked = frame(spark, [tile(np.zeros((2, 2, 2)))]), requests(spark, [(0, 0, 0, 2, 2, 2)] * 3)
+    monkeypatch.setattr(boxjoin, "BROADCAST_CELLS", 3)
+    with pytest.raises(ValueError, match="too many to broadcast"):
+        roi_join(df, asked, strategy="broadcast")
+    assert roi_join(df, asked).count() == 3
+    assert roi_assemble(df, asked).count() == 3
+
+
+def test_plan_has_no_pairwise_join_and_broadcast_keeps_tiles_in_place(spark, monkeypatch):
+    monkeypatch.setattr(boxjoin, "BROADCAST_CELLS", 1 << 40)
     df, asked = frame(spark, mixed_tiles(3)), requests(spark, mixed_boxes(4))
     for strategy in ("broadcast", "shuffle"):
         plan = roi_join(df, asked, strategy=strategy)._jdf.queryExecution().executedPlan().toString()

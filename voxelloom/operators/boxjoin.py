@@ -144,6 +144,8 @@ def box_join(
     grid = grid or measure(tiles, requests)
     if strategy == "auto":
         strategy = grid.strategy()
+    if strategy == "broadcast" and grid.request_cells > BROADCAST_CELLS:
+        raise ValueError(f"{grid.request_cells} request cells are too many to broadcast")
 
     extra = 0 if touching else 1
     asked = requests.select(*[F.col(c).alias(f"roi_{c}") if c in ORIGIN else F.col(c) for c in requests.columns])

@@ -81,7 +81,7 @@ def weighted_sum(values: np.ndarray, weights: list[int], axis: int) -> np.ndarra
     return (_matrix_sum if values.shape[axis] <= MATRIX_SIZE else _shifted_sum)(values, weights, axis)
 
 
-def _blur_axis(stack: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
+def blur_axis(stack: np.ndarray, weights: list[int], axis: int) -> np.ndarray:
     """One pass, in blocks along the longest other axis, so that a large tile needs little extra memory."""
     along = max((a for a in range(stack.ndim) if a != axis), key=lambda a: stack.shape[a])
     step = max(1, BLOCK_VOXELS * stack.shape[along] // stack.size)
@@ -102,7 +102,7 @@ def blur(stack: np.ndarray, sigmas: tuple[float, float, float]) -> np.ndarray:
     for axis, sigma in zip((X, Y, Z), sigmas):
         weights = kernel_weights(sigma)
         if len(weights) > 1:
-            stack = _blur_axis(stack, weights, axis)
+            stack = blur_axis(stack, weights, axis)
     return stack
 
 

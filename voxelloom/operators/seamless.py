@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from voxelloom.functions.batches import ints, payload_view
 from voxelloom.operators.blocks import PIECE, Part, PieceBuffer, Row, cut, fold_blocks, paste
-from voxelloom.operators.gauss import ONE, kernel_weights, weighted_sum
+from voxelloom.operators.gauss import blur_axis, kernel_weights, weighted_sum
 from voxelloom.schema import AXES, BOX, DIMS, TILE_META, VOLUME
 
 # Image bounds that may be sent to every executor (one small row per image).
@@ -50,17 +50,17 @@ def _masked_blur(values: np.ndarray, present: np.ndarray, sigmas: tuple, core: l
     for axis, sigma in zip((2, 1, 0), sigmas):
         weights = kernel_weights(sigma)
         if len(weights) > 1:
-            total = weighted_sum(values, weights, axis)
             if present.all():
-                values = np.floor((total + ONE // 2) * np.float32(1 / ONE))
+                values = blur_axis(values, weights, axis)
             else:
+                total = weighted_sum(values, weights, axis).astype(np.int64)
                 used = weighted_sum(present, weights, axis).astype(np.int64)
-                blurred = (total.astype(np.int64) + used // 2) // np.maximum(used, 1)
-                values = np.where(present, blurred, 0).astype(np.float32)
+                blurred = (total + used // 2) // np.maximum(used, 1)
+                values = np.where(present, blurred, 0).astype(np.uint8)
         crop = [slice(None)] * 3
         crop[axis] = core[axis]
         values, present = values[tuple(crop)], present[tuple(crop)]
-    return values.astype(np.uint8)
+    return values
 
 
 def gauss3d_seamless(

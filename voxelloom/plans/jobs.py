@@ -69,7 +69,7 @@ def filter_sequence(
 
 def images_to_sequence(spark: SparkSession, path_list: str, folder: str, target: str) -> None:
     """Decode the listed images into raw-pixel sequence files; unusable images are left out."""
-    decoded = images.in_path_list(images.decode_tiles(spark, folder), path_list)
+    decoded = images.in_path_list(images.decode_tiles(images.read_images(spark, folder)), path_list)
     kept = decoded.where(F.col("problem").isNull())
     sequence.write_sequence(kept.select("name", "pixels"), target)
 

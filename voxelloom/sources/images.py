@@ -20,6 +20,7 @@ from voxelloom.schema import TILE_META
 IMAGE_GLOB = "*.jpg"
 # Longest path list that is handed to a reader directly.
 LISTED_PATHS = 10_000
+IMAGE_ROWS = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str = IMAGE_GLOB) -> DataFrame:
@@ -73,15 +74,19 @@ def brightness(weights: tuple[float, float, float] | None = None):
     return convert
 
 
-def decode_tiles(spark: SparkSession, path: str | list[str], image_id: int = -1, color: str = "reject") -> DataFrame:
-    """Decoded tiles with ``problem``: NULL for a good tile, else why the file cannot be used.
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decoded images; an undecodable file is a row without channels."""
+    return spark.read.format("image").option("dropInvalid", "false").load(path)
+
+
+def decode_tiles(decoded: DataFrame, image_id: int = -1, color: str = "reject") -> DataFrame:
+    """Tiles of :func:`read_images` rows, with ``problem``: NULL for a good tile, else why it cannot be used.
 
     ``color`` says what happens to colour images: ``reject`` flags them, ``brightness`` converts them.
     """
     if color not in ("reject", "brightness"):
         raise ValueError("color is 'reject' or 'brightness'")
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    named = parse_names(raw.withColumnRenamed("origin", "path"))
+    named = parse_names(decoded.select("image.*").withColumnRenamed("origin", "path"))
     grey = F.col("nChannels") == 1
     pixels = F.when(grey, F.col("data"))
     if color == "brightness":
@@ -110,7 +115,7 @@ def read_tiles(
     spark: SparkSession, path: str | list[str], image_id: int = -1, on_error: str = "skip", color: str = "reject"
 ) -> DataFrame:
     """Usable tiles of an image folder; ``on_error='fail'`` stops at the first unusable file."""
-    decoded = decode_tiles(spark, path, image_id, color)
+    decoded = decode_tiles(read_images(spark, path), image_id, color)
     if on_error == "skip":
         decoded = decoded.where(F.col("problem").isNull())
     elif on_error == "fail":

@@ -5,27 +5,33 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxelloom.operators.filters import apply_filter
 from voxelloom.schema import TILES
-from voxelloom.sources import tables
+from voxelloom.sources import images, tables
+
+
+def arriving_tiles(spark: SparkSession, source: str, image_id: int = -1, files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of the usable tiles among the image files that appear in a folder."""
+    reader = spark.readStream.format("image").schema(images.IMAGE_ROWS)
+    reader = reader.option("dropInvalid", "false").option("maxFilesPerTrigger", files_per_trigger)
+    decoded = images.decode_tiles(reader.load(source), image_id)
+    return decoded.where(F.col("problem").isNull()).select(*TILES.fieldNames())
 
 
 def filter_arrivals(
-    spark: SparkSession,
-    source: str,
+    arriving: DataFrame,
     target: str,
     checkpoint: str,
     filter_name: str,
     params: Mapping[str, object] | None = None,
-    files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Filter tiles of every Parquet file that appears in ``source`` and append them to the tile table.
+    """Filter a stream of tiles and append the results to the tile table until no file is left.
 
     A batch that is repeated after a failure adds nothing twice.
     """
-    arriving = spark.readStream.schema(TILES).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def store(batch: DataFrame, _: int) -> None:
         tables.append_pix_once(apply_filter(batch, filter_name, params), target)

@@ -97,7 +97,7 @@ def split_hot(
 
     A key with n left and m right rows becomes ceil(n/hot) * ceil(m/hot) buckets: each row picks its share
     on its own side by a hash of its other columns (or of ``right_by``) and is repeated over the shares of the
-    other side, so every pair meets once. The table of crowded keys is sent to all tasks: the caller chooses
+    other side, so every pair meets once. The tables of crowded keys are sent to all tasks: the caller chooses
     ``hot_rows`` so that neither side can have more than ``HOT_KEYS`` of them.
     """
     shares = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
@@ -105,11 +105,12 @@ def split_hot(
     for side, name in ((left, "_fa"), (right, "_fb")):
         sizes = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
         crowded.append(sizes.select(*keys, shares.alias(name)))
-    hot = F.broadcast(crowded[0].join(crowded[1], keys, "full_outer"))
     one = F.lit(1)
 
     def deal(side: DataFrame, by: list[str], own: str, own_share: str, other: str, other_share: str) -> DataFrame:
-        marked = side.join(hot, keys, "left")
+        marked = side
+        for found in crowded:
+            marked = marked.join(F.broadcast(found), keys, "left")
         marked = marked.withColumn(own_share, F.pmod(F.xxhash64(*by), F.coalesce(own, one)).cast("int"))
         repeats = F.sequence(F.lit(0), F.coalesce(other, one) - 1)
         return marked.withColumn(other_share, F.explode(repeats)).drop("_fa", "_fb")

@@ -352,16 +352,16 @@ def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
         return F.min(F.when(ok, F.struct(score.alias("score"), level.alias("t"))))["t"]
 
     # midpoint of the class means, rounded up in integers
-    mid = F.expr("cast((s * (pt - p) + (st - s) * p + 2 * p * (pt - p) - 1) div nullif(2 * p * (pt - p), 0) as int)")
+    twice = "2 * p * (pt - p)"
+    mid = F.expr(f"cast((s * (pt - p) + (st - s) * p + {twice} - 1) div nullif({twice}, 0) as int)")
     iso_level = F.greatest(v, mid)
     iso = F.coalesce(
         F.min(F.when(valid & (iso_level < F.col("up")), iso_level)), F.max(F.when(valid, F.col("up") - 1))
     )
     gap = (st * p - s * pt).cast("double")
     otsu_score = -(gap * gap / F.nullif((p * above).cast("double"), F.lit(0.0)))
-    entropy = (
-        F.log(p) - F.col("e") / p + F.log(F.nullif(above, F.lit(0))) - (F.col("et") - F.col("e")) / F.nullif(above, F.lit(0))
-    )
+    rest = F.nullif(above, F.lit(0))
+    entropy = F.log(p) - F.col("e") / p + F.log(rest) - (F.col("et") - F.col("e")) / rest
     yen_score = 2 * F.log(F.nullif((p * above).cast("double"), F.lit(0.0))) - F.log(
         F.nullif((F.col("q") * (F.col("qt") - F.col("q"))).cast("double"), F.lit(0.0))
     )

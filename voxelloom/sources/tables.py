@@ -74,7 +74,12 @@ def images_of(tiles: DataFrame) -> DataFrame:
 
 
 def read_pix_jdbc(
-    spark: SparkSession, url: str, table: str = "pix", partitions: int = 64, bounds: tuple[int, int] = (0, 1 << 20), **options
+    spark: SparkSession,
+    url: str,
+    table: str = "pix",
+    partitions: int = 64,
+    bounds: tuple[int, int] = (0, 1 << 20),
+    **options,
 ) -> DataFrame:
     """One bulk scan of a database table, split on ``x`` into parallel range reads."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)

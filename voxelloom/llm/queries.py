@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxelloom.llm import packing
-from voxelloom.llm.common import table
+from voxelloom.llm import lines, packing
+from voxelloom.llm.common import LOWER, UPPER, keyed, table
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,9 +16,31 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that repeat across documents, dropped from all but the largest document."""
+    done = lines.dedup_lines(keyed(table(spark, folder, "documents"), "doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, place, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents)
+), repeated AS (
+    SELECT key, max(doc_id) AS last_doc FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT l.*, coalesce(l.doc_id <> r.last_doc, false) AS gone FROM lines l LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing,)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}

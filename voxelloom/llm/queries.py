@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import lines, packing
-from voxelloom.llm.common import LOWER, UPPER, keyed, table
+from voxelloom.llm import decontamination, lines, packing
+from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, table
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +16,40 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that stand in a passage of ten words of the benchmark."""
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def _sql_words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+
+
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+items AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
+phrases AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[pos + 1 : pos + 10], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, least(len(w), 1)))) AS pos FROM items)
+), places AS (
+    SELECT doc_id, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS phrase
+    FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS pos FROM docs, (SELECT DISTINCT size FROM phrases))
+), found AS (
+    SELECT doc_id, size, pos, item_id FROM places JOIN phrases USING (size, phrase)
+), hits AS (
+    SELECT doc_id, count(DISTINCT pos + i) AS n_hit FROM (SELECT doc_id, pos, unnest(range(size)) AS i FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that repeat across documents, dropped from all but the largest document."""
     done = lines.dedup_lines(keyed(table(spark, folder, "documents"), "doc_id", "text"))
@@ -39,8 +73,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_decontamination, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, lines, packing
+from voxelloom.llm import decontamination, licenses, lines, packing, quality, toxicity
 from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, table
 
 
@@ -16,6 +16,12 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = keyed(table(spark, folder, "documents"), "doc_id", "text")
+    return toxicity.severity(docs, table(spark, folder, "labels")).drop("text")
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that stand in a passage of ten words of the benchmark."""
     found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -50,6 +56,12 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; a third of the labelled rows is never learned from."""
+    docs = keyed(table(spark, folder, "documents"), "doc_id", "text")
+    return quality.assess(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that repeat across documents, dropped from all but the largest document."""
     done = lines.dedup_lines(keyed(table(spark, folder, "documents"), "doc_id", "text"))
@@ -72,9 +84,43 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licenses.scan(table(spark, folder, "documents")).drop("matches")
+
+
+def _op10_sql() -> str:
+    known = {label: licenses.words(text) for label, text in licenses.TEMPLATES}
+    rows = ", ".join(f"('{label}', '{w.decode()}', {len(own)}, {len(set(own))})" for label, own in known.items() for w in sorted(set(own)))
+    phrases = ", ".join(f"('{label}', '{text}', {len(text.split())})" for text, label in licenses.PHRASES.items())
+    return f"""
+WITH docs AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
+templates AS (SELECT * FROM (VALUES {rows}) AS t(label, word, step, n)),
+phrases AS (SELECT * FROM (VALUES {phrases}) AS t(label, phrase, n)),
+base AS (
+    SELECT d.doc_id, p.label, pos FROM placed JOIN docs d USING (doc_id) JOIN phrases p
+    ON split_part(p.phrase, ' ', 1) = placed.word AND array_to_string(w[pos + 1 : pos + p.n], ' ') = p.phrase
+), blocks AS (
+    SELECT doc_id, label, block, count(DISTINCT word) / any_value(n) AS score
+    FROM (SELECT doc_id, label, word, n, unnest([pos // step, pos // step - 1]) AS block FROM placed JOIN templates USING (word))
+    WHERE block >= 0 GROUP BY doc_id, label, block HAVING count(DISTINCT word) >= ceil(round({licenses.THRESHOLD} * any_value(n), 9))
+), counted AS (
+    SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+    FROM base GROUP BY doc_id
+), named AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM blocks) GROUP BY doc_id
+), best AS (SELECT doc_id, max(score) AS score FROM blocks GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_decontamination, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_decontamination, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_license_scan": _op10_sql()}

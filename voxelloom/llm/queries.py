@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, fingerprints, licenses, lines, packing, quality, toxicity
+from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, toxicity
 from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, table
 
 
@@ -61,6 +61,11 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return near_duplicates.classes(table(spark, folder, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; a third of the labelled rows is never learned from."""
     docs = keyed(table(spark, folder, "documents"), "doc_id", "text")
@@ -124,7 +129,7 @@ FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id) LEFT J
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_decontamination, op6_fingerprints, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_decontamination, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

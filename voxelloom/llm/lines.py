@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelloom.llm.batches import BatchLog
 from voxelloom.llm.common import keyed, kind, map_batches, schema, scratch_folder, stored
 from voxelloom.llm.cuckoo import CuckooFilter, build
 
@@ -85,49 +86,31 @@ _FILTER = schema(("shard", "integer"), ("buckets", "long"), ("filter", "binary")
 _FILTER_ARROW = pa.schema([("shard", pa.int32()), ("buckets", pa.int64()), ("filter", pa.binary())])
 
 
-class LineStore:
+class LineStore(BatchLog):
     """Lines of a growing and shrinking set of documents, in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str, shards: int, doc_type: T.DataType | None = None) -> None:
-        self.spark, self.folder, self.shards = spark, folder, shards
+        super().__init__(spark, folder)
+        self.shards = shards
         self.doc_type = doc_type or T.LongType()
 
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
-
-    def _files(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def batches(self) -> list[str]:
-        """Names of the committed batches, oldest first."""
-        if not self._files().exists(self._path("commits")):
-            return []
-        found = [x.getPath().getName() for x in self._files().listStatus(self._path("commits"))]
-        return [x.split("-", 1)[1] for x in sorted(found)]
-
-    def _read(self, what: str, shape: T.StructType) -> DataFrame:
-        steps = [f"{self.folder}/{what}/{n:08d}" for n, _ in enumerate(self.batches())]
-        if not steps:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(*steps)
-
     def _refs(self) -> DataFrame:
         """Which document holds which line now."""
         shape = schema(("shard", "integer"), ("line", "binary"), ("_doc", self.doc_type), ("sign", "integer"))
-        found = self._read("refs", shape).groupBy("shard", "line", "_doc").agg(F.sum("sign").alias("_n"))
+        found = self.read("refs", shape).groupBy("shard", "line", "_doc").agg(F.sum("sign").alias("_n"))
         return found.filter("_n > 0").drop("_n")
 
     def counts(self) -> DataFrame:
         """shard, line, n_docs, last_doc of every line that stands in any document."""
         shape = schema(("step", "long"), ("shard", "integer"), ("line", "binary"), ("n_docs", "long"), ("last_doc", self.doc_type))
         newest = F.max_by(F.struct("n_docs", "last_doc"), "step").alias("_x")
-        return self._read("counts", shape).groupBy("shard", "line").agg(newest).select("shard", "line", "_x.*").filter("n_docs > 0")
+        return self.read("counts", shape).groupBy("shard", "line").agg(newest).select("shard", "line", "_x.*").filter("n_docs > 0")
 
     def filters(self) -> DataFrame:
         """shard, buckets, filter: the cuckoo filter of each shard's repeated lines."""
         shape = T.StructType([*schema(("step", "long")), *_FILTER])
         newest = F.max_by(F.struct("buckets", "filter"), "step").alias("_x")
-        return self._read("filters", shape).groupBy("shard").agg(newest).select("shard", "_x.*")
+        return self.read("filters", shape).groupBy("shard").agg(newest).select("shard", "_x.*")
 
     def insert(self, batch: str, docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> bool:
         """Add documents. Lines that the store already holds for a document count once. False: the batch is in already."""
@@ -150,9 +133,7 @@ class LineStore:
 
     def _commit(self, batch: str, signed: DataFrame, min_docs: int) -> bool:
         before, step = self.counts(), len(self.batches())
-        here = lambda what: f"{self.folder}/{what}/{step:08d}"
-        signed.write.mode("overwrite").parquet(here("refs"))
-        added = self.spark.read.parquet(here("refs"))
+        added = self.write(step, "refs", signed)
         if step:  # all documents that hold a line of this batch, with the batch
             held = self._refs().withColumn("sign", F.lit(1)).join(added.select("shard", "line").distinct(), ["shard", "line"], "left_semi")
             live = held.unionByName(added).groupBy("shard", "line", "_doc").agg(F.sum("sign").alias("_n"))
@@ -160,8 +141,7 @@ class LineStore:
             live = added.withColumn("_n", F.lit(1))
         there = F.col("_n") > 0
         after = live.groupBy("shard", "line").agg(F.count(F.when(there, 1)).alias("n_docs"), F.max(F.when(there, F.col("_doc"))).alias("last_doc"))
-        after.select(F.lit(step).cast("long").alias("step"), "*").write.mode("overwrite").parquet(here("counts"))
-        after = self.spark.read.parquet(here("counts"))
+        after = self.write(step, "counts", after.select(F.lit(step).cast("long").alias("step"), "*"))
         if step:
             was = before.select("shard", "line", (F.col("n_docs") >= min_docs).alias("was"))
             turned = after.join(was, ["shard", "line"], "left").withColumn("was", F.coalesce("was", F.lit(False)))
@@ -175,8 +155,8 @@ class LineStore:
             newer = newer.unionByName(before.join(after, ["shard", "line"], "left_anti").filter(F.col("n_docs") >= min_docs).select("shard", "line"))
         larger = newer.join(full, "shard", "left_semi").groupBy("shard").applyInArrow(_rebuilt, _FILTER)
         made = made.filter("filter is not null").unionByName(larger)
-        made.select(F.lit(step).cast("long").alias("step"), "*").write.mode("overwrite").parquet(here("filters"))
-        self._files().create(self._path("commits", f"{step:08d}-{batch}"), False).close()
+        self.write(step, "filters", made.select(F.lit(step).cast("long").alias("step"), "*"))
+        self.commit(step, batch)
         return True
 
     def rewrite(self, docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

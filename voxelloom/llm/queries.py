@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, toxicity
-from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, table
+from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, token_counts, toxicity
+from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, scratch_folder, table
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals of all documents after a load, its repetition, and the deletion of exact copies."""
+    docs = table(spark, folder, "documents")
+    store = token_counts.CountStore(spark, scratch_folder(spark, "counts"), docs.schema["doc_id"].dataType)
+    store.upsert("load", docs)
+    store.upsert("load", docs)
+    store.delete("copies", token_counts.exact_copies(docs))
+    return store.totals()
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +139,7 @@ FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id) LEFT J
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_decontamination, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_decontamination, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
-#: Encoded chunks that one Python worker remembers.
+#: Chunks, and words, that one Python worker remembers.
 REMEMBERED = 400_000
+#: Words that are encoded as one text.
+JOINED = 64
 #: Characters on which Python and the tokenizer disagree as to white space.
 _ODD = "\x1c\x1d\x1e\x1f"
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts for which lower case is left to the tokenizer, and the one letter below them that becomes two.
+_BEYOND_LATIN = re.compile("[İɐ-\U0010ffff]")
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk, where a chunk stands between white space.
 
-    The tokenizer file splits texts at white space before it merges, so ids of a text are the ids of its chunks one after
-    the other, and chunks that come again are looked up. Texts that may hold a special token, or a character that
-    only one side takes for white space, are encoded whole.
+    The tokenizer file splits texts at white space, and words from what is not a letter, before it merges; it marks the token
+    that ends a word. So the ids of a text are those of its chunks one after the other, a chunk that begins with a
+    word has the word's ids first, and words that were encoded together can be told apart. Chunks and words that come
+    again are looked up. Texts that may hold a special token, or a character that only one side takes for white space,
+    are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -25,29 +35,72 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of letters only."""
+        names, found = list(words), {}
+        parts = [names[at : at + JOINED] for at in range(0, len(names), JOINED)]
+        for part, joined in zip(parts, self._encode([" ".join(part) for part in parts]), strict=True):
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(joined, dtype="<u4")]) + 1)).tolist()
+            if len(stops) == len(part) and stops[-1] == len(joined):
+                found |= {word: joined[a:b] for word, a, b in zip(part, [0, *stops[:-1]], stops, strict=True)}
+            else:
+                found |= dict(zip(part, self._encode(part), strict=True))
+        return found
+
+    def _encode_chunks(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        split, whole = {}, []
+        for chunk in chunks:
+            low = chunk.lower()
+            match = None if _BEYOND_LATIN.search(chunk) else _LETTERS.match(low)
+            rest = low[match.end() :] if match else ""
+            if match and match.group().isalpha() and (not rest or rest[0].isascii()):
+                split[chunk] = (match.group(), rest)
+            else:
+                whole.append(chunk)
+        rests = {rest for _, rest in split.values()} - {""}
+        new = self._encode_words({word for word, _ in split.values() if word not in self.words})
+        others = list({rest for rest in rests if rest not in self.words} | set(whole))
+        new_others = dict(zip(others, self._encode(others), strict=True)) if others else {}
+        words = self.words
+        if len(words) < REMEMBERED:
+            words |= new
+            words |= {rest: new_others[rest] for rest in rests if rest in new_others}
+        of = lambda x: words[x] if x in words else new.get(x) or new_others[x]
+        found = {chunk: of(word) + of(rest) if rest else of(word) for chunk, (word, rest) in split.items()}
+        return found | {chunk: new_others[chunk] for chunk in whole}
+
     def _whole(self, text: str) -> bool:
         return any(c in text for c in _ODD) or any(s in text for s in self.special)
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        get = self.chunks.get
         chunks = [None if self._whole(text) else text.split() for text in texts]
-        missing = set().union(*(c for c in chunks if c)) - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = set().union(*(c for c in chunks if c))
-        if missing:
-            names = list(missing)
-            for at in range(0, len(names), 4096):
-                part = names[at : at + 4096]
-                self.known.update(zip(part, self._encode(part), strict=True))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+        found = [None if own is None else list(map(get, own)) for own in chunks]
+        missing = set()
+        for own, ids in zip(chunks, found, strict=True):
+            if ids and None in ids:
+                missing.update(compress(own, map(is_, ids, repeat(None))))
+        new = self._encode_chunks(missing) if missing else {}
+        out = []
+        for text, own, ids in zip(texts, chunks, found, strict=True):
+            if ids is None:
+                out += self._encode([text])
+            else:
+                out.append(b"".join([new[c] if i is None else i for c, i in zip(own, ids, strict=True)] if None in ids else ids))
+        if len(self.chunks) < REMEMBERED:
+            self.chunks |= new
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}

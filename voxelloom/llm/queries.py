@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, token_counts, toxicity
+from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, substrings, token_counts, toxicity
 from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, scratch_folder, table
 
 
@@ -66,6 +66,11 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that documents share."""
+    return substrings.repeats(table(spark, folder, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
@@ -139,7 +144,7 @@ FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id) LEFT J
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_decontamination, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

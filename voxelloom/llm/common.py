@@ -91,6 +91,13 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if text is None else text for text in batch.column(column).to_pylist()]
 
 
+def shielded(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all but the known columns renamed, so that no name can clash, and a function that takes a result back."""
+    names = {c: c if c in known else f"_column_{at}" for at, c in enumerate(docs.columns)}
+    renamed = docs.select(*[docs[f"`{c}`"].alias(name) for c, name in names.items()])
+    return renamed, lambda out: out.select(*[out[name].alias(c) for c, name in names.items()])
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns that the operators read."""
     return df.select(F.col(key), F.col(text).cast("string").alias(text))

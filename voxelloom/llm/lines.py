@@ -204,7 +204,7 @@ class LineStore(BatchLog):
                 if drop:
                     gone = set(drop)
                     left = [line for line in lines if line_key(line, min_chars) not in gone]
-                texts.append("\n".join(left) if drop else value)
+                texts.append("\n".join(left) if drop and value else value)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
             same = {c: batch.column(c) for c in columns}

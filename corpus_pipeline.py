@@ -13,23 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm import decontamination, lines, near_duplicates, packing, toxicity
-from voxelloom.llm.common import prepared, scratch_folder, table
+from voxelloom.llm.common import prepared, scratch_folder, shielded, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; it learns from the labelled ones among ``docs``."""
-    rated = toxicity.severity(docs, table(spark, sf_dir, "labels"))
-    return rated.filter(~F.col("toxic")).select(*docs.columns)
+    rows, restored = shielded(docs, "doc_id", "text")
+    rated = toxicity.severity(rows, table(spark, sf_dir, "labels"))
+    return restored(rated.filter(~F.col("toxic")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat; n_chars follows the text. A null text stays null."""
-    kept = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
+    rows, restored = shielded(docs, "doc_id", "text")
+    kept = restored(lines.dedup_lines(rows))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,115 @@
+"""Fingerprints: the columns against the same steps in Python, likeness against exact Jaccard, next documents, odd input."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from voxelloom.llm import fingerprints as fp
+
+SEED = 42
+
+
+def hash_of(*longs):
+    value = SEED
+    for x in longs:
+        value = xxhash.xxh64_intdigest((x % 2**64).to_bytes(8, "little"), seed=value % 2**64)
+    return value - 2**64 if value >= 2**63 else value
+
+
+def hash_int(number, attempt):
+    """Both are 32-bit integers."""
+    value = xxhash.xxh64_intdigest((number % 2**32).to_bytes(4, "little"), seed=SEED)
+    return xxhash.xxh64_intdigest((attempt % 2**32).to_bytes(4, "little"), seed=value)
+
+
+def shingles(text):
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def expected(text):
+    hashes = []
+    for run in shingles(text):
+        each = [xxhash.xxh64_intdigest(w.encode(), seed=SEED) for w in run]
+        hashes.append(hash_of(*each))
+    if not hashes:
+        return ""
+    of = lambda v: (v >> 57) + 64
+    least = {}
+    for v in sorted(hashes):
+        least.setdefault(of(v), v)
+    out = []
+    for number in range(128):
+        tries = [hash_int(number, a) % 2**64 for a in range(fp.ATTEMPTS)]
+        tries = [(t - 2**64 if t >= 2**63 else t) % 128 for t in tries]
+        value = next((least[t] for t in [number, *tries] if t in least), None)
+        if value is None:
+            signed = lambda t: t - 2**64 if t >= 2**63 else t
+            value = min((signed(hash_int(number, b)), v) for b, v in least.items())[1]
+        out.append("0123456789abcdef"[value & 15])
+    return "".join(out)
+
+
+def test_columns_equal_the_same_steps_in_python(spark, prose):
+    rng = random.Random(1)
+    texts = [prose(rng, n) for n in (1, 2, 4, 5, 6, 9, 30, 130, 400, 2000)] + ["", "...", None, "Ünï códé ÀB"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fp.fingerprint(F.col("text")).alias("p"))
+    assert {r["i"]: r["p"] for r in rows.collect()} == {i: expected(t) for i, t in enumerate(texts)}
+
+
+def test_likeness_is_unbiased(spark, prose):
+    rng = random.Random(2)
+    pairs = []
+    for i in range(200):
+        own = prose(rng, 300).split()
+        for _ in range(rng.choice([0, 1, 4, 12, 40])):
+            own[rng.randint(0, 299)] = f"new{rng.randint(0, 999)}"
+        pairs.append((i, " ".join(own), prose(rng, 300) if i % 5 == 0 else " ".join(own[: 300 - 30 * (i % 5)])))
+    rows = spark.createDataFrame(pairs, "i int, a string, b string")
+    rows = rows.select("i", fp.fingerprint(F.col("a")).alias("a"), fp.fingerprint(F.col("b")).alias("b")).select("i", fp.likeness(F.col("a"), F.col("b")).alias("x"))
+    found = {r["i"]: r["x"] for r in rows.collect()}
+    error = [found[i] - len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for i, a, b in pairs]
+    assert abs(np.mean(error)) < 0.01 and np.abs(error).max() < 0.25
+
+
+def brute(rows):
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    out = []
+    for at, (key, text) in enumerate(order):
+        half, after = len(text) // 2, order[(at + 1) % len(order)][1]
+        edited = text[: len(text) - half] + after[:half]
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), expected(text), expected(edited)))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 45, 10_000])
+def test_next_documents(spark, prose, monkeypatch, rows):
+    monkeypatch.setattr(fp, "RUN_ROWS", rows)
+    rng = random.Random(rows)
+    docs = [(rng.randint(0, 90) if rows < 45 else i * 7, prose(rng, rng.randint(0, 12)) + "é" * (i % 3)) for i in range(90)]
+    rng.shuffle(docs)
+    got = fp.edited_pairs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert found(got) == brute(docs)
+
+
+def test_odd_rows(spark, odd, empty):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert found(fp.edited_pairs(odd)) == brute(rows)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in fp.edited_pairs(odd).collect())
+    assert fp.edited_pairs(empty).count() == 0
+    single = spark.createDataFrame([(4, "one two three")], "doc_id long, text string")
+    assert found(fp.edited_pairs(single)) == brute([(4, "one two three")])
+
+
+def test_main_path_has_no_python(odd):
+    plan = fp.edited_pairs(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

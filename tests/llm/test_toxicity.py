@@ -1,0 +1,74 @@
+"""Severity: the fit against a numerical gradient and known thresholds, accuracy on rows it never saw, odd input."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxelloom.llm import samples, toxicity
+
+BAD = ["brute", "vile", "rotten", "foul"]
+
+
+@pytest.fixture(scope="module")
+def rated(spark, prose):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        words, toxic = prose(rng, rng.randint(20, 80)).split(), i % 4 == 0
+        for _ in range(rng.randint(2, 2 + i % 9) if toxic else 0):
+            words.insert(rng.randint(0, len(words)), rng.choice(BAD))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic), "x"))
+    return spark.createDataFrame(docs, "doc_id long, text string").cache(), spark.createDataFrame(labels, "doc_id long, toxic int, text string").cache()
+
+
+def test_likelihood_is_at_its_top():
+    rng = np.random.default_rng(3)
+    n, truth, cuts = 3000, np.array([1.5, -0.7]), np.array([0.0, 1.0, 2.5])
+    x = rng.normal(size=(n, 2))
+    grades = ((x @ truth)[:, None] + rng.logistic(size=(n, 1)) > cuts).sum(axis=1)
+    rows, columns = np.repeat(np.arange(n), 2), np.tile([0, 1], n)
+    weights, thresholds = toxicity.fit_ordinal(rows, columns, x.ravel(), grades, 2, 4)
+    assert np.abs(weights - truth).max() < 0.15 and np.abs(thresholds - cuts).max() < 0.15 and (np.diff(thresholds) > 0).all()
+
+    def loss(w, t):
+        reach = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        edges = np.concatenate([np.ones((n, 1)), reach, np.zeros((n, 1))], axis=1)
+        return -np.log(edges[np.arange(n), grades] - edges[np.arange(n), grades + 1]).mean() + toxicity.RIDGE / 2 * (w**2).sum()
+
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-4
+        slope = (loss(weights + step[:2], thresholds + step[2:]) - loss(weights - step[:2], thresholds - step[2:])) / 2e-4
+        assert abs(slope) < 2e-3
+
+
+def test_held_out_documents(rated):
+    docs, labels = rated
+    model = toxicity.fit(docs, labels.filter("doc_id < 400"))
+    assert len(model.thresholds) == toxicity.GRADES - 1
+    found = toxicity.score(docs, model).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").filter("doc_id >= 400").collect()
+    assert sum(r["toxic"] == bool(r["label"]) for r in found) >= 0.98 * len(found)
+    dose = [sum(w in BAD for w in r["text"].split()) / len(r["text"].split()) for r in found if r["label"]]
+    severity = [r["expected_severity"] for r in found if r["label"]]
+    assert np.corrcoef(np.argsort(np.argsort(dose)), np.argsort(np.argsort(severity)))[0, 1] > 0.8
+    assert all(0 <= r["expected_severity"] <= toxicity.GRADES - 1 and 0 <= r["grade"] < toxicity.GRADES for r in found)
+
+
+def test_sample_is_bounded_and_fixed(rated):
+    docs, labels = rated
+    twice = docs.unionByName(docs.withColumn("text", F.lit("~ later text"))).repartition(5)
+    first, second = (samples.labelled(d, labels, "toxic", 20).collect() for d in (docs, twice))
+    assert sorted(first) == sorted(second) and len(first) == 40 and sum(r["toxic"] for r in first) == 20
+
+
+def test_odd_rows(spark, odd, empty, rated):
+    docs, labels = rated
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(odd, model)
+    assert got.count() == odd.count() and got.columns[-4:] == ["expected_severity", "p_toxic", "grade", "toxic"]
+    assert toxicity.score(empty, model).count() == 0
+    none = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    assert not any(r["toxic"] for r in toxicity.severity(odd, none).collect())
+    assert toxicity.severity(empty, labels).count() == 0

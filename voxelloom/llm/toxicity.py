@@ -28,9 +28,9 @@ GRADES = 4
 PER_CLASS = 3000
 #: Bytes of the word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 6)
-#: Standard errors by which a feature's frequency must differ between the labels.
+#: Standard errors, of the pooled frequency, by which a feature's frequency must differ between the labels.
 SELECTED_Z = 4.0
-ROUNDS, RATE, RIDGE = 400, 0.1, 1e-3
+ROUNDS, RATE, RIDGE = 600, 0.1, 2e-4
 #: Words that a Python worker remembers.
 REMEMBERED = 300_000
 
@@ -134,8 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     names, columns = np.unique(np.concatenate(parts), return_inverse=True)
     held = np.stack([np.bincount(columns[toxic[rows] == y], minlength=len(names)) for y in (0, 1)])
     of = np.array([(toxic == 0).sum(), toxic.sum()])[:, None]
-    share = (held + 0.5) / (of + 1)
-    z = (share[1] - share[0]) / np.sqrt((share * (1 - share) / of).sum(axis=0))
+    share = held / of
+    pooled = held.sum(axis=0) / of.sum()
+    z = (share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / of).sum())
     kept = np.abs(z) >= SELECTED_Z
     marks = (z >= SELECTED_Z) & (held[0] * 20 < held[1])
     number = np.cumsum(kept) - 1

@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat; n_chars follows the text. A null text stays null."""
+    prepared(spark)
     rows, restored = shielded(docs, "doc_id", "text")
     kept = restored(lines.dedup_lines(rows))
     if "n_chars" in docs.columns:
@@ -36,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id."""
+    prepared(spark)
     return near_duplicates.dedup(docs)
 
 
@@ -46,6 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most 2048 tokens."""
+    prepared(spark)
     return packing.pack_documents(docs)
 
 
@@ -67,6 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         where = f"{folder}/{name}"
-        stage(prepared(spark), docs, sf_dir).write.parquet(where)
+        stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,3 +128,10 @@ def test_long_axes_give_the_same_as_short_ones(monkeypatch):
     assert (by_matrix[1] == 255).all()
     monkeypatch.setattr(gauss, "BLOCK_VOXELS", 100)
     assert (blur(stack, (2.0, 1.3, 0.7)) == by_matrix[0]).all()
+
+
+@pytest.mark.parametrize("sigma", [30.0, 300.0, 1000.0, 2000.0])
+def test_wide_kernels_fall_evenly_from_the_centre(sigma):
+    weights = kernel_weights(sigma)
+    assert weights[0] + 2 * sum(weights[1:]) == 65536 and weights[0] - weights[1] <= gauss.CENTRE_UNITS + 1
+    assert all(a >= b for a, b in zip(weights, weights[1:]))

@@ -206,3 +206,65 @@ def test_single_slice_and_single_voxel_tiles(spark, tmp_path):
     rows = [tile(np.full((1, 1, 1), 9)), tile(np.arange(12).reshape(1, 3, 4), (5, 5, 5))]
     sequence.write_sequence(frame(spark, rows), str(tmp_path / "s"))
     assert sequence.read_tiles(spark, str(tmp_path / "s")).count() == 2
+
+
+def test_path_lines_match_whole_components(spark, tmp_path):
+    files = spark.createDataFrame([(f"file:/v/{p}/1-5_0-4_0-1.jpg",) for p in ("b", "bb", "a/b", "c")], "path string")
+    pick = lambda *lines: sorted(r["path"] for r in images.matching_paths(files, spark.createDataFrame([(x,) for x in lines], "line string")).collect())
+    name = "1-5_0-4_0-1.jpg"
+    assert pick(f"b/{name}") == [f"file:/v/a/b/{name}", f"file:/v/b/{name}"]
+    assert pick(f"/v/b/{name}", f"file:/v/c/{name}", f"/b/{name}") == [f"file:/v/b/{name}", f"file:/v/c/{name}"]
+    assert pick("5_0-4_0-1.jpg") == []
+
+
+@pytest.mark.parametrize("sink", ["pix", "sequence"])
+def test_listed_images_are_filtered_and_no_others_are_read(spark, folder, tmp_path, volume, sink):
+    (tmp_path / "list.txt").write_text("0-4_0-4_0-3.jpg\n4-8_0-4_0-3.jpg\n")
+    target = str(tmp_path / "out")
+    more = {"encoded": False} if sink == "sequence" else {}
+    # the folder holds broken files: reading one would stop the job
+    jobs.filter_listed(spark, str(tmp_path / "list.txt"), target, "invert", folder=str(folder), sink=sink, on_error="fail", **more)
+    stored = tables.read_pix(spark, target) if sink == "pix" else sequence.read_tiles(spark, target)
+    want = {k: v for k, v in expected(255 - volume).items() if k in ((0, 0, 0), (4, 0, 0))}
+    assert content(stored.collect()) == want
+    with pytest.raises(Exception, match="unusable image"):
+        jobs.filter_to_pix(spark, str(folder), str(tmp_path / "x"), "invert", on_error="fail")
+
+
+def test_long_path_lists_are_read_in_groups(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(images, "LISTED_PATHS", 3)
+    (tmp_path / "list.txt").write_text("\n".join(str(f) for f in sorted(folder.iterdir())))
+    assert images.read_path_list(spark, str(tmp_path / "list.txt")).count() == 11
+
+
+def test_colour_mode_skips_a_corrupt_image(spark, folder):
+    problems = images.decode_tiles(images.read_images(spark, str(folder)), color="brightness").where("problem is not null")
+    assert {r["problem"] for r in problems.collect()} == {"decode", "name", "shape"}
+
+
+def test_export_refuses_to_overwrite_and_parts_images(spark, tmp_path, volume):
+    rows = [tile(volume[:3], image_id=i, zoom_out=z) for i in (1, 2) for z in (1, 2)]
+    df = frame(spark, rows)
+    with pytest.raises(ValueError, match="4 rows"):
+        images.export_tiles(df, str(tmp_path / "flat"))
+    images.export_tiles(df, str(tmp_path / "parted"), by_image=True)
+    assert len(list((tmp_path / "parted").glob("image-*/zoom-*/0-8_0-8_0-3.png"))) == 4
+
+
+def test_bad_sequence_records_are_named(spark, tmp_path):
+    rows = spark.createDataFrame([("0-1_0-1_0-2", b"ab"), ("0-1_0-1_0-3", b"ab"), ("x", b"")], "name string, pixels binary")
+    sequence.write_sequence(rows, str(tmp_path / "s"))
+    found = sequence.decode_records(sequence.read_sequence(spark, str(tmp_path / "s"))).collect()
+    assert {r["name"]: r["problem"] for r in found} == {"0-1_0-1_0-2": None, "0-1_0-1_0-3": "shape", "x": "name"}
+    assert sequence.read_tiles(spark, str(tmp_path / "s")).count() == 1
+    with pytest.raises(Exception, match="unusable"):
+        sequence.read_tiles(spark, str(tmp_path / "s"), on_error="fail").collect()
+
+
+def test_request_job_keeps_identity(spark, tmp_path, volume):
+    pix, out, lines = str(tmp_path / "pix"), str(tmp_path / "out"), tmp_path / "requests.txt"
+    tables.append_pix(frame(spark, cut_volume(volume, (4, 4, 3))), pix)
+    lines.write_text("1,1,2,2,1,5,5,4\n")
+    jobs.filter_requests(spark, str(lines), pix, out)
+    jobs.filter_requests(spark, str(lines), pix, out, image_id=9, name="cut")
+    assert {(r["image_id"], r["name"]) for r in tables.read_pix(spark, out).collect()} == {(1, "2-7_2-7_1-5"), (9, "cut")}

@@ -3,10 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from helpers import cut_volume, frame, stack_of, tile, voxels_of
+from helpers import cut_volume, frame, slow_blur, stack_of, tile, voxels_of
 from voxelloom.operators import boxjoin, seamless
 from voxelloom.operators.copies import collapse_copies, restore_copies
-from voxelloom.operators.roi import first_tile, parse_requests, roi_assemble, roi_join
+from voxelloom.operators.roi import first_tile, parse_requests, read_requests, roi_assemble, roi_blur, roi_join
 from voxelloom.schema import ROI
 
 RNG = np.random.default_rng(11)
@@ -151,3 +151,37 @@ def test_bounds_reach_every_tile_with_and_without_broadcast(spark, monkeypatch):
     again = seamless.with_bounds(frame(spark, rows).drop("pixels"))
     assert sorted(map(tuple, again.select(*seamless.with_bounds(frame(spark, rows).drop("pixels")).columns).collect())) == first
     assert {(r["x_lo"], r["y_hi"]) for r in again.collect()} == {(-3, 11)}
+
+
+@pytest.mark.parametrize("chunk", [1 << 26, 64, 7])
+def test_blur_of_a_box_does_not_depend_on_its_blocks(spark, chunk):
+    volume = RNG.integers(0, 256, (9, 10, 11), dtype=np.uint8)
+    boxes = [(0, 0, 0, 11, 10, 9), (2, 1, 3, 7, 7, 5), (-2, 4, 0, 6, 3, 9)]
+    sigmas = (1.0, 0.9, 1.3)
+    got = {}
+    for row in roi_blur(frame(spark, cut_volume(volume, (4, 4, 4))), requests(spark, boxes), *sigmas, chunk_voxels=chunk).collect():
+        assert row["x_dim"] * row["y_dim"] * row["z_dim"] <= chunk
+        for (iz, iy, ix), v in np.ndenumerate(stack_of(row)):
+            key = (row["req_id"], row["x"] + ix, row["y"] + iy, row["z"] + iz)
+            assert key not in got
+            got[key] = int(v)
+    want = {}
+    for i, (x, y, z, w, h, d) in enumerate(boxes):
+        inside = lambda a, b, c: 0 <= a < 11 and 0 <= b < 10 and 0 <= c < 9
+        box = {(a, b, c): int(volume[c, b, a]) if inside(a, b, c) else 0 for a in range(x, x + w) for b in range(y, y + h) for c in range(z, z + d)}
+        want |= {(i, *place): v for place, v in slow_blur(box, sigmas).items()}
+    assert got == want
+
+
+def test_equal_lines_are_requests_of_their_own(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("1,1,0,0,0,2,2,2\nno request\n1,1,0,0,0,2,2,2\n")
+    asked = read_requests(spark, str(tmp_path / "lines.txt"))
+    df = frame(spark, cut_volume(np.ones((4, 4, 4)), (4, 4, 4)))
+    assert roi_assemble(df, asked).count() == first_tile(roi_join(df, asked)).count() == 2
+    with pytest.raises(ValueError, match="1 lines"):
+        read_requests(spark, str(tmp_path / "lines.txt"), on_error="fail")
+
+
+def test_default_cell_is_bounded_for_tiles_of_any_shape(spark):
+    assert seamless._cell_for([4, 4, 4]) == (64, 64, 64) and seamless._cell_for([128, 128, 64]) == (128, 128, 64)
+    assert np.prod(seamless._cell_for([2000, 2000, 2000])) <= seamless.CELL_VOXELS

@@ -123,7 +123,7 @@ def test_level_equals_the_published_rule(method):
 def test_window_form_equals_the_kernel_form(spark):
     values = samples()
     rows = [tile(v.reshape(1, 8, 8), (0, 0, i), name=f"s{i:03d}") for i, v in enumerate(values)]
-    found = threshold_levels(slice_histogram(frame(spark, rows)), "image_id", "name", "z").orderBy("name").collect()
+    found = threshold_levels(slice_histogram(frame(spark, rows)), "image_id", "zoom_out", "name", "z").orderBy("name").collect()
     for method in [m for m in CHECKED[:8] if m != "huang"]:
         assert [r[f"t_{method}"] for r in found] == levels(histograms(values), method).tolist(), method
 
@@ -207,3 +207,41 @@ def test_large_stacks_are_worked_off_in_parts(spark, monkeypatch):
     whole = batches.per_slices(stack[None], lambda s: binarise(s, "otsu"))
     monkeypatch.setattr(batches, "STACK_VOXELS", 60)
     assert (batches.per_slices(stack[None], lambda s: binarise(s, "otsu")) == whole).all()
+
+
+LARGE = [1 << 14, 1 << 18, 1 << 22]  # 64 pixels become up to 16384 x 16384
+
+
+@pytest.mark.parametrize("method", sorted(METHODS))
+@pytest.mark.parametrize("factor", LARGE)
+def test_levels_do_not_depend_on_the_size_of_the_slice(method, factor):
+    counts = histograms(samples())
+    assert levels(counts * factor, method).tolist() == levels(counts, method).tolist()
+
+
+@pytest.mark.parametrize("method", ["yen", "minerror", "otsu", "default"])
+def test_bright_population_on_a_dark_background(method):
+    rng = np.random.default_rng(2)
+    shares = np.zeros(256)
+    shares[:40] = np.exp(-((np.arange(40) - 15) ** 2) / 60)
+    shares[180:220] = 0.05 * np.exp(-((np.arange(40) - 20) ** 2) / 90)
+    base = np.floor(shares / shares.sum() * 4000).astype(np.int64) + rng.integers(0, 2, 256) * (shares > 0)
+    assert int(levels(base[None, :] * 16384, method)[0]) == int(levels(base[None, :], method)[0])
+
+
+def test_window_form_at_every_size_and_with_copies(spark):
+    counts = histograms(samples())
+    rows = [(i, int(v), int(n) * f, f) for f in LARGE for i, c in enumerate(counts) for v, n in enumerate(c) if n]
+    once = spark.createDataFrame(rows, "slice int, v int, n long, size long")
+    found = threshold_levels(once, "size", "slice").orderBy("size", "slice").collect()
+    twice = threshold_levels(once.unionByName(once), "size", "slice").orderBy("size", "slice").collect()
+    assert found == twice
+    for method in [m for m in CHECKED[:8] if m != "huang"]:
+        assert [r[f"t_{method}"] for r in found] == levels(counts, method).tolist() * len(LARGE), method
+
+
+def test_zooms_are_slices_of_their_own(spark):
+    near, far = RNG.integers(0, 100, (1, 8, 8)), RNG.integers(100, 256, (1, 8, 8))
+    rows = [tile(near, name="t"), tile(far, zoom_out=2, name="t"), tile(near, name="t")]
+    found = threshold_levels(slice_histogram(frame(spark, rows)), "image_id", "zoom_out", "name", "z").orderBy("zoom_out").collect()
+    assert [r["t_otsu"] for r in found] == levels(histograms(np.stack([near, far]).astype(np.uint8)), "otsu").tolist()

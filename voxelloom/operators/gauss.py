@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from voxelloom.functions.batches import map_payloads
 
 ONE = 1 << 16
+# Units of 1 / 65536 that the centre weight may be off by.
+CENTRE_UNITS = 4
 # Longest axis that is blurred by a matrix product.
 MATRIX_SIZE = 1024
 # Voxels blurred at once.
@@ -23,13 +25,23 @@ Z, Y, X = 1, 2, 3
 
 
 def kernel_weights(sigma: float) -> list[int]:
-    """Integer weights for offsets 0..radius; the centre takes the rounding remainder."""
+    """Integer weights for offsets 0..radius.
+
+    The centre takes what rounding leaves over, up to ``CENTRE_UNITS``; more of it, as wide kernels have it, goes to the
+    offsets that lost most by rounding, in pairs.
+    """
     if sigma < 0 or not math.isfinite(sigma):
         raise ValueError(f"sigma must be finite and not negative, got {sigma}")
     radius = math.ceil(3 * sigma)
     raw = [math.exp(-(o * o) / (2 * sigma * sigma)) for o in range(radius + 1)] if radius else [1.0]
     total = raw[0] + 2 * sum(raw[1:])
-    side = [round(w / total * ONE) for w in raw[1:]]
+    ideal = [w / total * ONE for w in raw]
+    side = [round(w) for w in ideal[1:]]
+    left = ONE - 2 * sum(side) - round(ideal[0])
+    step = 1 if left > 0 else -1
+    losses = sorted(range(len(side)), key=lambda o: (step * (side[o] - ideal[o + 1]), step * o))
+    for o in losses[: max(0, abs(left) - CENTRE_UNITS + 1) // 2]:
+        side[o] += step
     return [ONE - 2 * sum(side), *side]
 
 

@@ -32,11 +32,14 @@ def apply_levels(slices: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def slice_histogram(tiles: DataFrame) -> DataFrame:
-    """Count of each grey value that occurs in each slice; counted where the tile is, without a shuffle."""
+    """Count of each grey value that occurs in each slice; counted where the tile is, without a shuffle.
+
+    Copies of a tile give rows of their own; :func:`merged` adds them up.
+    """
 
     def run(batches):
         for batch in batches:
-            heads = ints(batch, ["image_id", "z"])
+            heads = ints(batch, ["image_id", "zoom_out", "z"])
             names = batch.column("name")
             for rows, stack in stacks(batch):
                 n, depth = stack.shape[:2]
@@ -46,18 +49,24 @@ def slice_histogram(tiles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(heads[tile, 0].astype(np.int32)),
+                        pa.array(heads[tile, 1].astype(np.int32)),
                         names.take(pa.array(tile)),
-                        pa.array((heads[tile, 1] + iz).astype(np.int32)),
+                        pa.array((heads[tile, 2] + iz).astype(np.int32)),
                         pa.array(value.astype(np.int32)),
                         pa.array(counts[which, value]),
                     ],
-                    names=["image_id", "name", "z", "v", "n"],
+                    names=["image_id", "zoom_out", "name", "z", "v", "n"],
                 )
 
-    schema = "image_id int, name string, z int, v int, n long"
+    schema = "image_id int, zoom_out int, name string, z int, v int, n long"
     return tiles.select(*TILE_META, "pixels").mapInArrow(run, schema)
 
 
+def merged(histogram: DataFrame, *keys: str) -> DataFrame:
+    """One row per key and grey value, dealt out by the keys alone, as the windows over a slice need them."""
+    return histogram.select(*keys, "v", "n").repartition(*keys).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+
+
 def histogram_from_voxels(voxels: DataFrame, *keys: str) -> DataFrame:
     """The same counts from voxel rows; partial counts are taken before the shuffle."""
     return voxels.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -69,12 +78,15 @@ def _cut_count(total, saturated: float):
 
 
 def contrast_range(histogram: DataFrame, *keys: str, saturated: float = 1.0) -> DataFrame:
-    """Grey range per slice after clipping ``saturated`` percent of the pixels, half at each end."""
+    """Grey range per slice after clipping ``saturated`` percent of the pixels, half at each end.
+
+    Rows with equal keys and grey value are added up.
+    """
     window = Window.partitionBy(*keys)
     up = window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     down = window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
     limit = F.floor(_cut_count(F.sum("n").over(window), saturated))
-    ranked = histogram.select(
+    ranked = merged(histogram, *keys).select(
         *keys, "v", F.sum("n").over(up).alias("_below"), F.sum("n").over(down).alias("_above"), limit.alias("_limit")
     )
     return ranked.groupBy(*keys).agg(

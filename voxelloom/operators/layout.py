@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import map_payloads, stacks
+from voxelloom.functions.batches import map_payloads, payload_view, stacks
 from voxelloom.operators.blocks import Part, Row, fold_blocks
 from voxelloom.schema import AXES, BOX, ORIGIN, TILE_META, VOXELS
 
+# The text of every byte with a comma after it, and which of its characters are shown.
+_DIGITS = np.array([list(b"%03d," % v) for v in range(256)], np.uint8)
+_SHOWN = np.array([[v > 99, v > 9, True, True] for v in range(256)])
 # Voxel rows per outgoing Arrow batch.
 VOXEL_ROWS = 1 << 18
 
@@ -89,11 +92,10 @@ def tiles_from_voxels(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFram
     """Inverse of :func:`voxel_explode` for a grid of ``dims`` = (x, y, z) sized tiles anchored at 0.
 
     Each group is one tile's box, so its size is bounded by ``dims``; voxels that are absent become 0 and
-    of several values for one voxel the greatest is kept. Repeated voxel rows collapse map-side first.
+    of several values for one voxel the greatest is kept. Voxels are shuffled once, to their tile.
     """
     keys = ["image_id", *ORIGIN]
-    unique = voxels.groupBy("image_id", *AXES).agg(F.max("v").alias("v"))
-    placed = unique
+    placed = voxels
     for axis, dim in zip(AXES, dims):
         placed = placed.withColumn(f"_{axis}", F.pmod(F.col(axis), F.lit(dim))).withColumn(
             axis, F.col(axis) - F.col(f"_{axis}")
@@ -105,7 +107,7 @@ def tiles_from_voxels(voxels: DataFrame, dims: tuple[int, int, int]) -> DataFram
         payload = np.zeros(width * height * depth, np.uint8)
         for part in parts:
             at, values = part.ints(["_at", "v"]).T
-            payload[at] = values
+            np.maximum.at(payload, at, values.astype(np.uint8))
         yield key, payload
 
     schema = pa.schema([*[(c, pa.int32()) for c in keys], ("pixels", pa.binary())])
@@ -148,14 +150,13 @@ def pixels_csv(tiles: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lines = [""] * batch.num_rows
-            for rows, stack in stacks(batch):
-                for i, r in enumerate(rows):
-                    lines[r] = ",".join(map(str, stack[i].ravel().tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("image_id"), batch.column("name"), pa.array(lines, pa.string())],
-                names=["image_id", "name", "csv"],
-            )
+            data, starts = payload_view(batch.column("pixels"))
+            for r in range(batch.num_rows):
+                # every value as three characters and a comma; leading zeros are left out afterwards
+                values = data[starts[r] : starts[r + 1]]
+                text = _DIGITS[values][_SHOWN[values]].tobytes()[:-1].decode()
+                head = [batch.column(c).slice(r, 1) for c in ("image_id", "name")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([text])], names=["image_id", "name", "csv"])
 
     return tiles.select(*TILE_META, "pixels").mapInArrow(run, "image_id int, name string, csv string")
 

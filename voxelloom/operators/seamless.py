@@ -7,8 +7,8 @@ of the weights that were used. At the edge of an image the border voxel is repea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-
 from itertools import product
 
 import numpy as np
@@ -28,6 +28,8 @@ BROADCAST_IMAGES = 500_000
 IMAGE_SHARES = 64
 # Smallest default cell edge; small tiles share a cell, so that slabs stay a small part of the data.
 CELL_EDGE = 64
+# Most voxels of a default cell.
+CELL_VOXELS = 1 << 26
 
 _BOUNDS = ["x_lo", "y_lo", "z_lo", "x_hi", "y_hi", "z_hi"]
 _CELL = ["cx", "cy", "cz"]
@@ -45,6 +47,18 @@ def with_bounds(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("_s", share).join(bounds.withColumn("_s", shares), [*VOLUME, "_s"]).drop("_s")
 
 
+def _cell_for(dims: list[int]) -> tuple[int, ...]:
+    """Cell edges: whole tiles of at least ``CELL_EDGE``, the longest edges halved until a cell has ``CELL_VOXELS`` at most.
+
+    Tiles of very different shapes do not add up to a huge cell so; those that are longer than a cell straddle several.
+    """
+    edges = [d * -(-CELL_EDGE // d) for d in dims]
+    while math.prod(edges) > CELL_VOXELS:
+        longest = edges.index(max(edges))
+        edges[longest] = -(-edges[longest] // 2)
+    return tuple(edges)
+
+
 def _masked_blur(values: np.ndarray, present: np.ndarray, sigmas: tuple, core: list[slice]) -> np.ndarray:
     """Blur along x, y, z, cropping each axis to the core once it is done."""
     for axis, sigma in zip((2, 1, 0), sigmas):
@@ -85,7 +99,7 @@ def gauss3d_seamless(
         return tiles.select(*TILE_META, "pixels")
     anchor = np.array([shape[f"{a}_lo"] for a in AXES], np.int64)
     if cell is None:
-        cell = tuple(shape[d] * -(-CELL_EDGE // shape[d]) for d in DIMS)
+        cell = _cell_for([shape[d] for d in DIMS])
     edge = np.array(cell, np.int64)
 
     aligned = F.lit(True)

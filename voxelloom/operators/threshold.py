@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.functions.batches import map_payloads, per_slices
-from voxelloom.operators.histogram import LEVELS, apply_levels, histograms
+from voxelloom.operators.histogram import LEVELS, apply_levels, histograms, merged
 
 GREY = np.arange(LEVELS)
 RESOLUTION = 1e9
-# Smoothing passes after which a histogram counts as not bimodal.
-SMOOTHING_PASSES = 10_000
+# Products of three such factors, each at most a slice's pixels or 255 times them, leave 64 bits beyond this size.
+EXACT_PIXELS = 1 << 22
 
 
 class Cumulative:
@@ -37,6 +37,10 @@ class Cumulative:
         self.darkest = np.argmax(counts > 0, axis=1)
         self.brightest = LEVELS - 1 - np.argmax(counts[:, ::-1] > 0, axis=1)
 
+    def exact(self, values: np.ndarray) -> np.ndarray:
+        """The same whole numbers in a form whose products cannot overflow."""
+        return values.astype(object) if self.total.max(initial=0) > EXACT_PIXELS else values
+
     def means(self) -> tuple[np.ndarray, np.ndarray]:
         low = self.mass / np.maximum(self.below, 1)
         high = (self.mass_total - self.mass) / np.maximum(self.above, 1)
@@ -69,8 +73,8 @@ def _log(values: np.ndarray) -> np.ndarray:
 
 def isodata(h: Cumulative) -> np.ndarray:
     """First level not below the midpoint of the two class means; else the highest level that splits."""
-    product = h.below * h.above
-    reached = 2 * GREY * product >= h.mass * h.above + (h.mass_total - h.mass) * h.below
+    below, above = h.exact(h.below), h.exact(h.above)
+    reached = (2 * GREY * below * above >= h.mass * above + (h.mass_total - h.mass) * below).astype(bool)
     reached &= h.valid
     last = LEVELS - 1 - np.argmax(h.valid[:, ::-1], axis=1)
     return np.where(reached.any(axis=1), np.argmax(reached, axis=1), last)
@@ -78,8 +82,8 @@ def isodata(h: Cumulative) -> np.ndarray:
 
 def otsu(h: Cumulative) -> np.ndarray:
     """Largest variance between the classes."""
-    gap = (h.mass_total * h.below - h.mass * h.total).astype(np.float64)
-    pairs = (h.below * h.above).astype(np.float64)
+    gap = (h.exact(h.mass_total) * h.below - h.exact(h.mass) * h.total).astype(np.float64)
+    pairs = (h.exact(h.below) * h.above).astype(np.float64)
     score = np.where(h.valid, gap * gap / np.maximum(pairs, 1.0), -np.inf)
     return np.argmax(score, axis=1)
 
@@ -104,9 +108,8 @@ def max_entropy(h: Cumulative) -> np.ndarray:
 def yen(h: Cumulative) -> np.ndarray:
     """Largest entropic correlation."""
     square = np.cumsum(h.counts * h.counts, axis=1)
-    product = (h.below * h.above).astype(np.float64)
-    rest = square * (square[:, -1:] - square)
-    return h.largest(2 * _log(product) - _log(rest))
+    product = h.below.astype(np.float64) * h.above
+    return h.largest(2 * _log(product) - _log(square) - _log(square[:, -1:] - square))
 
 
 def triangle(h: Cumulative) -> np.ndarray:
@@ -146,19 +149,24 @@ def huang(h: Cumulative) -> np.ndarray:
 
 
 def li(h: Cumulative) -> np.ndarray:
-    """Fixed point of the minimum cross entropy iteration, started at the mean."""
+    """Fixed point of the minimum cross entropy iteration, started at the mean; of a cycle the smallest level.
+
+    After as many steps as there are levels the walk is in its cycle, and as many again go through all of it.
+    """
     low, high = h.means()
     rows = np.arange(len(h.counts))
-    level = np.floor(h.mass_total / h.total + 0.5).astype(np.int64).ravel()
-    for _ in range(LEVELS):
-        level = np.clip(level, h.darkest, np.maximum(h.brightest - 1, h.darkest))
+    top = np.maximum(h.brightest - 1, h.darkest)
+    level = np.clip(np.floor(h.mass_total / h.total + 0.5).astype(np.int64).ravel(), h.darkest, top)
+    smallest = level
+    for step in range(2 * LEVELS):
         a, b = low[rows, level], high[rows, level]
-        step = np.where(a > 0, (b - a) / np.where(b > a, _log(b) - _log(a), 1.0), 0.0)
-        fresh = np.where(b > a, np.floor(step + 0.5), level).astype(np.int64)
+        root = np.where(a > 0, (b - a) / np.where((b > a) & (a > 0), _log(b) - _log(a), 1.0), 0.0)
+        fresh = np.clip(np.where(b > a, np.floor(root + 0.5), level).astype(np.int64), h.darkest, top)
+        smallest = fresh if step <= LEVELS else np.minimum(smallest, fresh)
         if (fresh == level).all():
             break
         level = fresh
-    return np.clip(level, h.darkest, np.maximum(h.brightest - 1, h.darkest))
+    return smallest
 
 
 def min_error(h: Cumulative) -> np.ndarray:
@@ -172,10 +180,10 @@ def min_error(h: Cumulative) -> np.ndarray:
         (h.above, h.mass_total - h.mass, square[:, -1:] - square),
     ):
         # the integer numerator tells a class without spread exactly
-        spread = power * count - mass * mass
-        solid &= spread > 0
+        spread = h.exact(power) * count - h.exact(mass) * mass
+        solid &= (spread > 0).astype(bool)
         share = count / n
-        variance = spread / np.maximum(count * count, 1)
+        variance = spread.astype(np.float64) / np.maximum(count.astype(np.float64) ** 2, 1)
         score += share * _log(variance) - 2 * share * _log(share)
     score = np.where(solid, score, np.inf)
     return np.where(solid.any(axis=1), h.smallest(score), h.mean_level())
@@ -186,7 +194,7 @@ def _smoothed_modes(h: Cumulative) -> tuple[np.ndarray, np.ndarray]:
     smooth = h.counts.astype(np.float64)
     peaks = np.zeros(smooth.shape, bool)
     todo = np.arange(len(smooth))
-    for _ in range(SMOOTHING_PASSES):
+    while todo.size:  # every pass flattens; in the end two peaks are left, or one
         part = smooth[todo]
         inner = part[:, 1:-1]
         # slopes below the resolution are rounding noise, not peaks
@@ -194,8 +202,6 @@ def _smoothed_modes(h: Cumulative) -> tuple[np.ndarray, np.ndarray]:
         peaks[todo, 1:-1] = (inner - part[:, :-2] > noise) & (inner - part[:, 2:] > noise)
         number = peaks[todo].sum(axis=1)
         todo = todo[number > 2]
-        if not todo.size:
-            break
         part = np.pad(smooth[todo], ((0, 0), (1, 1)))
         smooth[todo] = (part[:, :-2] + part[:, 1:-1] + part[:, 2:]) / 3
     return smooth, peaks
@@ -323,14 +329,14 @@ def auto_threshold(tiles: DataFrame, method: str = "Default", dark: bool = True)
 def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
     """Thresholds of the closed-form methods from (keys, v, n) rows, all in one pass over each slice.
 
-    Between two grey values that occur nothing changes on either side, so only occurring values compete, except where the level itself enters the rule.
+    Rows with equal keys and grey value are added up, so copies of a tile weigh more but change no level. Between two grey values that occur nothing changes on either side, so only occurring values compete, except where the level itself enters the rule.
     """
     whole = Window.partitionBy(*keys)
     order = whole.orderBy("v")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     v, n = F.col("v"), F.col("n")
     log_n = n * F.log(n.cast("double"))
-    bins = histogram.select(
+    bins = merged(histogram, *keys).select(
         *keys, "v", "n",
         F.sum("n").over(upto).alias("p"), F.sum("n").over(whole).alias("pt"),
         F.sum(v * n).over(upto).alias("s"), F.sum(v * n).over(whole).alias("st"),
@@ -352,19 +358,20 @@ def threshold_levels(histogram: DataFrame, *keys: str) -> DataFrame:
         return F.min(F.when(ok, F.struct(score.alias("score"), level.alias("t"))))["t"]
 
     # midpoint of the class means, rounded up in integers
-    twice = "2 * p * (pt - p)"
-    mid = F.expr(f"cast((s * (pt - p) + (st - s) * p + {twice} - 1) div nullif({twice}, 0) as int)")
+    wide = {c: f"cast({c} as decimal(18, 0))" for c in ("p", "pt", "s", "st")}
+    twice = "2 * {p} * ({pt} - {p})".format(**wide)
+    sums = "{s} * ({pt} - {p}) + ({st} - {s}) * {p}".format(**wide)
+    mid = F.expr(f"cast(({sums} + {twice} - 1) div nullif({twice}, 0) as int)")
     iso_level = F.greatest(v, mid)
     iso = F.coalesce(
         F.min(F.when(valid & (iso_level < F.col("up")), iso_level)), F.max(F.when(valid, F.col("up") - 1))
     )
-    gap = (st * p - s * pt).cast("double")
-    otsu_score = -(gap * gap / F.nullif((p * above).cast("double"), F.lit(0.0)))
+    gap = F.expr("cast({st} * {p} - {s} * {pt} as double)".format(**wide))
+    product = F.nullif(p.cast("double") * above, F.lit(0.0))
+    otsu_score = -(gap * gap / product)
     rest = F.nullif(above, F.lit(0))
     entropy = F.log(p) - F.col("e") / p + F.log(rest) - (F.col("et") - F.col("e")) / rest
-    yen_score = 2 * F.log(F.nullif((p * above).cast("double"), F.lit(0.0))) - F.log(
-        F.nullif((F.col("q") * (F.col("qt") - F.col("q"))).cast("double"), F.lit(0.0))
-    )
+    yen_score = 2 * F.log(product) - F.log("q") - F.log(F.nullif(F.col("qt") - F.col("q"), F.lit(0)))
     peak, top = -F.col("_peak")["col2"], F.col("_peak")["n"]
     rising = (F.col("v1") - peak) >= (peak - F.col("v0"))
     end = F.when(rising, F.col("_last")).otherwise(F.col("_first"))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators.counting import keyed_count
 from voxelloom.operators.filters import apply_filter
-from voxelloom.operators.gauss import gauss3d_tile
-from voxelloom.operators.roi import read_requests, roi_assemble, roi_join
+from voxelloom.operators.roi import read_requests, roi_blur, roi_join
 from voxelloom.schema import TILE_META
 from voxelloom.sources import images, sequence, tables
 
@@ -22,7 +21,7 @@ def balanced(tiles: DataFrame, partitions: int | None) -> DataFrame:
 
 def filter_to_pix(
     spark: SparkSession,
-    source: str,
+    source: str | list[str],
     target: str,
     filter_name: str,
     params: Mapping[str, object] | None = None,
@@ -31,9 +30,11 @@ def filter_to_pix(
     images_target: str | None = None,
     partitions: int | None = None,
     once: bool = False,
+    on_error: str = "skip",
+    color: str = "reject",
 ) -> None:
     """Filter a folder of image tiles into the tile table and, if named, register the image."""
-    tiles = balanced(images.read_tiles(spark, source, image_id), partitions)
+    tiles = balanced(images.read_tiles(spark, source, image_id, on_error, color), partitions)
     result = tables.as_pix(apply_filter(tiles, filter_name, params), image_id)
     (tables.append_pix_once if once else tables.append_pix)(result, target)
     if image_name is not None and images_target is not None:
@@ -42,15 +43,17 @@ def filter_to_pix(
 
 def filter_to_sequence(
     spark: SparkSession,
-    source: str,
+    source: str | list[str],
     target: str,
     filter_name: str,
     params: Mapping[str, object] | None = None,
     encoded: bool = True,
     partitions: int | None = None,
+    on_error: str = "skip",
+    color: str = "reject",
 ) -> None:
     """Filter a folder of image tiles into sequence files of encoded images or of raw pixels."""
-    tiles = balanced(images.read_tiles(spark, source), partitions)
+    tiles = balanced(images.read_tiles(spark, source, -1, on_error, color), partitions)
     result = apply_filter(tiles, filter_name, params)
     if encoded:
         sequence.write_sequence(images.encode_tiles(result), target, value="content")
@@ -58,20 +61,46 @@ def filter_to_sequence(
         sequence.write_sequence(result, target)
 
 
+def filter_listed(
+    spark: SparkSession,
+    path_list: str,
+    target: str,
+    filter_name: str,
+    params: Mapping[str, object] | None = None,
+    folder: str | None = None,
+    sink: str = "pix",
+    **options,
+) -> None:
+    """Read the images that a path list names, and only these, filter them, and store them in ``sink``: ``pix`` or ``sequence``.
+
+    With ``folder`` the list may hold the ends of paths below it. ``options`` are those of the job for a whole folder.
+    """
+    job = {"pix": filter_to_pix, "sequence": filter_to_sequence}[sink]
+    job(spark, images.listed_paths(spark, path_list, folder), target, filter_name, params, **options)
+
+
 def filter_sequence(
-    spark: SparkSession, source: str, target: str, filter_name: str, params: Mapping[str, object] | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    filter_name: str,
+    params: Mapping[str, object] | None = None,
+    ordered: bool = True,
+    on_error: str = "skip",
 ) -> None:
-    """Filter raw-pixel sequence files into new ones, in the order of the tile names."""
-    result = apply_filter(sequence.read_tiles(spark, source), filter_name, params)
-    ordered = result.repartitionByRange("name").sortWithinPartitions("name")
-    sequence.write_sequence(ordered, target)
+    """Filter raw-pixel sequence files into new ones; ``ordered`` sorts the records by name, before the costly filter."""
+    tiles = sequence.read_tiles(spark, source, on_error=on_error)
+    if ordered:
+        tiles = tiles.repartitionByRange("name").sortWithinPartitions("name")
+    sequence.write_sequence(apply_filter(tiles, filter_name, params), target)
 
 
-def images_to_sequence(spark: SparkSession, path_list: str, folder: str, target: str) -> None:
-    """Decode the listed images into raw-pixel sequence files; unusable images are left out."""
-    decoded = images.in_path_list(images.decode_tiles(images.read_images(spark, folder)), path_list)
-    kept = decoded.where(F.col("problem").isNull())
-    sequence.write_sequence(kept.select("name", "pixels"), target)
+def images_to_sequence(
+    spark: SparkSession, path_list: str, folder: str, target: str, on_error: str = "skip", color: str = "reject"
+) -> None:
+    """Decode the listed images below a folder, and only these, into raw-pixel sequence files."""
+    tiles = images.read_tiles(spark, images.listed_paths(spark, path_list, folder), -1, on_error, color)
+    sequence.write_sequence(tiles.select("name", "pixels"), target)
 
 
 def filter_requests(
@@ -80,13 +109,20 @@ def filter_requests(
     pix: str,
     target: str,
     sigmas: tuple[float, float, float] = (1.0, 1.0, 1.0),
-    image_id: int = 2,
-    name: str = "mapreduce",
+    image_id: int | None = None,
+    name: str | None = None,
+    on_error: str = "skip",
 ) -> None:
-    """Cut every requested box out of the tile table, blur it and append it to ``target``."""
-    boxes = roi_assemble(tables.read_pix(spark, pix), read_requests(spark, requests))
-    blurred = gauss3d_tile(boxes.select(*TILE_META, "pixels"), *sigmas)
-    result = blurred.withColumn("image_id", F.lit(image_id)).withColumn("name", F.lit(name))
+    """Cut every requested box out of the tile table, blur it as one piece and append it to ``target``.
+
+    Boxes keep the image they come from and the name of their place unless others are given.
+    """
+    asked = read_requests(spark, requests, on_error)
+    result = roi_blur(tables.read_pix(spark, pix), asked, *sigmas).select(*TILE_META, "pixels")
+    if image_id is not None:
+        result = result.withColumn("image_id", F.lit(image_id))
+    if name is not None:
+        result = result.withColumn("name", F.lit(name))
     tables.append_pix(result, target)
 
 

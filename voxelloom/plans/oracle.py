@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from voxelloom.operators.gauss import kernel_weights
-from voxelloom.plans.queries import SATURATED, SIGMAS
 from voxelloom.plans.queries import THRESHOLDS as _CATALOGUE
 
 _TILES = """
@@ -44,6 +42,8 @@ roi as (
   from part
 )"""
 
+SIGMAS = (1.0, 0.9, 1.0)
+SATURATED = 25.0
 _HEX = "string_agg(printf('%02X', {v}), '' order by {order})"
 _TEXT_COLUMNS = "image_id, x, y, z, v"
 
@@ -85,8 +85,12 @@ assembled as (
 _ROI_NAME = "x || '-' || (x + width) || '_' || y || '-' || (y + height) || '_' || z || '-' || (z + depth)"
 
 
+# Weights by distance, in units of 1 / 65536. Fixed values.
+_KERNELS = {1.0: [26152, 15862, 3539, 291], 0.9: [29052, 15671, 2459, 112]}
+
+
 def _weights(name: str, sigma: float) -> str:
-    side = kernel_weights(sigma)
+    side = _KERNELS[sigma]
     rows = [f"({o}, {side[abs(o)]})" for o in range(1 - len(side), len(side))]
     return f"{name}(o, w) as (values {', '.join(rows)})"
 
@@ -143,7 +147,7 @@ strip as (
     return _voxel_query(strip, *passes, select="select image_id, ox as x, oy as y, oz as z, v from blury")
 
 
-def _gauss_roi() -> str:
+def _gauss_roi(voxels: bool = False) -> str:
     solid = "solid as (select req_id, image_id, x as ox, y as oy, z as oz, width, height, depth, p, px as x, py as y, pz as z, v from assembled)"
     bounds = {
         "x": ("g.ox", "g.ox + g.width - 1"),
@@ -152,6 +156,9 @@ def _gauss_roi() -> str:
     }
     passes = _blur("solid", "req_id", bounds, dict(zip("xyz", SIGMAS)), False)
     name = "ox || '-' || (ox + width) || '_' || oy || '-' || (oy + height) || '_' || oz || '-' || (oz + depth)"
+    if voxels:
+        select = "select cast(req_id as int) as req_id, x, y, z, v from blurz where req_id % 5 = 0"
+        return _voxel_query(_ROI, _ASSEMBLED, solid, *passes, select=select)
     select = f"""
 select req_id, image_id, {name} as name, {_HEX.format(v='v', order='p')} as pixels
 from blurz group by req_id, image_id, ox, oy, oz, width, height, depth"""
@@ -222,7 +229,7 @@ qualify row_number() over (partition by image_id, name, z order by score, t) = 1
 
 # Fixed point of the minimum cross entropy iteration.
 _LEVELS["li"] = """
-select image_id, name, z, arg_max(level, i) as t from (
+select image_id, name, z, case when bool_or(done) then arg_max(level, i) else min(level) filter (i > 256) end as t from (
   with recursive walk as (
     select distinct image_id, name, z, v0, greatest(v1 - 1, v0) as v2, 0 as i, false as done,
            greatest(v0, least(greatest(v1 - 1, v0), cast(floor(cast(st as double) / pt + 0.5) as bigint))) as level
@@ -234,7 +241,7 @@ select image_id, name, z, arg_max(level, i) as t from (
                (cast(d.st - d.s as double) / (d.pt - d.p) - cast(d.s as double) / d.p)
                / (ln(cast(d.st - d.s as double) / (d.pt - d.p)) - ln(cast(d.s as double) / d.p)) + 0.5) as bigint) else 0 end as fresh
       from walk w join dense d on d.image_id = w.image_id and d.name = w.name and d.z = w.z and d.t = w.level
-      where not w.done and w.i < 256)
+      where not w.done and w.i < 512)
   )
   select * from walk)
 group by image_id, name, z"""
@@ -297,6 +304,38 @@ select image_id, name, z, t from (
 qualify row_number() over (partition by image_id, name, z order by floor(score * 1e9 + 0.5), t) = 1"""
 
 
+# Two peaks of the histogram, smoothed by a three-point mean until not more are left.
+_SMOOTHED = """
+with recursive dense_counts as (
+  select k.image_id, k.name, k.z, k.st, k.pt, list(cast(coalesce(h.n, 0) as double) order by g.v) as h
+  from (select distinct image_id, name, z, st, pt from bins) k
+  cross join (select cast(unnest(range(256)) as int) as v) g
+  left join hist h on h.image_id = k.image_id and h.name = k.name and h.z = k.z and h.v = g.v
+  group by k.image_id, k.name, k.z, k.st, k.pt
+),
+walk as (
+  select *, 0 as i from dense_counts
+  union all
+  select image_id, name, z, st, pt,
+         list_transform(range(1, 257), lambda k: (coalesce(case when k > 1 then h[k - 1] end, 0) + h[k] + coalesce(h[k + 1], 0)) / 3), i + 1
+  from walk
+  where len(list_filter(range(2, 256), lambda k: h[k] - h[k - 1] > list_max(h) / 1e9 and h[k] - h[k + 1] > list_max(h) / 1e9)) > 2
+),
+modes as (
+  select *, list_filter(range(2, 256), lambda k: h[k] - h[k - 1] > list_max(h) / 1e9 and h[k] - h[k + 1] > list_max(h) / 1e9) as peaks
+  from (select image_id, name, z, st, pt, arg_max(h, i) as h from walk group by all)
+)"""
+_LEVELS["intermodes"] = f"""
+select * from ({_SMOOTHED}
+  select image_id, name, z, case when len(peaks) = 2 then (peaks[1] + peaks[2] - 2) // 2 else st // pt end as t from modes)"""
+_LEVELS["minimum"] = f"""
+select * from ({_SMOOTHED}
+  select image_id, name, z, case when len(peaks) = 2 then peaks[1] - 2 + list_position(
+           list_transform(h[peaks[1] : peaks[2]], lambda x: floor(x / (list_max(h) / 1e9) + 0.5)),
+           list_min(list_transform(h[peaks[1] : peaks[2]], lambda x: floor(x / (list_max(h) / 1e9) + 0.5)))) else st // pt end as t
+  from modes)"""
+
+
 def _order_level(alpha: float) -> str:
     power = f"power(cast(n as double), {alpha})"
     score = (
@@ -349,11 +388,11 @@ from voxels v join level_{key} l on l.image_id = v.image_id and l.name = v.name
     return _voxel_query(_HIST, _BINS, _level_parts(key), select=select)
 
 
-def _threshold_levels() -> str:
+def _threshold_levels(zooms: str = "1") -> str:
     keys = ["default", "otsu", "mean", "percentile", "max_entropy", "yen", "triangle"]
     columns = ", ".join(f"level_{k}.t as t_{k.replace('_', '')}" for k in keys)
     joins = " ".join(f"join level_{k} using (image_id, name, z)" for k in keys[1:])
-    select = f"select image_id, name, z, {columns} from level_{keys[0]} {joins}"
+    select = f"select image_id, unnest([{zooms}]) as zoom_out, name, z, {columns} from level_{keys[0]} {joins}"
     return _voxel_query(_HIST, _BINS, *[_level_parts(k) for k in keys], select=select)
 
 
@@ -543,6 +582,7 @@ select req_id, image_id, {_ROI_NAME} as name, 1 as zoom_out, x, y, z, width as x
 from assembled group by req_id, image_id, x, y, z, width, height, depth""",
         ),
         "roi_gauss": _gauss_roi(),
+        "roi_gauss_blocks": _gauss_roi(voxels=True),
         "request_count": _with(_ROI, select="select image_id, count(*) as n from roi group by image_id"),
         "word_count": _words("text"),
         "word_count_ci": _words("lower(text)"),
@@ -562,11 +602,11 @@ from tiles cross join (values (0), (1000)) o(d)""",
         "image_register": _with(
             _TILES, select="select distinct image_id as id, 'image-' || image_id as name from tiles"
         ),
-        "slice_histogram": _voxel_query(_HIST, select="select * from hist"),
+        "slice_histogram": _voxel_query(_HIST, select="select *, 1 as zoom_out from hist"),
         "contrast_range": _voxel_query(
             _HIST,
             select=f"""
-select image_id, name, z, min(v) filter (where below > cut) as lo, max(v) filter (where above > cut) as hi
+select image_id, 1 as zoom_out, name, z, min(v) filter (where below > cut) as lo, max(v) filter (where above > cut) as hi
 from (
   select *, floor(total * {SATURATED} / 200) as cut from (
     select *, sum(n) over (partition by image_id, name, z order by v) as below,
@@ -601,6 +641,7 @@ from voxels join mirror a on a.i = y - ty join mirror b on b.i = x - tx""",
         "bandpass_horizontal": _bandpass("horizontal"),
         "bandpass_vertical": _bandpass("vertical"),
         "threshold_levels": _threshold_levels(),
+        "levels_of_copies": _threshold_levels("1, 2"),
         "plugin_filter": _voxel_query(select="select image_id, x, y, z, cast(255 - v as int) as v from voxels"),
         "register_pairs": _register(),
     }

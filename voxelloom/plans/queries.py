@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SIGMAS = (1.0, 0.9, 1.0)
 SATURATED = 25.0
+SLICE = ("image_id", "zoom_out", "name", "z")
 STRIPED = [bp.Band(stripes=s) for s in bp.STRIPES]
 # Cell edge for the border exchange; the tiles here are far smaller than real ones.
 CELL = (4 * SIDE,) * 3
@@ -83,8 +84,13 @@ def _assembled(volume: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _assembled_blur(volume: DataFrame, asked: DataFrame) -> DataFrame:
-    boxes = roi.roi_assemble(volume, asked)
-    return _hex(gauss.gauss3d_tile(boxes, *SIGMAS)).select("req_id", "image_id", "name", "pixels")
+    return _hex(roi.roi_blur(volume, asked, *SIGMAS)).select("req_id", "image_id", "name", "pixels")
+
+
+def _blur_in_blocks(volume: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same voxels, each request cut into blocks of a few voxels."""
+    small = roi.roi_blur(volume, asked.where("req_id % 5 = 0"), *SIGMAS, chunk_voxels=12)
+    return layout.voxel_explode(small.withColumn("image_id", F.col("req_id").cast("int"))).withColumnRenamed("image_id", "req_id")
 
 
 def _filter_grid(df: DataFrame) -> DataFrame:
@@ -93,12 +99,18 @@ def _filter_grid(df: DataFrame) -> DataFrame:
 
 
 def _levels(df: DataFrame) -> DataFrame:
-    return threshold.threshold_levels(histogram.slice_histogram(df), "image_id", "name", "z")
+    return threshold.threshold_levels(histogram.slice_histogram(df), *SLICE)
+
+
+def _levels_of_copies(df: DataFrame) -> DataFrame:
+    """Tiles of even images stored twice, and all tiles on a second zoom as well."""
+    copies = df.unionByName(df.where("image_id % 2 = 0 or x % 8 = 0")).unionByName(df.withColumn("zoom_out", F.lit(2)))
+    return _levels(copies)
 
 
 def _range(df: DataFrame) -> DataFrame:
     counts = histogram.slice_histogram(df)
-    return histogram.contrast_range(counts, "image_id", "name", "z", saturated=SATURATED)
+    return histogram.contrast_range(counts, *SLICE, saturated=SATURATED)
 
 
 def queries() -> dict[str, Query]:
@@ -121,6 +133,7 @@ def queries() -> dict[str, Query]:
         "roi_first_tile": _requested(lambda t, r: _pairs(roi.first_tile(roi.roi_join(t, r)))),
         "roi_assemble": _requested(_assembled),
         "roi_gauss": _requested(_assembled_blur),
+        "roi_gauss_blocks": _requested(_blur_in_blocks),
         "request_count": lambda spark, sf: counting.keyed_count(requests(spark, sf), "image_id"),
         "word_count": lambda spark, sf: counting.word_count(table(spark, sf, "documents")),
         "word_count_ci": lambda spark, sf: counting.word_count(table(spark, sf, "documents"), case_sensitive=False),
@@ -141,6 +154,7 @@ def queries() -> dict[str, Query]:
         "mirror_pad": _over_tiles(bp.mirror_pad),
         "bandpass_filter_grid": _over_tiles(_filter_grid),
         "threshold_levels": _over_tiles(_levels),
+        "levels_of_copies": _over_tiles(_levels_of_copies),
         "plugin_filter": _to_voxels(lambda df: apply_filter(df, "invert")),
         "register_pairs": _over_tiles(registration.register_pairs),
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from voxelloom.functions.names import base_name, parse_names
 from voxelloom.schema import TILE_META
 
 IMAGE_GLOB = "*.jpg"
-# Longest path list that is handed to a reader directly.
+# Listed paths that one reader gets; longer lists are read by several.
 LISTED_PATHS = 10_000
 IMAGE_ROWS = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
@@ -34,33 +36,59 @@ def _listed(spark: SparkSession, list_path: str) -> DataFrame:
 
 
 def in_path_list(files: DataFrame, list_path: str, path: str = "path") -> DataFrame:
-    """The rows whose file a text file names, one path per line; a line may be any ending of the full path."""
-    wanted = _listed(files.sparkSession, list_path).withColumn("_file", F.element_at(F.split("_line", "/"), -1))
-    found = files.withColumn("_file", F.element_at(F.split(path, "/"), -1))
-    same = (found["_file"] == wanted["_file"]) & found[path].endswith(wanted["_line"])
-    return found.join(wanted, same, "left_semi").drop("_file")
+    """The rows whose file a text file names, one path per line; see :func:`matching_paths`."""
+    return matching_paths(files, _listed(files.sparkSession, list_path), path, "_line")
 
 
-def read_path_list(spark: SparkSession, list_path: str) -> DataFrame:
-    """Exactly the listed files, without scanning their folders; a missing file is an error.
+def matching_paths(files: DataFrame, lines: DataFrame, path: str = "path", line: str = "line") -> DataFrame:
+    """The rows whose path a line names.
 
-    The list goes through the driver and may have :data:`LISTED_PATHS` lines. For longer ones read the
-    folder and use :func:`in_path_list`.
+    A line is a full path, with or without its scheme, or the last folders and the name of one; only whole
+    components match.
     """
-    lines = _listed(spark, list_path).limit(LISTED_PATHS + 1).collect()
-    if len(lines) > LISTED_PATHS:
-        raise ValueError(f"more than {LISTED_PATHS} paths: use in_path_list on the folder")
-    return read_files(spark, [row["_line"] for row in lines], "*")
+    wanted = lines.select(F.col(line).alias("_line")).distinct().withColumn("_file", F.element_at(F.split("_line", "/"), -1))
+    place = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    found = files.withColumn("_file", F.element_at(F.split(path, "/"), -1)).withColumn("_place", place)
+    listed = wanted["_line"]
+    relative = ~listed.startswith("/") & (found["_place"].endswith(F.concat(F.lit("/"), listed)) | (found["_place"] == listed))
+    same = (found["_file"] == wanted["_file"]) & ((found[path] == listed) | (found["_place"] == listed) | relative)
+    return found.join(wanted, same, "left_semi").drop("_file", "_place")
+
+
+def listed_paths(spark: SparkSession, list_path: str, folder: str | None = None, glob: str = "*") -> list[str]:
+    """The listed paths; with ``folder`` the files below it that the list names. They go through the driver, their content does not."""
+    if folder is None:
+        return [row["_line"] for row in _listed(spark, list_path).collect()]
+    found = in_path_list(read_files(spark, folder, glob).select("path"), list_path)
+    return [row["path"] for row in found.collect()]
+
+
+def _in_groups(paths: list[str], read: Callable[[list[str]], DataFrame]) -> DataFrame:
+    if not paths:
+        raise ValueError("no file is listed")
+    parts = [read(paths[at : at + LISTED_PATHS]) for at in range(0, len(paths), LISTED_PATHS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_path_list(spark: SparkSession, list_path: str) -> DataFrame:
+    """Exactly the listed files, without scanning their folders; a missing file is an error."""
+    return _in_groups(listed_paths(spark, list_path), lambda paths: read_files(spark, paths, "*"))
 
 
 def brightness(weights: tuple[float, float, float] | None = None):
-    """Function of (data, nChannels) giving grey bytes: the greatest channel, or a red-green-blue weighted sum."""
+    """Function of (data, nChannels) giving grey bytes: the greatest channel, or a red-green-blue weighted sum.
+
+    Images that could not be decoded have no channels and give NULL.
+    """
 
     @F.pandas_udf("binary")
     def convert(payloads: pd.Series, channels: pd.Series) -> pd.Series:
         out = []
         for payload, count in zip(payloads, channels):
-            values = np.frombuffer(payload, np.uint8).reshape(-1, count)
+            if payload is None or count is None or count < 1:
+                out.append(None)
+                continue
+            values = np.frombuffer(payload, np.uint8).reshape(-1, int(count))
             if count == 1:
                 grey = values[:, 0]
             elif weights is None:
@@ -76,7 +104,8 @@ def brightness(weights: tuple[float, float, float] | None = None):
 
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Decoded images; an undecodable file is a row without channels."""
-    return spark.read.format("image").option("dropInvalid", "false").load(path)
+    read = lambda paths: spark.read.format("image").option("dropInvalid", "false").load(paths)
+    return read(path) if isinstance(path, str) else _in_groups(path, read)
 
 
 def decode_tiles(decoded: DataFrame, image_id: int = -1, color: str = "reject") -> DataFrame:
@@ -114,8 +143,12 @@ def decode_tiles(decoded: DataFrame, image_id: int = -1, color: str = "reject")
 def read_tiles(
     spark: SparkSession, path: str | list[str], image_id: int = -1, on_error: str = "skip", color: str = "reject"
 ) -> DataFrame:
-    """Usable tiles of an image folder; ``on_error='fail'`` stops at the first unusable file."""
-    decoded = decode_tiles(read_images(spark, path), image_id, color)
+    """Usable tiles of an image folder or of listed files; ``on_error='fail'`` stops at the first unusable file."""
+    return usable(decode_tiles(read_images(spark, path), image_id, color), on_error)
+
+
+def usable(decoded: DataFrame, on_error: str = "skip") -> DataFrame:
+    """The tiles without a ``problem``; ``on_error='fail'`` stops at the first one that has one."""
     if on_error == "skip":
         decoded = decoded.where(F.col("problem").isNull())
     elif on_error == "fail":
@@ -128,9 +161,11 @@ def read_tiles(
     return decoded.select(*TILE_META, "pixels")
 
 
-def ingest(spark: SparkSession, path: str | list[str], target: str, image_id: int = -1) -> None:
+def ingest(
+    spark: SparkSession, path: str | list[str], target: str, image_id: int = -1, on_error: str = "skip", color: str = "reject"
+) -> None:
     """Decode a folder of images into a tile table; an existing target is refused."""
-    read_tiles(spark, path, image_id).write.mode("errorifexists").parquet(target)
+    read_tiles(spark, path, image_id, on_error, color).write.mode("errorifexists").parquet(target)
 
 
 def encode_png(strip: np.ndarray) -> bytes:
@@ -156,7 +191,7 @@ ENCODERS = {"png": encode_png, "pgm": encode_pgm}
 
 
 def encode_tiles(tiles: DataFrame, kind: str = "png") -> DataFrame:
-    """``name`` and the encoded slice strip of every tile."""
+    """``name`` and the encoded slice strip of every tile, with its image and zoom."""
     encode = ENCODERS[kind]
 
     def run(batches):
@@ -167,31 +202,53 @@ def encode_tiles(tiles: DataFrame, kind: str = "png") -> DataFrame:
                 np.frombuffer(encode(data[starts[r] : starts[r + 1]].reshape(-1, widths[r])), np.uint8)
                 for r in range(batch.num_rows)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), binary_column(files)], names=["name", "content"])
+            head = [batch.column(c) for c in ("image_id", "zoom_out", "name")]
+            yield pa.RecordBatch.from_arrays([*head, binary_column(files)], names=["image_id", "zoom_out", "name", "content"])
 
-    return tiles.select("name", "x_dim", "pixels").mapInArrow(run, "name string, content binary")
+    schema = "image_id int, zoom_out int, name string, content binary"
+    return tiles.select("image_id", "zoom_out", "name", "x_dim", "pixels").mapInArrow(run, schema)
 
 
-def export_files(encoded: DataFrame, folder: str, ending: str) -> None:
-    """Write ``content`` to ``folder/name.ending``, one file per row.
+def export_files(encoded: DataFrame, folder: str, ending: str, by_image: bool = False) -> None:
+    """Write ``content`` to ``folder/name.ending``, one file per row; two rows for one file are refused before any is written.
 
+    ``by_image`` puts the files of each image and zoom into a folder of their own, ``image-<id>/zoom-<zoom>``.
     The folder is any location all executors can reach: a mounted path or a URI that pyarrow can open.
     A file appears under its name only when it is complete, so a repeated task does no harm.
     """
 
     def write(rows) -> None:
         target, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        target.create_dir(root, recursive=True)
+        made = set()
         for row in rows:
-            final = f"{root}/{row['name']}.{ending}"
-            partial = f"{root}/_{uuid.uuid4().hex}"
+            place = f"{root}/{row['place']}" if row["place"] else root
+            if place not in made:
+                target.create_dir(place, recursive=True)
+                made.add(place)
+            final = f"{place}/{row['name']}.{ending}"
+            partial = f"{place}/_{uuid.uuid4().hex}"
             with target.open_output_stream(partial) as out:
                 out.write(bytes(row["content"]))
             target.move(partial, final)
 
-    encoded.select(base_name(F.col("name")).alias("name"), "content").foreachPartition(write)
+    if "place" not in encoded.columns:
+        encoded = _placed(encoded, by_image)
+    encoded.select("place", "name", "content").foreachPartition(write)
+
+
+def _placed(rows: DataFrame, by_image: bool) -> DataFrame:
+    """``place`` and base ``name`` of every row's file; refused if two rows share one."""
+    image = F.concat(F.lit("image-"), "image_id", F.lit("/zoom-"), "zoom_out") if by_image else F.lit("")
+    placed = rows.withColumn("place", image).withColumn("name", base_name(F.col("name")))
+    twice = placed.groupBy("place", "name").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} rows would be written to {twice['place']}/{twice['name']}")
+    return placed
 
 
-def export_tiles(tiles: DataFrame, folder: str, kind: str = "png") -> None:
-    """Write every tile as a lossless image of its slice strip."""
-    export_files(encode_tiles(tiles, kind), folder, kind)
+def export_tiles(tiles: DataFrame, folder: str, kind: str = "png", by_image: bool = False) -> None:
+    """Write every tile as a lossless image of its slice strip; see :func:`export_files`."""
+    placed = _placed(tiles, by_image)
+    encoded = encode_tiles(placed.withColumn("name", F.concat_ws("|", "place", "name")), kind)
+    parts = F.split("name", r"\|")
+    export_files(encoded.select(parts[0].alias("place"), parts[1].alias("name"), "content"), folder, kind)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import parse_names
 from voxelloom.schema import TILE_META
+from voxelloom.sources.images import usable
 
 _TEXT = "org.apache.hadoop.io.Text"
 _BYTES = "org.apache.hadoop.io.BytesWritable"
@@ -22,20 +23,27 @@ def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(records.mapValues(bytes), "path string, content binary")
 
 
-def read_tiles(spark: SparkSession, path: str, image_id: int = -1) -> DataFrame:
-    """Raw-pixel records as tiles; records whose key is no tile name or whose length is wrong are left out."""
-    named = parse_names(read_sequence(spark, path))
+def decode_records(records: DataFrame, image_id: int = -1) -> DataFrame:
+    """Tiles of :func:`read_sequence` rows, with ``problem``: NULL for a good tile, else ``name`` or ``shape``."""
+    named = parse_names(records)
     volume = F.col("x_dim").cast("long") * F.col("y_dim") * F.col("z_dim")
-    good = named.where(F.col("valid") & (F.octet_length("content") == volume))
-    return good.select(
+    problem = F.when(~F.col("valid"), F.lit("name")).when(F.octet_length("content") != volume, F.lit("shape"))
+    return named.select(
         F.lit(image_id).alias("image_id"),
         "name",
         F.lit(1).alias("zoom_out"),
         *TILE_META[3:],
-        F.col("content").alias("pixels"),
+        F.when(problem.isNull(), F.col("content")).alias("pixels"),
+        problem.alias("problem"),
+        "path",
     )
 
 
+def read_tiles(spark: SparkSession, path: str, image_id: int = -1, on_error: str = "skip") -> DataFrame:
+    """Raw-pixel records as tiles; a key that is no tile name or a wrong length skips the record or stops the job."""
+    return usable(decode_records(read_sequence(spark, path), image_id), on_error)
+
+
 def write_sequence(records: DataFrame, path: str, key: str = "name", value: str = "pixels") -> None:
     """Write key and payload of every row; an existing target is refused."""
     pairs = records.select(key, value).rdd.map(lambda row: (row[0], bytearray(row[1])))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxelloom.operators.filters import apply_filter
@@ -13,12 +12,19 @@ from voxelloom.schema import TILES
 from voxelloom.sources import images, tables
 
 
-def arriving_tiles(spark: SparkSession, source: str, image_id: int = -1, files_per_trigger: int = 1000) -> DataFrame:
+def arriving_tiles(
+    spark: SparkSession,
+    source: str,
+    image_id: int = -1,
+    files_per_trigger: int = 1000,
+    on_error: str = "skip",
+    color: str = "reject",
+) -> DataFrame:
     """A stream of the usable tiles among the image files that appear in a folder."""
     reader = spark.readStream.format("image").schema(images.IMAGE_ROWS)
     reader = reader.option("dropInvalid", "false").option("maxFilesPerTrigger", files_per_trigger)
-    decoded = images.decode_tiles(reader.load(source), image_id)
-    return decoded.where(F.col("problem").isNull()).select(*TILES.fieldNames())
+    decoded = images.decode_tiles(reader.load(source), image_id, color)
+    return images.usable(decoded, on_error).select(*TILES.fieldNames())
 
 
 def filter_arrivals(

@@ -5,10 +5,11 @@ register keeps its first arrival. A process ends when its time is past the last
 with the probability Jaccard similarity of their weights.
 
 Texts with the same words are one node. Nodes that agree in a band of registers share a bucket. Within a bucket no list of
-all pairs is made: in each round a node asks for one partner in another component, the bucket's centre if it is surely alike and
-else the node most alike by the registers, down to ``PLAUSIBLE``. Asked pairs are verified on their whole shingle weights,
+all pairs is made: in each round a node asks for partners in other components, the bucket's centre if it is surely alike and
+else the nodes most alike by the registers, down to ``PLAUSIBLE``. Asked pairs are verified on their whole shingle weights,
 links join components, and the next round goes on with what lies in different components until nobody has a partner left to
-ask. So every link between components is found that the bands and registers show; with 32 bands of 4 the bands miss
+ask. A node asks for one partner in the first round and for ``MORE`` times as many in each next one, so few rounds do even where
+many nodes are nearly but not quite alike. Buckets with the same nodes count once. So every link between components is found that the bands and registers show; with 32 bands of 4 the bands miss
 a pair at the threshold once in about 2e7, and the registers one in 1e5.
 """
 
@@ -22,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import keyed, kind, map_batches, schema, stored
+from voxelloom.llm.common import keyed, kind, map_batches, schema, stored, words
 from voxelloom.llm.components import components
-from voxelloom.llm.shingles import SHINGLE, mixed, runs, weighted, word_hashes, words_digest
+from voxelloom.llm.shingles import SHINGLE, digest, hashed, mixed, runs, weighted
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
@@ -34,15 +35,15 @@ PLAUSIBLE = THRESHOLD - 4.25 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Estimate from which the centre of a bucket is asked first.
 SURE = 0.92
 #: Texts whose registers are filled together, and nodes of a bucket that one task compares.
-TOGETHER, BLOCK = 256, 1024
+TOGETHER, BLOCK = 1024, 1024
+#: Growth of the number of partners a node asks for in a round.
+MORE = 6
 
 
 def registers(texts: list[np.ndarray]) -> np.ndarray:
     """One row of ``REGISTERS`` 32-bit element hashes per text, from the hashes of each text's shingles with repeats."""
     text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    element = np.concatenate([np.zeros(0, np.uint64), *texts])
-    order = np.lexsort((element, text))
-    text, element = text[order], element[order]
+    element = np.concatenate([np.zeros(0, np.uint64), *map(np.sort, texts)])
     fresh = np.ones(len(text), dtype=bool)
     fresh[1:] = (text[1:] != text[:-1]) | (element[1:] != element[:-1])
     first = np.flatnonzero(fresh)
@@ -51,11 +52,15 @@ def registers(texts: list[np.ndarray]) -> np.ndarray:
     held = np.full(len(texts) * REGISTERS, np.iinfo(np.uint64).max)
     time, state, low = np.zeros(len(text)), element.copy(), element >> np.uint64(32)
     while len(text):
-        state = mixed(state + np.uint64(0x9E3779B97F4A7C15))
+        state = mixed(state + np.uint64(0x9E3779B97F4A7C15))  # the next of the element's own random numbers
         time = time - np.log1p(-((state >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weight
-        slot = (mixed(state ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % REGISTERS
+        slot = (state & np.uint64(REGISTERS - 1)).astype(np.int64)  # bits that the time does not use
         arrival = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | low
-        np.minimum.at(held, text * REGISTERS + slot, arrival)
+        latest = np.argsort(arrival)[::-1]  # of arrivals at one register the earliest is written last
+        place = (text * REGISTERS + slot)[latest]
+        found = np.full(len(held), np.iinfo(np.uint64).max) if len(text) > len(held) // 8 else held.copy()
+        found[place] = arrival[latest]
+        np.minimum(held, found, out=held)
         last = (held.reshape(-1, REGISTERS).max(axis=1) >> np.uint64(32)).astype(np.uint32)
         going = time.astype(np.float32).view(np.uint32) <= last[text]
         text, time, state, low, weight = text[going], time[going], state[going], low[going], weight[going]
@@ -82,14 +87,15 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         for at in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(at, TOGETHER)
             texts = part.column(text).to_pylist()
-            found = registers([runs(word_hashes(x), SHINGLE) for x in texts])
+            own = [words(x) for x in texts]
+            found = registers([runs(hashed(x), SHINGLE) for x in own])
             bands = found.reshape(len(texts), BANDS, ROWS).astype(np.uint64)
-            hashed = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
+            mix = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
             for row in range(ROWS):
-                hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, row])
-            digests = [words_digest(x) for x in texts]
+                mix = mixed(mix * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, row])
+            digests = [digest(x) for x in own]
             sketches = [None if d is None else row.tobytes() for d, row in zip(digests, found.astype(np.uint8), strict=True)]
-            keys = [None if d is None else row.tobytes() for d, row in zip(digests, hashed, strict=True)]
+            keys = [None if d is None else row.tobytes() for d, row in zip(digests, mix, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), *(pa.array(x, pa.binary()) for x in (digests, sketches, keys))], names=out.names
             )
@@ -106,42 +112,73 @@ def _buckets(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(bands), batch.column("node").take(pa.array(row))], names=["band", "node"])
 
     rows = map_batches(texts.select("node", "bands"), listed, schema(("band", "long"), ("node", "binary")))
-    crowded = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    return rows.join(crowded, "band", "left_semi")
+    alike = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
+    crowded = rows.groupBy("band").agg(F.count("*").alias("n"), alike.alias("nodes")).filter("n > 1")
+    once = crowded.groupBy("n", "nodes").agg(F.min("band").alias("band")).select("band")
+    return rows.join(once, "band", "left_semi")
 
 
 _ASK = schema(("asker", "binary"), ("partner", "binary"))
-_ASK_ARROW = pa.schema([("asker", pa.binary()), ("partner", pa.binary())])
-
-
-def _ask(members: pa.Table) -> pa.Table:
-    """One partner for each node of a block of a bucket that has one in another component and did not ask it before."""
-    names = members.column("node").to_pylist()
-    order = sorted(range(len(names)), key=names.__getitem__)
-    members, names = members.take(pa.array(order)), sorted(names)
-    if len(names) < 2:
-        return pa.Table.from_batches([], _ASK_ARROW)
-    roots = np.unique(np.array(members.column("root").to_pylist(), dtype=object).astype("S16"), return_inverse=True)[1]
-    sketch = np.frombuffer(b"".join(members.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+
+
+def _ask(members: list[tuple], partners: int) -> list[tuple[bytes, bytes]]:
+    """(asker, partner) for the nodes of a block of a bucket: at most ``partners`` each, in other components and not asked before.
+
+    A member is (node, root, sketch, asked nodes).
+    """
+    members = sorted(members, key=lambda m: m[0])
+    names = [m[0] for m in members]
     n = len(names)
-    alike = np.zeros((n, n), dtype=np.int16)
+    if n < 2 or len({m[1] for m in members}) < 2:
+        return []
+    number = {root: at for at, root in enumerate({m[1] for m in members})}
+    roots = np.array([number[m[1]] for m in members])
+    sketch = np.frombuffer(b"".join(m[2] for m in members), dtype=np.uint8).reshape(n, REGISTERS)
+    alike = np.empty((n, n), dtype=np.int16)
     for at in range(0, n, 64):
         alike[at : at + 64] = (sketch[at : at + 64, None, :] == sketch[None, :, :]).sum(axis=2)
     alike[roots[:, None] == roots[None, :]] = -1
     place = {name: at for at, name in enumerate(names)}
-    for at, asked in enumerate(members.column("asked").to_pylist()):
-        for name in asked or ():
+    for at, member in enumerate(members):
+        for name in member[3] or ():
             if name in place:
                 alike[at, place[name]] = alike[place[name], at] = -1
-    usual = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8)
-    centre = int((sketch == usual).sum(axis=1).argmax())
-    best = alike.argmax(axis=1)
-    best[alike[:, centre] >= SURE * REGISTERS] = centre
-    asks = np.flatnonzero(alike[np.arange(n), best] >= PLAUSIBLE * REGISTERS)
-    return pa.Table.from_pydict({"asker": [names[at] for at in asks], "partner": [names[best[at]] for at in asks]}, schema=_ASK_ARROW)
+    if partners == 1:
+        usual = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8) if n > 2 else sketch[0]
+        centre = int((sketch == usual).sum(axis=1).argmax())
+        best = alike.argmax(axis=1)
+        best[alike[:, centre] >= SURE * REGISTERS] = centre
+        best = best[:, None]
+    else:
+        best = np.argsort(-alike, axis=1, kind="stable")[:, :partners]
+    asker, nth = np.nonzero(np.take_along_axis(alike, best, axis=1) >= PLAUSIBLE * REGISTERS)
+    return [(names[a], names[best[a, k]]) for a, k in zip(asker.tolist(), nth.tolist(), strict=True)]
+
+
+def _asking(partners: int):
+    """Function of sorted member rows that asks block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members = None, []
+        for batch in batches:
+            found = []
+            for band, tile, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "_tile", "node", "root", "sketch", "asked")), strict=True):
+                if (band, tile) != block:
+                    found += _ask(members, partners)
+                    block, members = (band, tile), []
+                members.append(member)
+            yield _pairs(found)
+        yield _pairs(_ask(members, partners))
+
+    return run
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=_ASK.names)
 
 
-def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None, asked: DataFrame | None) -> DataFrame:
+def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None, asked: DataFrame | None, partners: int) -> DataFrame:
     """New pairs to verify, from the buckets that reach over several components.
 
     The first round looks within blocks of large buckets; later rounds bring every two blocks together.
@@ -155,26 +192,27 @@ def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None, aske
     size = size.filter("_low != _high").select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     rows = rows.join(size, "band").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     if roots is None:
-        rows = rows.withColumn("_tile", F.struct(F.col("_block").alias("a"), F.col("_block").alias("b")))
+        rows = rows.withColumn("_tile", F.col("_block").cast("long") * (1 << 32) + F.col("_block"))
     else:
-        others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(F.least("_block", b).alias("a"), F.greatest("_block", b).alias("b")))
+        others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.least("_block", b).cast("long") * (1 << 32) + F.greatest("_block", b))
         rows = rows.withColumn("_tile", F.explode(others))
     rows = rows.join(texts.select("node", "sketch"), "node")
     if asked is None:
         rows = rows.withColumn("asked", F.array().cast("array<binary>"))
     else:
         rows = rows.join(asked.groupBy(F.col("asker").alias("node")).agg(F.collect_set("partner").alias("asked")), "node", "left")
-    found = rows.select("band", "_tile", "node", "root", "sketch", "asked").groupBy("band", "_tile").applyInArrow(_ask, _ASK)
-    return found.distinct()
+    rows = rows.select("band", "_tile", "node", "root", "sketch", "asked")
+    sorted_rows = rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile")
+    return sorted_rows.mapInArrow(_asking(partners), _ASK).distinct()
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """node, elements and weights (32-bit numbers) of the wanted nodes (node, _doc)."""
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [weighted(word_hashes(x)) for x in batch.column(text).to_pylist()]
-        digests = [words_digest(x) for x in batch.column(text).to_pylist()]
-        columns = [pa.array(digests, pa.binary()), *(pa.array([x[side].tobytes() for x in found], pa.binary()) for side in (0, 1))]
+        own = [words(x) for x in batch.column(text).to_pylist()]
+        found = [weighted(hashed(x)) for x in own]
+        columns = [pa.array([digest(x) for x in own], pa.binary()), *(pa.array([x[side].tobytes() for x in found], pa.binary()) for side in (0, 1))]
         same = pc.equal(columns[0], batch.column("node"))
         yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", "weights"]).filter(same)
 
@@ -206,9 +244,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", te
     texts = described.filter("node is not null").groupBy("node").agg(F.min(F.struct("_doc", "sketch", "bands")).alias("x"))
     texts = stored(texts.select("node", "x.*"))
     buckets = stored(_buckets(texts))
-    shingles, found, asked, roots = None, None, None, None
+    shingles, found, asked, roots, partners = None, None, None, None, 1
     while True:
-        new = stored(_askings(buckets, texts, roots, asked))
+        new = stored(_askings(buckets, texts, roots, asked, partners))
         if new.isEmpty():
             break
         if shingles is None:
@@ -218,6 +256,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", te
         good = _verified(pairs, shingles, threshold)
         found = stored(good if found is None else found.unionByName(good).dropDuplicates(["a", "b"]))
         asked = stored(new if asked is None else asked.unionByName(new))
+        partners *= MORE
         roots = stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema(("a", "binary"), ("b", "binary"), ("similarity", "double")))

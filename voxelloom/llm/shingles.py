@@ -15,8 +15,8 @@ REMEMBERED = 400_000
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    def __missing__(self, word: bytes) -> bytes:
+        found = blake2b(word, digest_size=8).digest()
         if len(self) < REMEMBERED:
             self[word] = found
         return found
@@ -25,6 +25,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+#: An odd factor for each place of a run.
+_FACTORS = [np.uint64(int.from_bytes(blake2b(b"place %d" % at, digest_size=8).digest(), "little") | 1) for at in range(64)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -34,19 +38,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word."""
-    own = words(text)
-    return np.array(list(map(_hashes.__getitem__, own)), dtype=np.uint64)
+    return hashed(words(text))
+
+
+def hashed(own: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each of these words."""
+    return np.frombuffer(b"".join(map(_hashes.__getitem__, own)), dtype="<u8")
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words; of all words where there are fewer, nothing where there are none."""
     if not len(hashes):
         return hashes
-    n = max(1, len(hashes) - size + 1)
-    out = np.full(n, len(hashes) if len(hashes) < size else size, dtype=np.uint64)
-    for at in range(min(size, len(hashes))):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[at : at + n])
-    return out
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
+    out = np.full(n, size, dtype=np.uint64)
+    for at in range(size):
+        out += hashes[at : at + n] * _FACTORS[at]
+    return mixed(out)
 
 
 def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,5 +66,9 @@ def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def words_digest(text: str | None) -> bytes | None:
     """128 bits that are equal for texts with the same words; None without words."""
-    own = words(text)
+    return digest(words(text))
+
+
+def digest(own: list[bytes]) -> bytes | None:
+    """128 bits that are equal for equal words; None without words."""
     return blake2b(b" ".join(own), digest_size=16).digest() if own else None

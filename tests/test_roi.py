@@ -185,3 +185,18 @@ def test_equal_lines_are_requests_of_their_own(spark, tmp_path):
 def test_default_cell_is_bounded_for_tiles_of_any_shape(spark):
     assert seamless._cell_for([4, 4, 4]) == (64, 64, 64) and seamless._cell_for([128, 128, 64]) == (128, 128, 64)
     assert np.prod(seamless._cell_for([2000, 2000, 2000])) <= seamless.CELL_VOXELS
+
+
+def test_payloads_of_few_requests_are_read_in_place_and_pruned(spark, tmp_path):
+    from voxelloom.sources import tables
+
+    volume = RNG.integers(0, 256, (8, 8, 8), dtype=np.uint8)
+    for image in (1, 2, 3):
+        tables.append_pix(tables.as_pix(frame(spark, cut_volume(volume, (4, 4, 4))), image), str(tmp_path / "pix"))
+    out = roi_assemble(tables.read_pix(spark, str(tmp_path / "pix")), requests(spark, [(5, 5, 5, 2, 2, 2)], image_id=2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "pixels" in line]
+    assert scans and all("image_id" in line.split("PartitionFilters")[1] and "GreaterThanOrEqual(x,4)" in line for line in scans)
+    before_python = plan[plan.index("_cut_wanted" if "_cut_wanted" in plan else "MapInArrow") :]
+    assert "Generate explode(sequence" not in before_python.split("FileScan")[0]
+    assert (stack_of(out.first()) == volume[5:7, 5:7, 5:7]).all()

@@ -128,6 +128,33 @@ def _cut_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, from_arrow_schema(schema))
 
 
+def _cut_wanted(rows: DataFrame) -> DataFrame:
+    """From tiles with payload and the list of blocks that want a part of each to the parts, all cut in one pass."""
+    names = ["req_id", *BLOCK, *CORE]
+    schema = pa.schema([("req_id", pa.int64()), *[(c, pa.int32()) for c in [*VOLUME, *BLOCK, *CORE, *PIECE]], ("pixels", pa.binary())])
+
+    def run(batches):
+        buffer = PieceBuffer(schema)
+        for batch in batches:
+            data, starts = payload_view(batch.column("pixels"))
+            volumes, boxes = ints(batch, VOLUME), ints(batch, BOX)
+            lists = batch.column("_wanted")
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+            asked = lists.flatten()
+            heads = np.stack([asked.field(asked.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1)
+            for r in range(batch.num_rows):
+                box = boxes[r]
+                stack = data[starts[r] : starts[r + 1]].reshape(box[5], box[4], box[3])
+                for head in heads[ends[r] : ends[r + 1]]:
+                    low = np.maximum(head[1:4], box[:3])
+                    high = np.minimum(head[1:4] + head[4:7], box[:3] + box[3:])
+                    identity = (int(head[0]), *volumes[r].tolist(), *head[1:].tolist(), *low.tolist(), *(high - low).tolist())
+                    yield from buffer.add(identity, cut(stack, box[:3], low, high))
+        yield from buffer.flush()
+
+    return rows.select(*TILE_KEY, "pixels", "_wanted").mapInArrow(run, from_arrow_schema(schema))
+
+
 def roi_assemble(
     tiles: DataFrame,
     requests: DataFrame,
@@ -138,9 +165,10 @@ def roi_assemble(
     """The request boxes cut out of all overlapping tiles, as tile rows with ``req_id``.
 
     Voxels no tile covers are 0. A request above ``chunk_voxels`` yields several rows that tile its box.
-    With few requests (``broadcast``) the pieces are cut where the tiles are read, and only pieces move.
-    Otherwise (``shuffle``) pairs are found on metadata and only then meet the payloads of the tiles that
-    are needed; tiles wanted by very many requests, or stored very often, are dealt out over several tasks.
+    Pairs are found on metadata; the payload scan reads only images and places between the least and the greatest
+    that are needed. Few pairs are sent to where the tiles are read: each payload meets the list of its
+    requests once, and only pieces move. Many pairs meet the payloads in a shuffle; tiles wanted by very
+    many requests, or stored very often, are dealt out over several tasks.
     """
     return _assembled(tiles, _chunks(requests, chunk_voxels), strategy, hot_rows).select("req_id", *TILE_META, "pixels")
 
@@ -189,19 +217,26 @@ def _assembled(tiles: DataFrame, chunks: DataFrame, strategy: str, hot_rows: int
     block = {**{f"roi_{a}": b for a, b in zip(ORIGIN, BLOCK)}, **dict(zip(EXTENT, BLOCK[3:]))}
     payloads = tiles.select(*TILE_KEY, "pixels")
 
-    if strategy == "broadcast":
-        pairs = box_join(payloads, chunks, strategy="broadcast", grid=grid)
+    how = "broadcast" if strategy == "broadcast" else "auto"
+    found = reliable_checkpoint(box_join(tiles.select(*TILE_KEY).distinct(), chunks, strategy=how, grid=grid))
+    ends = [f(c).alias(f"{n}_{c}") for c in [*VOLUME, *ORIGIN] for n, f in (("lo", F.min), ("hi", F.max))]
+    spread = found.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+    size = spread["n"]
+    for c in [*VOLUME, *ORIGIN] if size else ():
+        payloads = payloads.where(F.col(c).between(spread[f"lo_{c}"], spread[f"hi_{c}"]))
+    if size <= BROADCAST_CELLS and strategy != "shuffle":
+        asked = F.collect_list(F.struct("req_id", *BLOCK, *CORE)).alias("_all")
+        parts = f"transform(sequence(0, (size(_all) - 1) div {hot_rows}), i -> slice(_all, i * {hot_rows} + 1, {hot_rows}))"
+        wanted = found.withColumnsRenamed(block).groupBy(*TILE_KEY).agg(asked)
+        wanted = wanted.select(*TILE_KEY, F.explode(F.expr(parts)).alias("_wanted"))
+        pieces = _cut_wanted(payloads.join(F.broadcast(wanted), TILE_KEY))
     else:
-        found = reliable_checkpoint(box_join(tiles.select(*TILE_KEY).distinct(), chunks, grid=grid))
-        size = found.count()
-        if size <= BROADCAST_CELLS:
-            payloads = payloads.join(F.broadcast(found.select(*TILE_KEY).distinct()), TILE_KEY, "left_semi")
         # equal copies differ only in where they are read; a repeated task reads them at the same place
         placed = payloads.withColumn("_part", F.spark_partition_id())
         limit = hot_limit(hot_rows, size, grid.tile_rows)
         left, right = split_hot(found, placed, TILE_KEY, limit, right_by=["_part"])
         pairs = left.join(right, [*TILE_KEY, "_a", "_b"])
-    pieces = _cut_pairs(pairs.withColumnsRenamed(block).select("req_id", *TILE_KEY, *BLOCK, *CORE, "pixels"))
+        pieces = _cut_pairs(pairs.withColumnsRenamed(block).select("req_id", *TILE_KEY, *BLOCK, *CORE, "pixels"))
 
     # every block announces itself once, so that a request without tiles still gets its zeros
     own = chunks.withColumnsRenamed(dict(zip([*ORIGIN, *EXTENT], BLOCK)))

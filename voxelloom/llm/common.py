@@ -17,6 +17,10 @@ from voxelloom.session import reliable_checkpoint, ship_package
 
 #: One Arrow batch holds at most this many bytes, whatever the length of its texts.
 BATCH_BYTES = 16 << 20
+#: Keys, with a few bytes each, that are broadcast at once.
+FEW_KEYS = 1_000_000
+#: Words that are hashed or compared together, so that long batches need little memory.
+TOGETHER = 200_000
 #: A word: a run of lower-cased ASCII letters, digits and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +91,19 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     return df.mapInArrow(run, out)
 
 
+def portions(batch: pa.RecordBatch, column: str, most: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """The rows in parts with about ``most`` words, or one row with more, and the words of each row."""
+    start, size, own = 0, 0, []
+    for at in range(batch.num_rows):
+        mine = words(batch.column(column)[at].as_py())
+        if own and size + len(mine) > most:
+            yield batch.slice(start, at - start), own
+            start, size, own = at, 0, []
+        own.append(mine)
+        size += len(mine)
+    yield batch.slice(start), own
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if text is None else text for text in batch.column(column).to_pylist()]
 
@@ -98,6 +115,18 @@ def shielded(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFra
     return renamed, lambda out: out.select(*[out[name].alias(c) for c, name in names.items()])
 
 
+def rows_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``text`` and the other columns of ``wanted`` for the documents whose key is its ``_doc``.
+
+    Wanted keys are sent to where the documents are read if there are ``FEW_KEYS`` at most; else both sides are shuffled.
+    """
+    wanted = stored(wanted)
+    few = wanted.count() <= FEW_KEYS
+    rows = keyed(docs, key, text)
+    found = rows.join(F.broadcast(wanted) if few else wanted, rows[key].eqNullSafe(wanted["_doc"]))
+    return found.select(text, *[c for c in wanted.columns if c != "_doc"])
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns that the operators read."""
     return df.select(F.col(key), F.col(text).cast("string").alias(text))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import keyed, kind, map_batches, schema, stored, words
+from voxelloom.llm.common import keyed, kind, map_batches, portions, rows_of, schema, stored
 from voxelloom.llm.components import components
 from voxelloom.llm.shingles import SHINGLE, digest, hashed, mixed, runs, weighted
 
@@ -34,8 +34,8 @@ REGISTERS = BANDS * ROWS
 PLAUSIBLE = THRESHOLD - 4.25 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Estimate from which the centre of a bucket is asked first.
 SURE = 0.92
-#: Texts whose registers are filled together, and nodes of a bucket that one task compares.
-TOGETHER, BLOCK = 1024, 1024
+#: Nodes of a bucket that are compared together.
+BLOCK = 512
 #: Growth of the number of partners a node asks for in a round.
 MORE = 6
 
@@ -84,12 +84,9 @@ def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     out = schema(("_doc", kind(docs, key)), ("node", "binary"), ("sketch", "binary"), ("bands", "binary"))
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
-            texts = part.column(text).to_pylist()
-            own = [words(x) for x in texts]
+        for part, own in portions(batch, text):
             found = registers([runs(hashed(x), SHINGLE) for x in own])
-            bands = found.reshape(len(texts), BANDS, ROWS).astype(np.uint64)
+            bands = found.reshape(len(own), BANDS, ROWS).astype(np.uint64)
             mix = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2])
             for row in range(ROWS):
                 mix = mixed(mix * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, row])
@@ -124,7 +121,7 @@ _ASK = schema(("asker", "binary"), ("partner", "binary"))
 def _ask(members: list[tuple], partners: int) -> list[tuple[bytes, bytes]]:
     """(asker, partner) for the nodes of a block of a bucket: at most ``partners`` each, in other components and not asked before.
 
-    A member is (node, root, sketch, asked nodes).
+    A member is (node, root, sketch, hash of the node, hashes of the asked nodes).
     """
     members = sorted(members, key=lambda m: m[0])
     names = [m[0] for m in members]
@@ -136,13 +133,12 @@ def _ask(members: list[tuple], partners: int) -> list[tuple[bytes, bytes]]:
     sketch = np.frombuffer(b"".join(m[2] for m in members), dtype=np.uint8).reshape(n, REGISTERS)
     alike = np.empty((n, n), dtype=np.int16)
     for at in range(0, n, 64):
-        alike[at : at + 64] = (sketch[at : at + 64, None, :] == sketch[None, :, :]).sum(axis=2)
+        alike[at : at + 64] = (sketch[at : at + 64, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16)
     alike[roots[:, None] == roots[None, :]] = -1
-    place = {name: at for at, name in enumerate(names)}
+    place = {member[3]: at for at, member in enumerate(members)}
     for at, member in enumerate(members):
-        for name in member[3] or ():
-            if name in place:
-                alike[at, place[name]] = alike[place[name], at] = -1
+        found = [place[hashed_] for hashed_ in member[4] or () if hashed_ in place]
+        alike[at, found] = alike[found, at] = -1
     if partners == 1:
         usual = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8) if n > 2 else sketch[0]
         centre = int((sketch == usual).sum(axis=1).argmax())
@@ -162,7 +158,7 @@ def _asking(partners: int):
         block, members = None, []
         for batch in batches:
             found = []
-            for band, tile, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "_tile", "node", "root", "sketch", "asked")), strict=True):
+            for band, tile, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "_tile", "node", "root", "sketch", "_id", "asked")), strict=True):
                 if (band, tile) != block:
                     found += _ask(members, partners)
                     block, members = (band, tile), []
@@ -198,10 +194,10 @@ def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None, aske
         rows = rows.withColumn("_tile", F.explode(others))
     rows = rows.join(texts.select("node", "sketch"), "node")
     if asked is None:
-        rows = rows.withColumn("asked", F.array().cast("array<binary>"))
+        rows = rows.withColumn("asked", F.array().cast("array<bigint>"))
     else:
-        rows = rows.join(asked.groupBy(F.col("asker").alias("node")).agg(F.collect_set("partner").alias("asked")), "node", "left")
-    rows = rows.select("band", "_tile", "node", "root", "sketch", "asked")
+        rows = rows.join(asked.groupBy(F.col("asker").alias("node")).agg(F.collect_set(F.xxhash64("partner")).alias("asked")), "node", "left")
+    rows = rows.select("band", "_tile", "node", "root", "sketch", F.xxhash64("node").alias("_id"), "asked")
     sorted_rows = rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile")
     return sorted_rows.mapInArrow(_asking(partners), _ASK).distinct()
 
@@ -210,15 +206,13 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
     """node, elements and weights (32-bit numbers) of the wanted nodes (node, _doc)."""
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = [words(x) for x in batch.column(text).to_pylist()]
-        found = [weighted(hashed(x)) for x in own]
-        columns = [pa.array([digest(x) for x in own], pa.binary()), *(pa.array([x[side].tobytes() for x in found], pa.binary()) for side in (0, 1))]
-        same = pc.equal(columns[0], batch.column("node"))
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", "weights"]).filter(same)
-
-    rows = keyed(docs, key, text)
-    rows = rows.join(wanted, rows[key].eqNullSafe(wanted["_doc"])).select(text, "node")
-    found = map_batches(rows, describe, schema(("node", "binary"), ("elements", "binary"), ("weights", "binary")))
+        for part, own in portions(batch, text):
+            found = [weighted(hashed(x)) for x in own]
+            columns = [pa.array([digest(x) for x in own], pa.binary()), *(pa.array([x[side].tobytes() for x in found], pa.binary()) for side in (0, 1))]
+            same = pc.equal(columns[0], part.column("node"))
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "elements", "weights"]).filter(same)
+
+    found = map_batches(rows_of(docs, wanted, key, text), describe, schema(("node", "binary"), ("elements", "binary"), ("weights", "binary")))
     return stored(found.dropDuplicates(["node"]))
 
 
@@ -238,8 +232,11 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return map_batches(rows.select("a", "b", "_a", "_b"), measure, out).filter(F.col("similarity") >= threshold)
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(the rows of ``nodes``, links): verified links (a, b, similarity) between different texts that join all alike ones."""
+def links(
+    docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the rows of ``nodes``, links, roots): verified links (a, b, similarity) between different texts that join all alike
+    ones, and the root of every node that has a link."""
     described = stored(nodes(docs, key, text))
     texts = described.filter("node is not null").groupBy("node").agg(F.min(F.struct("_doc", "sketch", "bands")).alias("x"))
     texts = stored(texts.select("node", "x.*"))
@@ -255,12 +252,16 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", te
         pairs = new.select(F.least("asker", "partner").alias("a"), F.greatest("asker", "partner").alias("b")).distinct()
         good = _verified(pairs, shingles, threshold)
         found = stored(good if found is None else found.unionByName(good).dropDuplicates(["a", "b"]))
-        asked = stored(new if asked is None else asked.unionByName(new))
+        # what was verified as alike is in one component from now on
+        ends = (F.least("asker", "partner").alias("a"), F.greatest("asker", "partner").alias("b"))
+        rejected = new.select("*", *ends).join(found, ["a", "b"], "left_anti").select("asker", "partner")
+        asked = stored(rejected if asked is None else asked.unionByName(rejected))
         partners *= MORE
         roots = stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema(("a", "binary"), ("b", "binary"), ("similarity", "double")))
-    return described, found
+        roots = docs.sparkSession.createDataFrame([], schema(("node", "binary"), ("root", "binary")))
+    return described, found, roots
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,8 +270,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     Texts with the same words are one class, as are texts that a chain of links joins. A text without words, null or not, is
     a class of its own. Null keys are counted but name no class, unless a class has no other.
     """
-    described, found = links(docs, threshold, key, text)
-    roots = components(found)
+    described, _, roots = links(docs, threshold, key, text)
     rows = described.select(F.col("_doc").alias(key), "node").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     named = rows.filter("_root is not null").groupBy("_root").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
     alone = F.col("_root").isNull()

@@ -11,7 +11,7 @@ from voxelloom.llm.common import words
 #: Words of a shingle; a shorter text is one shingle.
 SHINGLE = 5
 #: Words that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class _Hashes(dict):

@@ -9,7 +9,7 @@ all pairs is made: in each round a node asks for partners in other components, t
 else the nodes most alike by the registers, down to ``PLAUSIBLE``. Asked pairs are verified on their whole shingle weights,
 links join components, and the next round goes on with what lies in different components until nobody has a partner left to
 ask. A node asks for one partner in the first round and for ``MORE`` times as many in each next one, so few rounds do even where
-many nodes are nearly but not quite alike. Buckets with the same nodes count once. So every link between components is found that the bands and registers show; with 32 bands of 4 the bands miss
+many nodes are nearly but not quite alike; nodes of a block's largest component only answer. Buckets with the same nodes count once. So every link between components is found that the bands and registers show; with 32 bands of 4 the bands miss
 a pair at the threshold once in about 2e7, and the registers one in 1e5.
 """
 
@@ -37,7 +37,7 @@ SURE = 0.92
 #: Nodes of a bucket that are compared together.
 BLOCK = 512
 #: Growth of the number of partners a node asks for in a round.
-MORE = 6
+MORE = 4
 
 
 def registers(texts: list[np.ndarray]) -> np.ndarray:
@@ -147,8 +147,15 @@ def _ask(members: list[tuple], partners: int) -> list[tuple[bytes, bytes]]:
         best = best[:, None]
     else:
         best = np.argsort(-alike, axis=1, kind="stable")[:, :partners]
-    asker, nth = np.nonzero(np.take_along_axis(alike, best, axis=1) >= PLAUSIBLE * REGISTERS)
-    return [(names[a], names[best[a, k]]) for a, k in zip(asker.tolist(), nth.tolist(), strict=True)]
+    good = np.take_along_axis(alike, best, axis=1) >= PLAUSIBLE * REGISTERS
+    sizes = np.bincount(roots)
+    if sizes.max() > 1:  # of two nodes in different components one at least is not in the largest; that one asks
+        good[roots == sizes.argmax()] = False
+    asker, nth = np.nonzero(good)
+    found = {}
+    for a, b in zip(asker.tolist(), best[asker, nth].tolist(), strict=True):
+        found.setdefault((min(a, b), max(a, b)), (names[a], names[b]))
+    return list(found.values())
 
 
 def _asking(partners: int):

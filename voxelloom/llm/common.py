@@ -6,6 +6,7 @@ accepts keys of any type that Spark can order.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
     return reliable_checkpoint(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nobody refers to any more, before a loop goes on."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables, below the shared checkpoint folder."""
     import uuid

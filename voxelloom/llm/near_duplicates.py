@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import keyed, kind, map_batches, portions, rows_of, schema, stored
+from voxelloom.llm.common import keyed, kind, map_batches, portions, release, rows_of, schema, stored
 from voxelloom.llm.components import components
 from voxelloom.llm.shingles import SHINGLE, digest, hashed, mixed, runs, weighted
 
@@ -264,6 +264,8 @@ def links(
         rejected = new.select("*", *ends).join(found, ["a", "b"], "left_anti").select("asker", "partner")
         asked = stored(rejected if asked is None else asked.unionByName(rejected))
         partners *= MORE
+        del pairs, good, rejected, new
+        release(docs.sparkSession)
         roots = stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema(("a", "binary"), ("b", "binary"), ("similarity", "double")))

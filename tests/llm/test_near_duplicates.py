@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -49,6 +50,27 @@ def test_similarity_equals_its_definition():
         assert nd.similarity(*arrays) == pytest.approx(slow_similarity(a, b))
 
 
+def test_similarity_at_the_threshold(spark):
+    array = lambda x: np.array(x, dtype=np.uint32)
+    for k in range(1, 301):  # 12/15 and 80/100 among them
+        one, other = (array(range(4 * k)), array([1] * (4 * k))), (array(range(5 * k)), array([1] * (5 * k)))
+        assert nd.similarity(one, other) == 0.8
+        less = (array(range(4 * k - 1)), array([1] * (4 * k - 1)))
+        assert nd.similarity(less, other) < 0.8
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ({rng.randint(0, 30): rng.randint(1, 9) for _ in range(rng.randint(1, 25))} for _ in range(2))
+        arrays = [(array(sorted(x)), array([x[k] for k in sorted(x)])) for x in (a, b)]
+        totals = [sum(max(Fraction(a.get(j, 0), a[i]), Fraction(b.get(j, 0), b[i])) for j in a.keys() | b.keys()) for i in a.keys() & b.keys()]
+        assert nd.similarity(*arrays) == float(sum(1 / t for t in totals))
+    rows = []
+    for common, union in ((12, 15), (80, 100)):
+        text = [f"{union}w{i}" for i in range(union + sh.SHINGLE - 1)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: common + sh.SHINGLE - 1]))]
+    found = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_registers_estimate_the_similarity():
     rng = random.Random(2)
     error = []

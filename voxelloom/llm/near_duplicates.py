@@ -68,15 +68,23 @@ def registers(texts: list[np.ndarray]) -> np.ndarray:
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard similarity of two sets of (elements, weights), elements ascending."""
+    """Probability Jaccard similarity of two sets of (elements, weights), elements ascending.
+
+    Weights are whole numbers and so are all sums; only the last quotient is rounded, so a pair at the threshold reaches it.
+    """
     common, at, to = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
-    a, b = one[1].astype(np.float64), other[1].astype(np.float64)
-    ratio, inverse = np.unique(a[at] / b[to], return_inverse=True)
-    alone = a.sum() - a[at].sum(), b.sum() - b[to].sum()
-    total = np.array([alone[0] + r * alone[1] + np.maximum(a[at], r * b[to]).sum() for r in ratio])
-    return float((a[at] / total[inverse]).sum())
+    a, b = one[1].astype(np.int64), other[1].astype(np.int64)
+    alone = int(a.sum() - a[at].sum()), int(b.sum() - b[to].sum())
+    a, b = a[at], b[to]
+    _, first, inverse = np.unique(a / b, return_index=True, return_inverse=True)
+    above, below = 0, 1
+    for number, (p, q) in enumerate(zip(a[first].tolist(), b[first].tolist(), strict=True)):
+        share = q * int(a[inverse == number].sum())
+        total = q * alone[0] + p * alone[1] + int(np.maximum(q * a, p * b).sum())
+        above, below = above * total + share * below, below * total
+    return above / below
 
 
 def nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

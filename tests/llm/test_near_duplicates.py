@@ -118,6 +118,16 @@ def test_classes_equal_brute_force(spark, prose, monkeypatch, block):
     assert set(map(frozenset, found.values())) == brute(rows)
 
 
+def test_only_pair_lies_across_blocks(spark, prose, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 1)
+    for seed in range(4):
+        rng = random.Random(seed)
+        text = prose(rng, 150)
+        rows = [(1, text), (2, f"{text} more"), (3, prose(rng, 100))]
+        found = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == {1: 1, 2: 1, 3: 3}
+
+
 def test_odd_rows(spark, odd, empty):
     rows = odd.collect()
     got = nd.classes(odd)

@@ -257,9 +257,13 @@ def links(
     texts = stored(texts.select("node", "x.*"))
     buckets = stored(_buckets(texts))
     shingles, found, asked, roots, partners = None, None, None, None, 1
+    nothing = docs.sparkSession.createDataFrame([], schema(("node", "binary"), ("root", "binary")))
     while True:
         new = stored(_askings(buckets, texts, roots, asked, partners))
         if new.isEmpty():
+            if roots is None:  # nothing within the blocks; the next round looks across them
+                roots = nothing
+                continue
             break
         if shingles is None:
             suspects = buckets.select("node").distinct()
@@ -277,7 +281,6 @@ def links(
         roots = stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema(("a", "binary"), ("b", "binary"), ("similarity", "double")))
-        roots = docs.sparkSession.createDataFrame([], schema(("node", "binary"), ("root", "binary")))
     return described, found, roots
 
 

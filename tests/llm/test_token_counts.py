@@ -4,7 +4,7 @@ from collections import Counter
 
 from tokenizers import Tokenizer
 
-from voxelloom.llm import token_counts
+from voxelloom.llm import queries, token_counts
 from voxelloom.llm.common import words
 from voxelloom.llm.tokens import word_bpe
 
@@ -45,6 +45,16 @@ def test_batches_add_up(spark, tmp_path, prose):
     assert store.batches() == ["one", "two", "three"]
 
 
+def test_query_counts_all_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert token_counts.exact_copies(docs).count() > 0
+    found = Counter()
+    for r in queries.op1_token_counts(spark, small).collect():
+        for c in ("docs", "tokens"):
+            found[(r["source"], r["lang"], r["tokenizer"], c)] += r[c]
+    assert +found == recount(docs.collect())
+
+
 def test_broken_off_batch_is_written_anew(spark, tmp_path, prose):
     import random
 

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, substrings, token_counts, toxicity
-from voxelloom.llm.common import LOWER, UPPER, WORD, keyed, scratch_folder, table
+from voxelloom.llm.common import FEW_KEYS, LOWER, UPPER, WORD, keyed, scratch_folder, stored, table
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Token totals of all documents after a load, its repetition, and the deletion of exact copies."""
+    """Token totals of all documents after a load, its repetition, and the revision, deletion and return of exact copies."""
     docs = table(spark, folder, "documents")
     store = token_counts.CountStore(spark, scratch_folder(spark, "counts"), docs.schema["doc_id"].dataType)
     store.upsert("load", docs)
     store.upsert("load", docs)
-    store.delete("copies", token_counts.exact_copies(docs))
+    copies = stored(token_counts.exact_copies(docs).distinct())
+    few = F.broadcast(copies) if copies.count() <= FEW_KEYS else copies
+    changing = docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]), "left_semi")
+    store.upsert("revised", changing.withColumn("text", F.concat("text", F.lit(" revised"))))
+    store.delete("copies", copies)
+    store.upsert("returned", changing)
     return store.totals()
 
 

@@ -10,7 +10,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from voxelloom.session import reliable_checkpoint, ship_package
 BATCH_BYTES = 16 << 20
 #: Keys, with a few bytes each, that are broadcast at once.
 FEW_KEYS = 1_000_000
+#: Tasks over which the rows of one key are dealt in a join with a large table of unique keys.
+SHARES = 16
 #: Words that are hashed or compared together, so that long batches need little memory.
 TOGETHER = 200_000
 #: A word: a run of lower-cased ASCII letters, digits and characters beyond ASCII.
@@ -134,6 +136,14 @@ def rows_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
     return found.select(text, *[c for c in wanted.columns if c != "_doc"])
 
 
+def dealt_join(rows: DataFrame, unique: DataFrame, condition: Column, *spread: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row per key; a key that many rows share is dealt over ``SHARES`` tasks by
+    the columns ``spread`` of the rows."""
+    dealt = rows.withColumn("_at", F.pmod(F.xxhash64(*spread), F.lit(SHARES)).cast("int"))
+    shares = unique.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(shares, condition & (F.col("_at") == F.col("_share"))).drop("_at", "_share")
+
+
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns that the operators read."""
     return df.select(F.col(key), F.col(text).cast("string").alias(text))

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import decontamination, fingerprints, licenses, lines, near_duplicates, packing, quality, substrings, token_counts, toxicity
+from voxelloom.llm import (
+    decontamination,
+    filter_audit,
+    fingerprints,
+    licenses,
+    lines,
+    near_duplicates,
+    packing,
+    quality,
+    substrings,
+    token_counts,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from voxelloom.llm.common import FEW_KEYS, LOWER, UPPER, WORD, keyed, scratch_folder, stored, table
 
 
@@ -148,9 +162,104 @@ FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id) LEFT J
 """
 
 
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return url_filter.judge(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters does at each place of every order, per source."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP12_SQL = """
+WITH docs AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS m FROM docs GROUP BY t),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+judged AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+           concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+                  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+                  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN d.doc_id > m THEN 'E' ELSE '' END) AS fails
+    FROM docs d JOIN firsts USING (t) LEFT JOIN marks ON marks.doc_id = d.doc_id
+), cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+    SELECT concat(a.f, b.f, c.f, d.f, e.f) AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (SELECT o, s, substr(o, s, 1) AS own, substr(o, 1, s - 1) AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+met AS (
+    SELECT part, o, s, own, n, good, bad, fails = own AS alone, contains(fails, own) AS failing, translate(earlier, fails, '') <> earlier AS gone
+    FROM cells, steps
+), counted AS (
+    SELECT part, o, s, own, sum(CASE WHEN gone OR failing THEN 0 ELSE n END) AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+    FROM met GROUP BY part, o, s, own
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every usable vector, its error and that of its label."""
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+def _op13_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+
+    def assign(at: int) -> str:
+        return f"""near{at} AS (
+    SELECT vec_id, part, arg_min(entry, far * {entries} + entry) AS entry, min(far) AS far
+    FROM (SELECT vec_id, p.part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far
+          FROM parts p JOIN book{at} b ON p.part = b.part) GROUP BY vec_id, part
+)"""
+
+    def update(at: int) -> str:
+        return f"""means{at} AS (
+    SELECT part, entry, list(m ORDER BY place) AS c FROM (
+        SELECT p.part, entry, place, CAST(floor(sum(x[place]) / count(*)) AS BIGINT) AS m
+        FROM parts p JOIN near{at} USING (vec_id, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS place) GROUP BY p.part, entry, place
+    ) GROUP BY part, entry
+), book{at + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{at} b LEFT JOIN means{at} m USING (part, entry))"""
+
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), parts AS (
+    SELECT vec_id, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS part)
+), book0 AS (
+    SELECT part, rank AS entry, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM kept) USING (vec_id) WHERE rank < {entries}
+), {assign(0)}, {update(0)}, {assign(1)}, {update(1)}, {assign(2)},
+coded AS (
+    SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY vec_id
+), digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+QUERIES = (
+    op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_fingerprints, op7_near_duplicates,
+    op8_quality_classifier, op9_line_dedup, op10_license_scan, op11_url_filter, op12_filter_audit, op13_vector_codes,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_fingerprints, op7_near_duplicates, op8_quality_classifier, op9_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_license_scan": _op10_sql()}
+    return {
+        "op4_decontamination": OP4_SQL,
+        "op9_line_dedup": OP9_SQL,
+        "op10_license_scan": _op10_sql(),
+        "op12_filter_audit": OP12_SQL,
+        "op13_vector_codes": _op13_sql(),
+    }

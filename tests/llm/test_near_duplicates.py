@@ -140,3 +140,32 @@ def test_odd_rows(spark, odd, empty):
     kept = nd.dedup(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 1, 1, *range(3, 14)]
     assert nd.classes(empty).count() == 0
+
+
+def test_crowds_that_are_nearly_alike_do_not_list_their_pairs(spark, monkeypatch):
+    """Pairs at a similarity of about 0.7: rows between the steps grow with the crowd, not with its pairs."""
+    counts = {}
+    for n in (100, 400):
+        rng = random.Random(n)
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(400), 14):
+                own[at] = f"x{rng.randint(0, 10**9)}"
+            rows.append((i, " ".join(own)))
+        sizes = []
+        for step in ("_askings", "_undecided", "_decided"):
+            plain = getattr(nd, step)
+
+            def counted(*args, plain=plain, sizes=sizes):
+                out = nd.stored(plain(*args))
+                sizes.append(out.count())
+                return out
+
+            monkeypatch.setattr(nd, step, counted)
+        found = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        monkeypatch.undo()
+        assert {frozenset({r["doc_id"]}) for r in found if r["class_size"] == 1} | {frozenset({-1})} <= brute(rows) | {frozenset({-1})}
+        counts[n] = sum(sizes)
+    assert counts[400] < 6 * counts[100] and counts[400] < 400 * 2 * nd.BANDS

@@ -4,24 +4,27 @@ Every shingle of a text makes a Poisson process whose rate is its weight; each a
 register keeps its first arrival. A process ends when its time is past the last register's. Two texts agree in a register
 with the probability Jaccard similarity of their weights.
 
-Texts with the same words are one node. Nodes that agree in a band of registers share a bucket. Within a bucket no list of
-all pairs is made: in each round a node asks for partners in other components, the bucket's centre if it is surely alike and
-else the nodes most alike by the registers, down to ``PLAUSIBLE``. Asked pairs are verified on their whole shingle weights,
-links join components, and the next round goes on with what lies in different components until nobody has a partner left to
-ask. A node asks for one partner in the first round and for ``MORE`` times as many in each next one, so few rounds do even where
-many nodes are nearly but not quite alike; nodes of a block's largest component only answer. Buckets with the same nodes count once. So every link between components is found that the bands and registers show; with 32 bands of 4 the bands miss
-a pair at the threshold once in about 2e7, and the registers one in 1e5.
+Texts with the same words are one node. Nodes that agree in a band of registers share a bucket; buckets with the same nodes count
+once. Within a bucket no list of all pairs is made. Twice a node asks for one partner in another component, the centre of its
+block if that is surely alike and else the node most alike by the registers: first within blocks of a bucket, then across
+them. Asked pairs are verified on their whole shingle weights and links join components. What is alike by the registers, down to
+``PLAUSIBLE``, and still lies in different components is then decided tile by tile: the shingle sets of the nodes in question
+come together once per tile, an upper bound sorts out most pairs, and only links that join components leave the tile. So rows
+grow with the members of a bucket, not with their pairs. Every link between components is found that the bands and registers
+show; with 32 bands of 4 the bands miss a pair at the threshold once in about 2e7, and the registers one in 1e5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxelloom.llm.common import keyed, kind, map_batches, portions, release, rows_of, schema, stored
 from voxelloom.llm.components import components
@@ -36,8 +39,8 @@ PLAUSIBLE = THRESHOLD - 4.25 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 SURE = 0.92
 #: Nodes of a bucket that are compared together.
 BLOCK = 512
-#: Growth of the number of partners a node asks for in a round.
-MORE = 4
+#: Asked pairs that a task hands on at once.
+PAIRS_TOGETHER = 100_000
 
 
 def registers(texts: list[np.ndarray]) -> np.ndarray:
@@ -123,98 +126,221 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return rows.join(once, "band", "left_semi")
 
 
-_ASK = schema(("asker", "binary"), ("partner", "binary"))
+def _members(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(band, _tile, node, root, asks): what is compared within each tile, of the buckets that reach over several components.
 
-
-def _ask(members: list[tuple], partners: int) -> list[tuple[bytes, bytes]]:
-    """(asker, partner) for the nodes of a block of a bucket: at most ``partners`` each, in other components and not asked before.
-
-    A member is (node, root, sketch, hash of the node, hashes of the asked nodes).
+    A bucket of up to ``BLOCK`` nodes is one tile. In larger ones nodes outside the bucket's largest component ask and the others
+    only answer; both are cut into blocks, and every block that asks makes a tile with each other block. So rows grow with the
+    bucket times the blocks that ask. Without roots, before there are components, blocks are compared within themselves.
     """
-    members = sorted(members, key=lambda m: m[0])
-    names = [m[0] for m in members]
-    n = len(names)
-    if n < 2 or len({m[1] for m in members}) < 2:
-        return []
-    number = {root: at for at, root in enumerate({m[1] for m in members})}
-    roots = np.array([number[m[1]] for m in members])
-    sketch = np.frombuffer(b"".join(m[2] for m in members), dtype=np.uint8).reshape(n, REGISTERS)
-    alike = np.empty((n, n), dtype=np.int16)
-    for at in range(0, n, 64):
-        alike[at : at + 64] = (sketch[at : at + 64, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16)
-    alike[roots[:, None] == roots[None, :]] = -1
-    place = {member[3]: at for at, member in enumerate(members)}
-    for at, member in enumerate(members):
-        found = [place[hashed_] for hashed_ in member[4] or () if hashed_ in place]
-        alike[at, found] = alike[found, at] = -1
-    if partners == 1:
-        usual = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8) if n > 2 else sketch[0]
-        centre = int((sketch == usual).sum(axis=1).argmax())
-        best = alike.argmax(axis=1)
-        best[alike[:, centre] >= SURE * REGISTERS] = centre
-        best = best[:, None]
+    rows = buckets
+    if roots is None:
+        rows = rows.withColumn("root", F.col("node"))
     else:
-        best = np.argsort(-alike, axis=1, kind="stable")[:, :partners]
-    good = np.take_along_axis(alike, best, axis=1) >= PLAUSIBLE * REGISTERS
-    sizes = np.bincount(roots)
-    if sizes.max() > 1:  # of two nodes in different components one at least is not in the largest; that one asks
-        good[roots == sizes.argmax()] = False
-    asker, nth = np.nonzero(good)
-    found = {}
-    for a, b in zip(asker.tolist(), best[asker, nth].tolist(), strict=True):
-        found.setdefault((min(a, b), max(a, b)), (names[a], names[b]))
-    return list(found.values())
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rows.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    size = parts.agg(F.sum("n").alias("_n"), F.max(F.struct("n", "root")).alias("_most"), F.count("*").alias("_parts")).filter("_parts > 1")
+    few = F.col("_n") <= BLOCK
+    own = F.when(few | F.lit(roots is None), 0).otherwise(F.col("_most.n"))
+    asking = F.greatest(F.lit(1), F.ceil((F.col("_n") - own) / BLOCK)).cast("int")
+    size = size.select("band", F.col("_most.root").alias("_largest"), asking.alias("_asking"), (asking + F.ceil(own / BLOCK)).cast("int").alias("_blocks"))
+    rows = rows.join(size, "band")
+    asks = F.lit(True) if roots is None else F.col("root") != F.col("_largest")
+    within = F.pmod(F.xxhash64("node"), F.when(F.col("asks") | (F.col("_blocks") == F.col("_asking")), F.col("_asking")).otherwise(F.col("_blocks") - F.col("_asking")))
+    first = F.when(F.col("asks") | (F.col("_blocks") == F.col("_asking")), 0).otherwise(F.col("_asking"))
+    rows = rows.withColumn("asks", asks).withColumn("_block", (first + within).cast("int"))
+    tile = lambda one, other: one.cast("long") * (1 << 32) + other
+    if roots is None:
+        rows = rows.withColumn("_tile", tile(F.col("_block"), F.col("_block")))
+    else:
+        others = F.sequence(F.lit(0), F.when(F.col("_block") < F.col("_asking"), F.col("_blocks")).otherwise(F.col("_asking")) - 1)
+        rows = rows.withColumn("_tile", F.explode(F.transform(others, lambda b: tile(F.least("_block", b), F.greatest("_block", b)))))
+    return rows.select("band", "_tile", "node", "root", "asks")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(band, tile, members) from rows sorted by band and tile; members in the order of their nodes, the first of ``columns``."""
+    place, members = None, []
+    for batch in batches:
+        for band, tile, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "_tile", *columns)), strict=True):
+            if (band, tile) != place:
+                if members:
+                    yield *place, sorted(members, key=lambda m: m[0])
+                place, members = (band, tile), []
+            members.append(tuple(member))
+    if members:
+        yield *place, sorted(members, key=lambda m: m[0])
+
+
+def _alike(sketches: list[bytes], roots: list[bytes], asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that ask, the registers in which each agrees with each row (-1 within a component), and the roots as numbers."""
+    number = {root: at for at, root in enumerate(dict.fromkeys(roots))}
+    part = np.array([number[root] for root in roots])
+    sketch = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, REGISTERS)
+    asking = np.flatnonzero(asks)
+    alike = np.empty((len(asking), len(sketch)), dtype=np.int16)
+    for at in range(0, len(asking), 32):
+        rows = asking[at : at + 32]
+        alike[at : at + 32] = (sketch[rows, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16)
+    alike[part[asking][:, None] == part[None, :]] = -1
+    return asking, alike, part
+
+
+_ASK = schema(("a", "binary"), ("b", "binary"))
+
+
+def _ask(members: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """(a, b), a < b, for each asking member and the one in another component that it is most alike, the centre if that will do.
+
+    A member is (node, root, asks, sketch), in the order of nodes.
+    """
+    names, roots, asks, sketches = zip(*members, strict=True)
+    if len(set(roots)) < 2 or not any(asks):
+        return []
+    asking, alike, _ = _alike(sketches, roots, np.array(asks))
+    sketch = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, REGISTERS)
+    usual = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8) if len(names) > 2 else sketch[0]
+    centre = int((sketch == usual).sum(axis=1).argmax())
+    best = alike.argmax(axis=1)
+    best[alike[:, centre] >= SURE * REGISTERS] = centre
+    good = alike[np.arange(len(asking)), best] >= PLAUSIBLE * REGISTERS
+    ends = {(min(a, b), max(a, b)) for a, b in zip(asking[good].tolist(), best[good].tolist(), strict=True)}
+    return [(names[a], names[b]) for a, b in sorted(ends)]
 
 
-def _asking(partners: int):
-    """Function of sorted member rows that asks block by block."""
+def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs to verify: one partner at most for each node and tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
-        for batch in batches:
-            found = []
-            for band, tile, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "_tile", "node", "root", "sketch", "_id", "asked")), strict=True):
-                if (band, tile) != block:
-                    found += _ask(members, partners)
-                    block, members = (band, tile), []
-                members.append(member)
-            yield _pairs(found)
-        yield _pairs(_ask(members, partners))
+        found = []
+        for _, _, members in _tiles(batches, ("node", "root", "asks", "sketch")):
+            found += _ask(members)
+            if len(found) > PAIRS_TOGETHER:
+                yield _columns(found, _ASK)
+                found = []
+        yield _columns(found, _ASK)
 
-    return run
+    rows = _members(buckets, roots).join(texts.select("node", "sketch"), "node")
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, _ASK).distinct()
 
 
-def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    columns = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=_ASK.names)
+def _columns(rows: list[tuple], out: T.StructType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(out)
+    return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, out, strict=True)], names=out.names)
 
 
-def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None, asked: DataFrame | None, partners: int) -> DataFrame:
-    """New pairs to verify, from the buckets that reach over several components.
+def _plausible(members: list[tuple], band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For the asking members of a tile the members in other components that are alike by the registers, the most alike first.
 
-    The first round looks within blocks of large buckets; later rounds bring every two blocks together.
+    A member is (node, root, asks, sketch, bands, ...), bands being its buckets. A pair that meets in several buckets belongs to
+    the least of them; of two that ask the smaller one has the pair.
     """
-    rows = buckets
-    if roots is None:
-        rows = rows.withColumn("root", F.col("node"))
-    else:
-        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    size = rows.groupBy("band").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    size = size.filter("_low != _high").select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = rows.join(size, "band").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    if roots is None:
-        rows = rows.withColumn("_tile", F.col("_block").cast("long") * (1 << 32) + F.col("_block"))
-    else:
-        others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.least("_block", b).cast("long") * (1 << 32) + F.greatest("_block", b))
-        rows = rows.withColumn("_tile", F.explode(others))
-    rows = rows.join(texts.select("node", "sketch"), "node")
-    if asked is None:
-        rows = rows.withColumn("asked", F.array().cast("array<bigint>"))
-    else:
-        rows = rows.join(asked.groupBy(F.col("asker").alias("node")).agg(F.collect_set(F.xxhash64("partner")).alias("asked")), "node", "left")
-    rows = rows.select("band", "_tile", "node", "root", "sketch", F.xxhash64("node").alias("_id"), "asked")
-    sorted_rows = rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile")
-    return sorted_rows.mapInArrow(_asking(partners), _ASK).distinct()
+    roots, asks = [m[1] for m in members], np.array([m[2] for m in members])
+    if len(set(roots)) < 2 or not asks.any():
+        return
+    asking, alike, _ = _alike([m[3] for m in members], roots, asks)
+    alike[asks[None, :] & (np.arange(len(members))[None, :] < asking[:, None])] = -1
+    lists = [np.frombuffer(m[4], dtype=np.int64) for m in members]
+    size = np.array([len(x) for x in lists])
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(members)), size)
+    flat, owner = flat[flat < band], owner[flat < band]
+    for row, at in enumerate(asking.tolist()):
+        others = np.flatnonzero(alike[row] >= PLAUSIBLE * REGISTERS)
+        if len(others):
+            before = np.zeros(len(members), dtype=bool)
+            before[owner[np.isin(flat, lists[at])]] = True
+            others = others[~before[others]]
+        if len(others):
+            yield at, others[np.argsort(-alike[row, others], kind="stable")]
+
+
+def _undecided(buckets: DataFrame, info: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, _tile, node, root, asks) of the members that some other member of the tile has to be compared with."""
+    out = schema(("band", "long"), ("_tile", "long"), ("node", "binary"), ("root", "binary"), ("asks", "boolean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, tile, members in _tiles(batches, ("node", "root", "asks", "sketch", "bands")):
+            wanted: set[int] = set()
+            for at, others in _plausible(members, band):
+                wanted.add(at)
+                wanted.update(others.tolist())
+            if wanted:
+                yield _columns([(band, tile, *members[at][:3]) for at in sorted(wanted)], out)
+
+    rows = _members(buckets, roots).join(info, "node")
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, out)
+
+
+class _Sets:
+    """The shingle sets of a tile, with an upper bound of the similarities of one to many."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets = sets
+        self.size = np.array([len(x[0]) for x in sets])
+        self.ends = np.concatenate([[0], np.cumsum(self.size)])
+        names, self.ids = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True)
+        self.weights = np.concatenate([x[1] for x in sets]).astype(np.float64)
+        self.total = np.add.reduceat(self.weights, self.ends[:-1])
+        self.own = np.zeros(len(names))
+
+    def bounds(self, one: int, others: np.ndarray) -> np.ndarray:
+        """At least the similarity, and equal to it where the weights of common shingles are in one proportion."""
+        span = slice(self.ends[one], self.ends[one + 1])
+        self.own[self.ids[span]] = self.weights[span]
+        size = self.size[others]
+        starts = np.cumsum(size) - size
+        flat = np.arange(size.sum()) + np.repeat(self.ends[others] - starts, size)
+        x, y = self.own[self.ids[flat]], self.weights[flat]
+        self.own[self.ids[span]] = 0
+        common = x > 0
+        mine, theirs = np.add.reduceat(x, starts), np.add.reduceat(y * common, starts)
+        spread = lambda values: np.repeat(values, size)[common]
+        x, y = x[common], y[common]
+        below = spread(self.total[one] - mine) / x + spread(self.total[others] - theirs) / y + np.maximum(spread(mine) / x, spread(theirs) / y)
+        terms = np.zeros(len(common))
+        terms[common] = 1 / below
+        return np.add.reduceat(terms, starts)
+
+
+def _joined(members: list[tuple], band: int, threshold: float) -> Iterator[tuple[bytes, bytes, float]]:
+    """Links that join components of a tile, after which no pair of members in different ones is alike.
+
+    A member is (node, root, asks, sketch, bands, elements, weights).
+    """
+    sets = _Sets([tuple(np.frombuffer(x, dtype=np.uint32) for x in m[5:7]) for m in members])
+    parent: dict[bytes, bytes] = {}
+
+    def root(of: bytes) -> bytes:
+        while (up := parent.get(of, of)) != of:
+            of = up
+        return of
+
+    for at, others in _plausible(members, band):
+        for first in range(0, len(others), 64):
+            some = np.array([o for o in others[first : first + 64].tolist() if root(members[o][1]) != root(members[at][1])], dtype=np.int64)
+            if not len(some):
+                continue
+            for other in some[sets.bounds(at, some) >= threshold - 1e-9].tolist():
+                if (mine := root(members[at][1])) != (theirs := root(members[other][1])):
+                    found = similarity(sets.sets[at], sets.sets[other])
+                    if found >= threshold:
+                        parent[mine] = theirs
+                        a, b = sorted((members[at][0], members[other][0]))
+                        yield a, b, found
+
+
+_LINK = schema(("a", "binary"), ("b", "binary"), ("similarity", "double"))
+
+
+def _decided(undecided: DataFrame, info: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Links between the members of the tiles, whole sets compared where they lie together; no pairs leave a tile but links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, _, members in _tiles(batches, ("node", "root", "asks", "sketch", "bands", "elements", "weights")):
+            yield _columns(list(_joined(members, band, threshold)), _LINK)
+
+    rows = undecided.join(info.join(shingles, "node"), "node")
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, _LINK)
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,8 +369,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
             found = [similarity(x, y) for x, y in zip(read(part.column("_a")), read(part.column("_b")), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    out = schema(("a", "binary"), ("b", "binary"), ("similarity", "double"))
-    return map_batches(rows.select("a", "b", "_a", "_b"), measure, out).filter(F.col("similarity") >= threshold)
+    return map_batches(rows.select("a", "b", "_a", "_b"), measure, _LINK).filter(F.col("similarity") >= threshold)
 
 
 def links(
@@ -256,34 +381,39 @@ def links(
     texts = described.filter("node is not null").groupBy("node").agg(F.min(F.struct("_doc", "sketch", "bands")).alias("x"))
     texts = stored(texts.select("node", "x.*"))
     buckets = stored(_buckets(texts))
-    shingles, found, asked, roots, partners = None, None, None, None, 1
-    nothing = docs.sparkSession.createDataFrame([], schema(("node", "binary"), ("root", "binary")))
-    while True:
-        new = stored(_askings(buckets, texts, roots, asked, partners))
-        if new.isEmpty():
-            if roots is None:  # nothing within the blocks; the next round looks across them
-                roots = nothing
-                continue
-            break
-        if shingles is None:
-            suspects = buckets.select("node").distinct()
-            shingles = _shingles_of(docs, texts.select("node", "_doc").join(suspects, "node", "left_semi"), key, text)
-        pairs = new.select(F.least("asker", "partner").alias("a"), F.greatest("asker", "partner").alias("b")).distinct()
-        good = _verified(pairs, shingles, threshold)
+    spark = docs.sparkSession
+    suspects = texts.join(buckets.select("node").distinct(), "node", "left_semi")
+    shingles = _shingles_of(docs, suspects.select("node", "_doc"), key, text)
+    found, roots = None, None
+    for _ in range(2):  # within blocks, then across them
+        good = _verified(_askings(buckets, texts, roots), shingles, threshold)
         found = stored(good if found is None else found.unionByName(good).dropDuplicates(["a", "b"]))
-        # what was verified as alike is in one component from now on
-        ends = (F.least("asker", "partner").alias("a"), F.greatest("asker", "partner").alias("b"))
-        rejected = new.select("*", *ends).join(found, ["a", "b"], "left_anti").select("asker", "partner")
-        asked = stored(rejected if asked is None else asked.unionByName(rejected))
-        partners *= MORE
-        del pairs, good, rejected, new
-        release(docs.sparkSession)
-        roots = stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema(("a", "binary"), ("b", "binary"), ("similarity", "double")))
+        roots = _roots(found)
+        del good
+        release(spark)
+    lists = buckets.groupBy("node").agg(F.collect_set("band").alias("bands"))  # a row per band at most
+    info = stored(_packed(lists.join(texts.select("node", "sketch"), "node")))
+    undecided = stored(_undecided(buckets, info, roots))
+    if not undecided.isEmpty():
+        found = stored(found.unionByName(_decided(undecided, info, shingles, threshold)).dropDuplicates(["a", "b"]))
+        roots = _roots(found)
     return described, found, roots
 
 
+def _roots(found: DataFrame) -> DataFrame:
+    return stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """node, sketch and its buckets, 8 bytes each."""
+
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bands = [np.array(own, dtype=np.int64).tobytes() for own in batch.column("bands").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sketch"), pa.array(bands, pa.binary())], names=["node", "sketch", "bands"])
+
+    return map_batches(rows.select("node", "sketch", "bands"), pack, schema(("node", "binary"), ("sketch", "binary"), ("bands", "binary")))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, class_id (the least key of its class) and class_size (rows).
 

@@ -136,12 +136,12 @@ def rows_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
     return found.select(text, *[c for c in wanted.columns if c != "_doc"])
 
 
-def dealt_join(rows: DataFrame, unique: DataFrame, condition: Column, *spread: str) -> DataFrame:
-    """Inner join of ``rows`` with a table that has one row per key; a key that many rows share is dealt over ``SHARES`` tasks by
+def dealt_join(rows: DataFrame, unique: DataFrame, condition: Column, *spread: str, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with a table that has one row per key; a key that many rows share is dealt over ``SHARES`` tasks by
     the columns ``spread`` of the rows."""
     dealt = rows.withColumn("_at", F.pmod(F.xxhash64(*spread), F.lit(SHARES)).cast("int"))
     shares = unique.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return dealt.join(shares, condition & (F.col("_at") == F.col("_share"))).drop("_at", "_share")
+    return dealt.join(shares, condition & (F.col("_at") == F.col("_share")), how).drop("_at", "_share")
 
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:

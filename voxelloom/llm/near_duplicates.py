@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxelloom.llm.common import keyed, kind, map_batches, portions, release, rows_of, schema, stored
+from voxelloom.llm.common import dealt_join, keyed, kind, map_batches, portions, release, rows_of, schema, stored
 from voxelloom.llm.components import components
 from voxelloom.llm.shingles import SHINGLE, digest, hashed, mixed, runs, weighted
 
@@ -422,9 +422,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     """
     described, _, roots = links(docs, threshold, key, text)
     rows = described.select(F.col("_doc").alias(key), "node").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    named = rows.filter("_root is not null").groupBy("_root").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
-    alone = F.col("_root").isNull()
-    out = rows.select(key, "_root").join(named, "_root", "left")
+    named = rows.filter("_root is not null").groupBy(F.col("_root").alias("_class")).agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
+    # most classes are one row, which needs no looking up; a large class is dealt over several tasks
+    out = dealt_join(rows, named.filter("class_size > 1"), F.col("_root") == F.col("_class"), key, "node", how="left")
+    alone = F.col("_class").isNull()
     size = F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size"))
     return out.select(key, F.when(alone, F.col(key)).otherwise(F.col("class_id")).alias("class_id"), size.alias("class_size"))
 

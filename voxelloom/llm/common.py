@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from voxelloom.session import reliable_checkpoint, ship_package
 
 #: One Arrow batch holds at most this many bytes, whatever the length of its texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Keys, with a few bytes each, that are broadcast at once.
 FEW_KEYS = 1_000_000
 #: Tasks over which the rows of one key are dealt in a join with a large table of unique keys.

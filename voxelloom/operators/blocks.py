@@ -122,14 +122,16 @@ def fold_blocks(
     keys: list[str],
     schema: pa.Schema,
     fold: Callable[[tuple, Iterator[Part]], Iterable[Row]],
+    tasks: int | None = None,
 ) -> DataFrame:
     """Shuffle pieces by integer keys and turn the pieces of each key into rows.
 
     ``fold`` reads its group as a stream of parts, so a group may be larger than memory, and yields rows
     as (all columns but the payload, payload). The number of tasks is the session's number of shuffle
-    partitions and is not reduced for small data: the work is in Python, not in the bytes.
+    partitions unless the caller, who knows the bytes, gives another one; it is not reduced for small data: the work is
+    in Python, not in the bytes.
     """
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = pieces.repartition(tasks, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,7 @@ def _cell_for(dims: list[int]) -> tuple[int, ...]:
     return tuple(edges)
 
 
-def _masked_blur(values: np.ndarray, present: np.ndarray, sigmas: tuple, core: list[slice]) -> np.ndarray:
+def masked_blur(values: np.ndarray, present: np.ndarray, sigmas: tuple, core: list[slice]) -> np.ndarray:
     """Blur along x, y, z, cropping each axis to the core once it is done."""
     for axis, sigma in zip((2, 1, 0), sigmas):
         weights = kernel_weights(sigma)
@@ -159,7 +159,7 @@ def gauss3d_seamless(
             return
         c_low, c_high = np.maximum(start, low), np.minimum(start + edge, high)
         core = [slice(int(a), int(b)) for a, b in zip((c_low - low)[::-1], (c_high - low)[::-1])]
-        result = _masked_blur(canvas, present, sigmas, core)
+        result = masked_blur(canvas, present, sigmas, core)
         for box, name in core_tiles.items():
             origin, dims = np.array(box[:3]), np.array(box[3:])
             p_low, p_high = np.maximum(origin, c_low), np.minimum(origin + dims, c_high)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box
+from voxelloom.operators.blocks import PIECE
+from voxelloom.operators.seamless import join_pieces
 from voxelloom.schema import BOX, ROI
 from voxelloom.session import ship_package
 
@@ -35,6 +37,15 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("image_id", name_of_box().alias("name"), "zoom_out", *BOX, "pixels")
 
 
+def large_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower 24 slices of each image, which have no gaps, as tiles of 8x8x8."""
+    small = tiles(spark, sf_dir).where("z < 24")
+    pieces = small.withColumnsRenamed(dict(zip(BOX, PIECE))).select(
+        "image_id", "zoom_out", *[F.expr(f"p{a} - p{a} % {2 * SIDE}").alias(a) for a in "xyz"], *[F.lit(2 * SIDE).alias(c) for c in BOX[3:]], *PIECE, "pixels"
+    )
+    return join_pieces(pieces.withColumn("name", name_of_box()))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     key = "p_partkey"

@@ -125,7 +125,10 @@ def _gauss_tile(sigmas: tuple[float, float, float]) -> str:
     return _voxel_query(*passes, select=f"select {_TEXT_COLUMNS} from blurz")
 
 
-def _gauss_seamless() -> str:
+_LARGE = _TILES.replace("from embeddings", "from embeddings where vec_id % 512 < 384")
+
+
+def _gauss_seamless(tiles: str = _TILES) -> str:
     bounded = """
 limits as (
   select image_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1
@@ -134,7 +137,7 @@ limits as (
 bounded as (select v.*, x0, x1, y0, y1, z0, z1 from voxels v join limits using (image_id))"""
     bounds = {a: (f"g.{a}0", f"g.{a}1") for a in "xyz"}
     passes = _blur("bounded", "image_id", bounds, dict(zip("xyz", SIGMAS)), True)
-    return _voxel_query(bounded, *passes, select=f"select {_TEXT_COLUMNS} from blurz")
+    return _with(tiles, _VOXELS, bounded, *passes, select=f"select {_TEXT_COLUMNS} from blurz")
 
 
 def _gauss_strip() -> str:
@@ -622,6 +625,7 @@ from (select *, min(v) over (partition by image_id, name, z) as lo, max(v) over
         ),
         "gauss3d_tile": _gauss_tile(SIGMAS),
         "gauss3d_seamless": _gauss_seamless(),
+        "gauss3d_borders": _gauss_seamless(_LARGE),
         "gauss_strip2d": _gauss_strip(),
         "gauss3d_iso": _gauss_tile((1.0, 1.0, 1.0)),
         "fft_pad_size": _with(

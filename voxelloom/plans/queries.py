@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box, parse_names
 from voxelloom.operators import bandpass as bp
-from voxelloom.operators import counting, gauss, histogram, layout, ordering, registration, roi, seamless, threshold
+from voxelloom.operators import borders, counting, gauss, histogram, layout, ordering, registration, roi, seamless, threshold
 from voxelloom.operators.filters import apply_filter
-from voxelloom.plans.fixtures import SIDE, paths, request_lines, requests, table, tiles
+from voxelloom.plans.fixtures import SIDE, large_tiles, paths, request_lines, requests, table, tiles
 from voxelloom.schema import TILE_META
 from voxelloom.sources import tables
 
@@ -146,6 +146,7 @@ def queries() -> dict[str, Query]:
         "contrast_stretch": _to_voxels(histogram.contrast_stretch),
         "gauss3d_tile": _to_voxels(lambda df: gauss.gauss3d_tile(df, *SIGMAS)),
         "gauss3d_seamless": _to_voxels(lambda df: seamless.gauss3d_seamless(df, *SIGMAS, cell=CELL)),
+        "gauss3d_borders": lambda spark, sf: layout.voxel_explode(borders.gauss3d_borders(large_tiles(spark, sf), *SIGMAS)),
         "gauss_strip2d": _to_voxels(lambda df: gauss.gauss_strip2d(df, *SIGMAS[:2])),
         "gauss3d_iso": _to_voxels(lambda df: gauss.gauss3d_iso(df, 1.0)),
         "fft_pad_size": lambda spark, sf: bp.fft_pad_size(

@@ -106,7 +106,7 @@ def _blur(source: str, keys: str, bounds: dict[str, tuple[str, str]], sigmas: di
         total = "sum(w)" if missing else "65536"
         target = f"blur{axis}"
         parts.append(
-            f"{target} as (select g.* replace (cast(m.v as int) as v) from {source} g join ("
+            f"{target} as materialized (select g.* replace (cast(m.v as int) as v) from {source} g join ("
             f"select {', '.join('g.' + c for c in [*keys.split(', '), 'x', 'y', 'z'])}, "
             f"(sum(w * s.v) + {total} // 2) // {total} as v "
             f"from {source} g cross join w{axis} join {source} s on {same} "
@@ -134,7 +134,7 @@ limits as (
   select image_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, min(z) as z0, max(z) as z1
   from voxels group by image_id
 ),
-bounded as (select v.*, x0, x1, y0, y1, z0, z1 from voxels v join limits using (image_id))"""
+bounded as materialized (select v.*, x0, x1, y0, y1, z0, z1 from voxels v join limits using (image_id))"""
     bounds = {a: (f"g.{a}0", f"g.{a}1") for a in "xyz"}
     passes = _blur("bounded", "image_id", bounds, dict(zip("xyz", SIGMAS)), True)
     return _with(tiles, _VOXELS, bounded, *passes, select=f"select {_TEXT_COLUMNS} from blurz")
@@ -151,7 +151,7 @@ strip as (
 
 
 def _gauss_roi(voxels: bool = False) -> str:
-    solid = "solid as (select req_id, image_id, x as ox, y as oy, z as oz, width, height, depth, p, px as x, py as y, pz as z, v from assembled)"
+    solid = "solid as materialized (select req_id, image_id, x as ox, y as oy, z as oz, width, height, depth, p, px as x, py as y, pz as z, v from assembled)"
     bounds = {
         "x": ("g.ox", "g.ox + g.width - 1"),
         "y": ("g.oy", "g.oy + g.height - 1"),
@@ -160,7 +160,7 @@ def _gauss_roi(voxels: bool = False) -> str:
     passes = _blur("solid", "req_id", bounds, dict(zip("xyz", SIGMAS)), False)
     name = "ox || '-' || (ox + width) || '_' || oy || '-' || (oy + height) || '_' || oz || '-' || (oz + depth)"
     if voxels:
-        select = "select cast(req_id as int) as req_id, x, y, z, v from blurz where req_id % 5 = 0"
+        select = "select cast(req_id as int) as req_id, x, y, z, v from blurz"
         return _voxel_query(_ROI, _ASSEMBLED, solid, *passes, select=select)
     select = f"""
 select req_id, image_id, {name} as name, {_HEX.format(v='v', order='p')} as pixels

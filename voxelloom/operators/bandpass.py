@@ -145,8 +145,8 @@ def filter_slices(slices: np.ndarray, band: Band) -> np.ndarray:
     return (_multiply if max(slices.shape[1:]) <= MATRIX_SIZE else _transform)(slices, band)
 
 
-def to_grey(filtered: np.ndarray, band: Band) -> np.ndarray:
-    """Floats to 0..255: stretched to the slice's own range if asked for, else clamped."""
+def to_grey(filtered: np.ndarray, band: Band, top: int = 255) -> np.ndarray:
+    """Floats to 0..top: stretched to the slice's own range if asked for, else clamped."""
     if band.scale:
         flat = filtered.reshape(len(filtered), -1)
         size = flat.shape[1]
@@ -156,13 +156,13 @@ def to_grey(filtered: np.ndarray, band: Band) -> np.ndarray:
         span = high - low
         usable = span > FLAT
         grey = filtered - np.where(usable, low, 0.0)
-        grey /= np.where(usable, span, 255.0)
-        grey *= 255.0
+        grey /= np.where(usable, span, float(top))
+        grey *= float(top)
     else:
         grey = filtered.copy()
     grey += 0.5
-    np.clip(grey, 0, 255, out=grey)
-    return grey.astype(np.uint8)
+    np.clip(grey, 0, top, out=grey)
+    return grey.astype(np.uint8 if top == 255 else np.uint16)
 
 
 def bandpass_slices(slices: np.ndarray, band: Band) -> np.ndarray:

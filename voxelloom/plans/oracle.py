@@ -418,8 +418,8 @@ mirror as (
 )"""
 
 
-def _bandpass(stripes: str) -> str:
-    parts = f"""
+def _bandpass_parts(stripes: str, keys: str) -> str:
+    return f"""
 grid as (
   select a.k as fr, b.k as fc, {_factor(stripes, 'a.k', 'b.k')} as f from mirror a cross join mirror b
 ),
@@ -434,17 +434,67 @@ weights as (
   group by all
 ),
 filtered as (
-  select image_id, name, tx, ty, z, ox, oy, sum(w * v) as f
+  select {keys}, ox, oy, sum(w * v) as f
   from voxels join weights on iy = y - ty and ix = x - tx group by all
 ),
 ranged as (
   select *, min(f) over (partition by image_id, name, z) as lo, max(f) over (partition by image_id, name, z) as hi from filtered
 )"""
-    select = """
+
+
+def _bandpass_select(top: int) -> str:
+    return f"""
 select image_id, cast(tx + ox as int) as x, cast(ty + oy as int) as y, z,
-       cast(floor(greatest(0, least(255, case when hi - lo > 1e-6 then (f - lo) / (hi - lo) * 255 else f end)) + 0.5) as int) as v
+       cast(floor(greatest(0, least({top}, case when hi - lo > 1e-6 then (f - lo) / (hi - lo) * {top} else f end)) + 0.5) as int) as v
 from ranged"""
-    return _voxel_query(_MIRROR, parts, select=select)
+
+
+def _bandpass(stripes: str) -> str:
+    return _voxel_query(_MIRROR, _bandpass_parts(stripes, "image_id, name, tx, ty, z"), select=_bandpass_select(255))
+
+
+# The tiles in 16 bits; a fifth of them also with zoom 2.
+_DEEP = _VOXELS.replace("* 127.5", "* 32767.5").replace("least(255", "least(65535").replace("select image_id, name,", "select image_id, vec_id, name,")
+_DEEP_TILES = _TILES.replace("select cast(1 + vec_id // 512 as int) as image_id", "select vec_id, cast(1 + vec_id // 512 as int) as image_id")
+
+
+def _deep_query(*parts: str, source: str, voxels: str = _DEEP) -> str:
+    zooms = f"zoomed as (select r.*, zoom_out from ({source}) r, (values (1), (2)) as o(zoom_out) where zoom_out = 1 or vec_id % 5 = 0)"
+    return _with(_DEEP_TILES, voxels, *parts, zooms, select="select image_id, zoom_out, x, y, z, cast(v as double) as v from zoomed")
+
+
+def _deep_queries() -> dict[str, str]:
+    ends = "min(v) over (partition by image_id, name, z) as lo, max(v) over (partition by image_id, name, z) as hi"
+    numbered = "row_number() over (partition by image_id, name, z order by v) as nth"
+    # 25 % of 16 pixels: two are left out at each end
+    cut = f"max(v) filter (nth = {1 + int(16 * SATURATED / 200)}) over w as lo, max(v) filter (nth = {16 - int(16 * SATURATED / 200)}) over w as hi"
+
+    def spread(top: int, bounds: str) -> str:
+        grey = "greatest(0, least(hi - lo, v - lo))"
+        value = f"case when hi > lo then (2 * {top} * {grey} + (hi - lo)) // (2 * (hi - lo)) else least(v, {top}) end"
+        return f"select image_id, vec_id, x, y, z, cast({value} as bigint) as v from (select *, {bounds} from deep window w as (partition by image_id, name, z))"
+
+    deep = f"deep as (select *, {numbered} from voxels)"
+    bins = f"bins16 as (select *, (v - lo) * 256 // greatest(256, hi - lo + 1) as bin from (select *, {ends} from voxels))"
+    hist = _HIST.replace("z, v, count(*) as n from voxels", "z, bin as v, count(*) as n from bins16")
+    set_above = """
+select v.image_id, v.vec_id, v.x, v.y, v.z, case when v.bin > l.t then 255 else 0 end as v
+from bins16 v join level_otsu l on l.image_id = v.image_id and l.name = v.name and l.z = v.z"""
+    passes = _blur("voxels", "image_id, name", _TILE_BOUNDS, dict(zip("xyz", SIGMAS)), False)
+    filtered = _bandpass_parts("none", "image_id, vec_id, name, tx, ty, z")
+    band = _bandpass_select(65535).replace("select image_id,", "select image_id, vec_id,")
+    histogram = "zooms as (select * from (values (1), (2)) as o(zoom_out))"
+    return {
+        "gauss3d_16bit": _deep_query(*passes, source="select * from blurz"),
+        "contrast_stretch_16bit": _deep_query(deep, source=spread(65535, cut)),
+        "convert_16_to_8bit": _deep_query(deep, source=spread(255, "min(v) over w as lo, max(v) over w as hi")),
+        "threshold_16bit": _deep_query(bins, hist, _BINS, _level_parts("otsu"), source=set_above),
+        "bandpass_16bit": _deep_query(_MIRROR, filtered, source=band),
+        "histogram_16bit": _with(
+            _DEEP_TILES, _DEEP, histogram,
+            select="select image_id, zoom_out, name, z, cast(v as double) as v, count(*) as n from voxels, zooms where zoom_out = 1 or vec_id % 5 = 0 group by image_id, zoom_out, name, z, v",
+        ),
+    }
 
 
 def _filter_grid() -> str:
@@ -649,6 +699,7 @@ from voxels join mirror a on a.i = y - ty join mirror b on b.i = x - tx""",
         "plugin_filter": _voxel_query(select="select image_id, x, y, z, cast(255 - v as int) as v from voxels"),
         "register_pairs": _register(),
     }
+    found |= _deep_queries()
     for key in _CATALOGUE:
         if key in _LEVELS:
             found[f"threshold_{key}"] = _threshold(key)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box, parse_names
 from voxelloom.operators import bandpass as bp
-from voxelloom.operators import borders, counting, gauss, histogram, layout, ordering, registration, roi, seamless, threshold
+from voxelloom.operators import borders, counting, gauss, histogram, layout, ordering, registration, roi, seamless, threshold, typed
 from voxelloom.operators.filters import apply_filter
-from voxelloom.plans.fixtures import SIDE, large_tiles, paths, request_lines, requests, table, tiles
+from voxelloom.plans.fixtures import SIDE, deep_tiles, large_tiles, paths, request_lines, requests, table, tiles
 from voxelloom.schema import TILE_META
 from voxelloom.sources import tables
 
@@ -61,6 +61,10 @@ def _to_voxels(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: layout.voxel_explode(operator(tiles(spark, sf)))
 
 
+def _deep(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: typed.voxels_typed(operator(deep_tiles(spark, sf)))
+
+
 def _requested(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: operator(tiles(spark, sf), requests(spark, sf))
 
@@ -159,6 +163,14 @@ def queries() -> dict[str, Query]:
         "plugin_filter": _to_voxels(lambda df: apply_filter(df, "invert")),
         "register_pairs": _over_tiles(registration.register_pairs),
     }
+    found |= {
+        "gauss3d_16bit": _deep(lambda df: typed.gauss3d_typed(df, *SIGMAS)),
+        "contrast_stretch_16bit": _deep(lambda df: typed.stretch_typed(df, SATURATED)),
+        "convert_16_to_8bit": _deep(lambda df: typed.convert_type(df, "uint8")),
+        "threshold_16bit": _deep(lambda df: typed.threshold_typed(df, "Otsu")),
+        "bandpass_16bit": _deep(lambda df: typed.bandpass_typed(df, bp.Band())),
+        "histogram_16bit": lambda spark, sf: typed.histogram_typed(deep_tiles(spark, sf)),
+    }
     for band in STRIPED:
         suffix = "" if band.stripes == "none" else f"_{band.stripes}"
         found[f"bandpass{suffix}"] = _to_voxels(lambda df, b=band: bp.bandpass(df, b))

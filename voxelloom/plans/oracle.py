@@ -651,6 +651,12 @@ from assembled group by req_id, image_id, x, y, z, width, height, depth""",
             select="""
 select cast(image_id + d as int) as image_id, name, 1 as zoom_out, x, y, z, 4 as x_dim, 4 as y_dim, 4 as z_dim
 from tiles cross join (values (0), (1000)) o(d)""",
+        ),
+        "pix_log": _with(
+            _TILES,
+            select="""
+select image_id, name || case when image_id % 2 = 1 and x < 16 then '' else '!' end as name, 1 as zoom_out, x, y, z, 4 as x_dim, 4 as y_dim, 4 as z_dim
+from tiles""",
         ),
         "image_register": _with(
             _TILES, select="select distinct image_id as id, 'image-' || image_id as name from tiles"

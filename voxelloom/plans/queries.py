@@ -14,7 +14,9 @@ from voxelloom.operators import borders, counting, gauss, histogram, layout, ord
 from voxelloom.operators.filters import apply_filter
 from voxelloom.plans.fixtures import SIDE, deep_tiles, large_tiles, paths, request_lines, requests, table, tiles
 from voxelloom.schema import TILE_META
+from voxelloom.session import shared_folder
 from voxelloom.sources import tables
+from voxelloom.sources.pixlog import PixLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +85,17 @@ def _append(df: DataFrame) -> DataFrame:
     return tables.union_pix(tables.as_pix(df), tables.as_pix(filtered))
 
 
+def _logged(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of a log: odd images, one of them repeated and doubled, then all, and what the log holds in the end."""
+    volume = tiles(spark, sf)
+    log = PixLog(spark, shared_folder(spark, "pix"))
+    odd = volume.where("image_id % 2 = 1 and x < 16")
+    log.append("odd", odd.unionByName(odd.where("y < 8")))
+    log.append("odd", volume)
+    log.append("all", volume.withColumn("name", F.concat("name", F.lit("!"))))
+    return log.read().select(*TILE_META)
+
+
 def _assembled(volume: DataFrame, asked: DataFrame) -> DataFrame:
     return _hex(roi.roi_assemble(volume, asked)).select("req_id", *TILE_META, "pixels")
 
@@ -144,6 +157,7 @@ def queries() -> dict[str, Query]:
         "tiles_zyx_rank": _over_tiles(lambda df: ordering.zyx_rank(df).select("image_id", "name", "rank")),
         "tiles_name_rank": _over_tiles(ordering.name_rank),
         "pix_append": _over_tiles(_append),
+        "pix_log": _logged,
         "image_register": _over_tiles(tables.images_of),
         "slice_histogram": _over_tiles(histogram.slice_histogram),
         "contrast_range": _over_tiles(_range),

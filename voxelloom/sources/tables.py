@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import base_name
 from voxelloom.schema import IMAGES, TILE_KEY, TILE_META, TILES, VOLUME
+from voxelloom.sources.pixlog import PixLog
 
 _COLUMNS = TILES.fieldNames()
 
@@ -22,19 +23,25 @@ def as_pix(tiles: DataFrame, image_id: int | None = None, zoom_out: int | None =
 
 
 def read_pix(spark: SparkSession, path: str) -> DataFrame:
-    """Tiles of a table written by :func:`append_pix`; filters on image and zoom prune whole folders."""
+    """Tiles of a table written by :func:`append_pix` or kept as a :class:`PixLog`; filters on image and zoom prune whole folders."""
+    log = PixLog(spark, path)
+    if log.exists():
+        return log.read()
     return spark.read.schema(TILES).parquet(path).select(*_COLUMNS)
 
 
 def append_pix(tiles: DataFrame, path: str) -> None:
     """Append without looking for duplicates."""
+    if PixLog(tiles.sparkSession, path).exists():
+        raise ValueError(f"{path} is a log of batches; append to it by PixLog")
     tiles.select(*_COLUMNS).write.partitionBy(*VOLUME).mode("append").parquet(path)
 
 
 def append_pix_once(tiles: DataFrame, path: str) -> None:
     """Append only the tiles whose box is not stored yet for their image and zoom, one row per box.
 
-    A job that is run again after a failure therefore adds nothing twice.
+    A job that is run again after a failure therefore adds nothing twice. Payloads are shuffled, and the boxes of the
+    whole table are read; a :class:`PixLog` needs neither.
     """
     spark = tiles.sparkSession
     pixels = F.min(F.struct("name", "pixels")).alias("t")

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voxelloom.operators.filters import apply_filter
 from voxelloom.schema import TILES
-from voxelloom.sources import images, tables
+from voxelloom.sources import images
+from voxelloom.sources.pixlog import PixLog
 
 
 def arriving_tiles(
@@ -34,13 +35,13 @@ def filter_arrivals(
     filter_name: str,
     params: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Filter a stream of tiles and append the results to the tile table until no file is left.
+    """Filter a stream of tiles and append the results to the tile table, a log of batches, until no file is left.
 
-    A batch that is repeated after a failure adds nothing twice.
+    A batch that is repeated after a failure adds nothing twice; only tiles that are not stored yet are filtered.
     """
 
-    def store(batch: DataFrame, _: int) -> None:
-        tables.append_pix_once(apply_filter(batch, filter_name, params), target)
+    def store(batch: DataFrame, number: int) -> None:
+        PixLog(batch.sparkSession, target).append(f"{checkpoint}#{number}", batch, lambda fresh: apply_filter(fresh, filter_name, params))
 
     writer = arriving.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box
 from voxelloom.operators.blocks import PIECE
+from voxelloom.operators.roi import roi_assemble
 from voxelloom.operators.seamless import join_pieces
 from voxelloom.schema import BOX, ROI
 from voxelloom.session import ship_package
@@ -65,6 +66,20 @@ def large_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_pieces(pieces.withColumn("name", name_of_box()))
 
 
+def loose_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16x16x16 that overlap by half, 27 of each image, cut up to one voxel beside the place that their boxes say."""
+    volume = tiles(spark, sf_dir)
+    spots = volume.select("image_id").distinct().selectExpr("image_id", "explode(sequence(0, 26)) as n")
+    spots = spots.selectExpr(
+        "cast(image_id * 27 + n as long) as req_id", "image_id", "1 as zoom_out", *[f"cast(n div {d} % 3 * 8 as int) as n{a}" for a, d in zip("xyz", (1, 3, 9))], "n"
+    )
+    beside = [F.expr(f"greatest(0, least(16, n{a} + (n * {f} + image_id) % 3 - 1))").cast("int").alias(a) for a, f in zip("xyz", (4, 5, 7))]
+    spots = spots.select("req_id", "image_id", "zoom_out", *beside, *[F.lit(16).alias(e) for e in ("width", "height", "depth")], "nx", "ny", "nz")
+    cut = roi_assemble(volume, spots.select(*ROI.fieldNames())).select("req_id", *BOX[3:], "pixels")
+    moved = cut.join(spots.select("req_id", "image_id", "zoom_out", *[F.col(f"n{a}").alias(a) for a in "xyz"]), "req_id")
+    return moved.select("image_id", name_of_box().alias("name"), "zoom_out", *BOX, "pixels")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     key = "p_partkey"

@@ -581,6 +581,18 @@ from surface qualify row_number() over (partition by image_id, axis, x, y, z ord
     return _voxel_query(planes, select=select)
 
 
+def _register_stacks() -> str:
+    """The places beside which the tiles were cut, as seen from the tile with the least name."""
+    moves = ", ".join(f"greatest(0, least(16, p{a} + (n * {f} + image_id) % 3 - 1)) - p{a} as m{a}" for a, f in zip("xyz", (4, 5, 7)))
+    places = ", ".join(f"n // {d} % 3 * 8 as p{a}" for a, d in zip("xyz", (1, 3, 9)))
+    name = " || '_' || ".join(f"p{a} || '-' || (p{a} + 16)" for a in "xyz")
+    offsets = ", ".join(f"cast(m{a} - first(m{a}) over (partition by image_id order by name) as double) as d{a}" for a in "xyz")
+    select = f"""
+select image_id, 1 as zoom_out, name, {offsets}
+from (select *, {name} as name, {moves} from (select image_id, n, {places} from (select distinct image_id from tiles), (select unnest(range(27)) as n)))"""
+    return _with(_TILES, select=select)
+
+
 def oracle_sql() -> dict[str, str]:
     pair_columns = "req_id, image_id, name, x, y, z"
     found = {
@@ -704,6 +716,7 @@ from voxels join mirror a on a.i = y - ty join mirror b on b.i = x - tx""",
         "levels_of_copies": _threshold_levels("1, 2"),
         "plugin_filter": _voxel_query(select="select image_id, x, y, z, cast(255 - v as int) as v from voxels"),
         "register_pairs": _register(),
+        "register_stacks": _register_stacks(),
     }
     found |= _deep_queries()
     for key in _CATALOGUE:

@@ -67,6 +67,13 @@ def _pairs(low: str, high: str) -> str:
     )
 
 
+# Tiles of 4x4x4 by the region of 8x8x8 that holds their origin, and the box they fill.
+_REGIONS = """
+select image_id, 1 as zoom_out, (x // 8) || '_' || (y // 8) || '_' || (z // 8) as region, count(*) as n,
+       cast(min(x) as bigint) as x, cast(min(y) as bigint) as y, cast(min(z) as bigint) as z,
+       cast(max(x) + 4 as bigint) as x_end, cast(max(y) + 4 as bigint) as y_end, cast(max(z) + 4 as bigint) as z_end
+from tiles group by image_id, x // 8, y // 8, z // 8"""
+
 _STRICT = _pairs(">", "<")
 _INCLUSIVE = _pairs(">=", "<=")
 
@@ -635,6 +642,8 @@ from roi join part on p_partkey = req_id""",
         "roi_join": _with(_TILES, _ROI, _STRICT, select=f"select {pair_columns} from pairs"),
         "roi_join_touching": _with(_TILES, _ROI, _INCLUSIVE, select=f"select {pair_columns} from pairs"),
         "roi_join_grid": _with(_TILES, _ROI, _STRICT, select=f"select {pair_columns} from pairs"),
+        "pix_by_place": _with(_TILES, _ROI, _STRICT, select=f"select {pair_columns} from pairs"),
+        "pix_regions": _with(_TILES, select=_REGIONS),
         "roi_first_tile": _with(
             _TILES, _ROI, _STRICT,
             select=f"select {pair_columns} from pairs qualify row_number() over (partition by req_id order by z, y, x) = 1",

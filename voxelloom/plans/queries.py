@@ -15,7 +15,7 @@ from voxelloom.operators.filters import apply_filter
 from voxelloom.plans.fixtures import SIDE, deep_tiles, large_tiles, loose_tiles, paths, request_lines, requests, table, tiles
 from voxelloom.schema import TILE_META
 from voxelloom.session import shared_folder
-from voxelloom.sources import tables
+from voxelloom.sources import spatial, tables
 from voxelloom.sources.pixlog import PixLog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,18 @@ def _logged(spark: SparkSession, sf: str) -> DataFrame:
     return log.read().select(*TILE_META)
 
 
+def _laid_out(spark: SparkSession, sf: str) -> str:
+    """All tiles as a table by place, with regions of 2x2x2 tiles."""
+    path = shared_folder(spark, "spatial")
+    spatial.write_spatial(tiles(spark, sf), path, edge=2 * SIDE)
+    return path
+
+
+def _read_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    asked = requests(spark, sf)
+    return _pairs(roi.roi_join(spatial.read_requested(spark, _laid_out(spark, sf), asked), asked))
+
+
 def _assembled(volume: DataFrame, asked: DataFrame) -> DataFrame:
     return _hex(roi.roi_assemble(volume, asked)).select("req_id", *TILE_META, "pixels")
 
@@ -158,6 +170,8 @@ def queries() -> dict[str, Query]:
         "tiles_name_rank": _over_tiles(ordering.name_rank),
         "pix_append": _over_tiles(_append),
         "pix_log": _logged,
+        "pix_regions": lambda spark, sf: spatial.regions(spark, _laid_out(spark, sf)),
+        "pix_by_place": _read_by_place,
         "image_register": _over_tiles(tables.images_of),
         "slice_histogram": _over_tiles(histogram.slice_histogram),
         "contrast_range": _over_tiles(_range),

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.functions.names import parse_names
 from voxelloom.schema import TILE_META
 from voxelloom.sources.images import usable
+from voxelloom.sources.seqfile import BYTES, FORMAT, TEXT, located, registered
 
-_TEXT = "org.apache.hadoop.io.Text"
-_BYTES = "org.apache.hadoop.io.BytesWritable"
-_OUTPUT = "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat"
 
-
-def read_sequence(spark: SparkSession, path: str) -> DataFrame:
+def read_sequence(spark: SparkSession, path: str, compressed: bool = False) -> DataFrame:
     """``path`` (the stored key) and ``content`` of every record.
 
-    Spark has no DataFrame reader for this format, so records pass through an RDD.
+    Compressed files, which the data source refuses, are read by Hadoop's reader with ``compressed``; their records pass
+    through an RDD.
     """
-    records = spark.sparkContext.sequenceFile(path, _TEXT, _BYTES)
-    return spark.createDataFrame(records.mapValues(bytes), "path string, content binary")
+    if compressed:
+        records = spark.sparkContext.sequenceFile(path, TEXT, BYTES)
+        return spark.createDataFrame(records.mapValues(bytes), "path string, content binary")
+    return registered(spark).read.format(FORMAT).load(path)
 
 
 def decode_records(records: DataFrame, image_id: int = -1) -> DataFrame:
@@ -46,5 +47,8 @@ def read_tiles(spark: SparkSession, path: str, image_id: int = -1, on_error: str
 
 def write_sequence(records: DataFrame, path: str, key: str = "name", value: str = "pixels") -> None:
     """Write key and payload of every row; an existing target is refused."""
-    pairs = records.select(key, value).rdd.map(lambda row: (row[0], bytearray(row[1])))
-    pairs.saveAsNewAPIHadoopFile(path, _OUTPUT, keyClass=_TEXT, valueClass=_BYTES)
+    system, place = located(path)
+    if system.get_file_info(place).type != FileType.NotFound:
+        raise FileExistsError(f"{path} already exists")
+    registered(records.sparkSession)
+    records.select(F.col(key).cast("string"), F.col(value)).write.format(FORMAT).mode("append").save(path)

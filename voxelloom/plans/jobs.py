@@ -1,4 +1,8 @@
-"""The batch jobs: scan, filter, store."""
+"""The batch jobs: scan, filter, store.
+
+Jobs over image or sequence files return how many of them were read and kept, and how many dropped by problem; with
+``quarantine`` they also list the dropped ones in a table, see :class:`voxelloom.sources.losses.Watched`.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from voxelloom.operators.filters import apply_filter
 from voxelloom.operators.roi import read_requests, roi_blur, roi_join
 from voxelloom.schema import TILE_META
 from voxelloom.sources import images, sequence, tables
+from voxelloom.sources.losses import Watched
 
 
 def balanced(tiles: DataFrame, partitions: int | None) -> DataFrame:
@@ -32,13 +37,16 @@ def filter_to_pix(
     once: bool = False,
     on_error: str = "skip",
     color: str = "reject",
-) -> None:
+    quarantine: str | None = None,
+) -> dict[str, int]:
     """Filter a folder of image tiles into the tile table and, if named, register the image."""
-    tiles = balanced(images.read_tiles(spark, source, image_id, on_error, color), partitions)
+    watched = Watched(images.decode_tiles(images.read_images(spark, source), image_id, color))
+    tiles = balanced(watched.tiles(on_error), partitions)
     result = tables.as_pix(apply_filter(tiles, filter_name, params), image_id)
     (tables.append_pix_once if once else tables.append_pix)(result, target)
     if image_name is not None and images_target is not None:
         tables.register_image(spark, images_target, image_id, image_name)
+    return watched.report(quarantine)
 
 
 def filter_to_sequence(
@@ -51,14 +59,17 @@ def filter_to_sequence(
     partitions: int | None = None,
     on_error: str = "skip",
     color: str = "reject",
-) -> None:
+    quarantine: str | None = None,
+) -> dict[str, int]:
     """Filter a folder of image tiles into sequence files of encoded images or of raw pixels."""
-    tiles = balanced(images.read_tiles(spark, source, -1, on_error, color), partitions)
+    watched = Watched(images.decode_tiles(images.read_images(spark, source), -1, color))
+    tiles = balanced(watched.tiles(on_error), partitions)
     result = apply_filter(tiles, filter_name, params)
     if encoded:
         sequence.write_sequence(images.encode_tiles(result), target, value="content")
     else:
         sequence.write_sequence(result, target)
+    return watched.report(quarantine)
 
 
 def filter_listed(
@@ -70,13 +81,13 @@ def filter_listed(
     folder: str | None = None,
     sink: str = "pix",
     **options,
-) -> None:
+) -> dict[str, int]:
     """Read the images that a path list names, and only these, filter them, and store them in ``sink``: ``pix`` or ``sequence``.
 
     With ``folder`` the list may hold the ends of paths below it. ``options`` are those of the job for a whole folder.
     """
     job = {"pix": filter_to_pix, "sequence": filter_to_sequence}[sink]
-    job(spark, images.listed_paths(spark, path_list, folder), target, filter_name, params, **options)
+    return job(spark, images.listed_paths(spark, path_list, folder), target, filter_name, params, **options)
 
 
 def filter_sequence(
@@ -87,20 +98,31 @@ def filter_sequence(
     params: Mapping[str, object] | None = None,
     ordered: bool = True,
     on_error: str = "skip",
-) -> None:
+    quarantine: str | None = None,
+) -> dict[str, int]:
     """Filter raw-pixel sequence files into new ones; ``ordered`` sorts the records by name, before the costly filter."""
-    tiles = sequence.read_tiles(spark, source, on_error=on_error)
+    decoded = sequence.decode_records(sequence.read_sequence(spark, source))
     if ordered:
-        tiles = tiles.repartitionByRange("name").sortWithinPartitions("name")
-    sequence.write_sequence(apply_filter(tiles, filter_name, params), target)
+        decoded = decoded.repartitionByRange("name").sortWithinPartitions("name")
+    watched = Watched(decoded)
+    sequence.write_sequence(apply_filter(watched.tiles(on_error), filter_name, params), target)
+    return watched.report(quarantine)
 
 
 def images_to_sequence(
-    spark: SparkSession, path_list: str, folder: str, target: str, on_error: str = "skip", color: str = "reject"
-) -> None:
+    spark: SparkSession,
+    path_list: str,
+    folder: str,
+    target: str,
+    on_error: str = "skip",
+    color: str = "reject",
+    quarantine: str | None = None,
+) -> dict[str, int]:
     """Decode the listed images below a folder, and only these, into raw-pixel sequence files."""
-    tiles = images.read_tiles(spark, images.listed_paths(spark, path_list, folder), -1, on_error, color)
-    sequence.write_sequence(tiles.select("name", "pixels"), target)
+    listed = images.listed_paths(spark, path_list, folder)
+    watched = Watched(images.decode_tiles(images.read_images(spark, listed), -1, color))
+    sequence.write_sequence(watched.tiles(on_error).select("name", "pixels"), target)
+    return watched.report(quarantine)
 
 
 def filter_requests(

@@ -57,6 +57,25 @@ def deep_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("image_id", name_of_box().alias("name"), "zoom_out", *BOX, "pixels", "pixel_type")
 
 
+def color_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tiles in colour: blue is their grey value, green and red follow from it; those of every seventh vector stay grey."""
+    grey = "cast(greatest(0, least(255, floor((cast(e as double) + 1) * 127.5))) as int)"
+    channels = [grey, f"({grey} * 7 + 13) % 256", f"({grey} * {grey}) div 255"]
+    colors = "concat(" + ", ".join(f"lpad(hex({c}), 2, '0')" for c in channels) + ")"
+    payload = lambda each: f"unhex(array_join(transform(embedding, e -> {each}), ''))"
+    made = table(spark, sf_dir, "embeddings").selectExpr(
+        "cast(1 + vec_id div 512 as int) as image_id",
+        "1 as zoom_out",
+        f"cast((vec_id % 8) * {SIDE} as int) as x",
+        f"cast(((vec_id div 8) % 8) * {SIDE} as int) as y",
+        f"cast(((vec_id div 64) % 8) * {SIDE} as int) as z",
+        *[f"{SIDE} as {c}" for c in BOX[3:]],
+        f"{payload(f"lpad(hex({grey}), 2, '0')")} as pixels",
+        f"if(vec_id % 7 = 0, null, {payload(colors)}) as color",
+    )
+    return made.select("image_id", name_of_box().alias("name"), "zoom_out", *BOX, "pixels", "color")
+
+
 def large_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower 24 slices of each image, which have no gaps, as tiles of 8x8x8."""
     small = tiles(spark, sf_dir).where("z < 24")

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.operators.color import filter_color
 from voxelloom.operators.counting import keyed_count
 from voxelloom.operators.filters import apply_filter
 from voxelloom.operators.roi import read_requests, roi_blur, roi_join
@@ -61,10 +62,11 @@ def filter_to_sequence(
     color: str = "reject",
     quarantine: str | None = None,
 ) -> dict[str, int]:
-    """Filter a folder of image tiles into sequence files of encoded images or of raw pixels."""
+    """Filter a folder of image tiles into sequence files of encoded images or of raw pixels; encoded images that are read with
+    ``color='keep'`` stay in colour."""
     watched = Watched(images.decode_tiles(images.read_images(spark, source), -1, color))
     tiles = balanced(watched.tiles(on_error), partitions)
-    result = apply_filter(tiles, filter_name, params)
+    result = (filter_color if color == "keep" else apply_filter)(tiles, filter_name, params)
     if encoded:
         sequence.write_sequence(images.encode_tiles(result), target, value="content")
     else:
@@ -72,6 +74,20 @@ def filter_to_sequence(
     return watched.report(quarantine)
 
 
+def filter_color_images(
+    spark: SparkSession,
+    source: str | list[str],
+    folder: str,
+    filter_name: str,
+    params: Mapping[str, object] | None = None,
+    partitions: int | None = None,
+    on_error: str = "skip",
+) -> None:
+    """Filter the brightness of image tiles and write them, in their colours, as PNG files; grey ones stay grey."""
+    tiles = balanced(images.read_tiles(spark, source, -1, on_error, "keep"), partitions)
+    images.export_tiles(filter_color(tiles, filter_name, params), folder)
+
+
 def filter_listed(
     spark: SparkSession,
     path_list: str,
@@ -140,7 +156,7 @@ def filter_requests(
     Boxes keep the image they come from and the name of their place unless others are given.
     """
     asked = read_requests(spark, requests, on_error)
-    result = roi_blur(tables.read_pix(spark, pix), asked, *sigmas).select(*TILE_META, "pixels")
+    result = roi_blur(tables.read_for(spark, pix, asked), asked, *sigmas).select(*TILE_META, "pixels")
     if image_id is not None:
         result = result.withColumn("image_id", F.lit(image_id))
     if name is not None:
@@ -151,7 +167,7 @@ def filter_requests(
 def match_requests(spark: SparkSession, requests: str, pix: str) -> tuple[DataFrame, DataFrame]:
     """Tiles that overlap or touch each request, and the number of requests served per image."""
     asked = read_requests(spark, requests)
-    return roi_join(tables.read_pix(spark, pix), asked, touching=True), keyed_count(asked, "image_id")
+    return roi_join(tables.read_for(spark, pix, asked, touching=True), asked, touching=True), keyed_count(asked, "image_id")
 
 
 def export_sequence(spark: SparkSession, source: str, folder: str, encoded: bool, ending: str = "png") -> None:

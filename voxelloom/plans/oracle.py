@@ -74,6 +74,25 @@ select image_id, 1 as zoom_out, (x // 8) || '_' || (y // 8) || '_' || (z // 8) a
        cast(max(x) + 4 as bigint) as x_end, cast(max(y) + 4 as bigint) as y_end, cast(max(z) + 4 as bigint) as z_end
 from tiles group by image_id, x // 8, y // 8, z // 8"""
 
+# Colours that follow from the grey value, except of every seventh tile; their brightness inverted.
+_COLORS = """
+colored as (
+  select image_id, x, y, z, v, v as blue, (v * 7 + 13) % 256 as green, (v * v) // 255 as red,
+         ((image_id - 1) * 512 + tx // 4 + ty // 4 * 8 + tz // 4 * 64) % 7 = 0 as grey
+  from voxels
+),
+bright as (select *, greatest(blue, green, red) as top from colored),
+inverted as (
+  select image_id, x, y, z, v, grey, top, unnest([('blue', blue), ('green', green), ('red', red)]) as part from bright
+)"""
+_INVERTED = """
+select image_id, x, y, z, part[1] as channel, cast(case
+         when grey then 255 - v
+         when top = 0 then 255
+         else floor(part[2] * (255 - top) / top + 0.5)
+       end as int) as v
+from inverted"""
+
 _STRICT = _pairs(">", "<")
 _INCLUSIVE = _pairs(">=", "<=")
 
@@ -724,6 +743,7 @@ from voxels join mirror a on a.i = y - ty join mirror b on b.i = x - tx""",
         "threshold_levels": _threshold_levels(),
         "levels_of_copies": _threshold_levels("1, 2"),
         "plugin_filter": _voxel_query(select="select image_id, x, y, z, cast(255 - v as int) as v from voxels"),
+        "color_invert": _voxel_query(_COLORS, select=_INVERTED),
         "register_pairs": _register(),
         "register_stacks": _register_stacks(),
     }

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import name_of_box, parse_names
 from voxelloom.operators import bandpass as bp
-from voxelloom.operators import borders, counting, gauss, histogram, layout, ordering, registration, roi, seamless, stacks, threshold, typed
+from voxelloom.operators import borders, color, counting, gauss, histogram, layout, ordering, registration, roi, seamless, stacks, threshold, typed
 from voxelloom.operators.filters import apply_filter
-from voxelloom.plans.fixtures import SIDE, deep_tiles, large_tiles, loose_tiles, paths, request_lines, requests, table, tiles
+from voxelloom.plans.fixtures import SIDE, color_tiles, deep_tiles, large_tiles, loose_tiles, paths, request_lines, requests, table, tiles
 from voxelloom.schema import TILE_META
 from voxelloom.session import shared_folder
 from voxelloom.sources import spatial, tables
@@ -189,6 +189,7 @@ def queries() -> dict[str, Query]:
         "threshold_levels": _over_tiles(_levels),
         "levels_of_copies": _over_tiles(_levels_of_copies),
         "plugin_filter": _to_voxels(lambda df: apply_filter(df, "invert")),
+        "color_invert": lambda spark, sf: color.channels(color.filter_color(color_tiles(spark, sf), "invert"), layout.voxel_explode),
         "register_stacks": lambda spark, sf: stacks.solve_offsets(stacks.register_stacks(loose_tiles(spark, sf))).drop("root"),
         "register_pairs": _over_tiles(registration.register_pairs),
     }

@@ -102,6 +102,20 @@ def brightness(weights: tuple[float, float, float] | None = None):
     return convert
 
 
+def three_channels():
+    """Function of (data, nChannels) giving the first three of three or more bytes per voxel; NULL where there are fewer."""
+
+    @F.pandas_udf("binary")
+    def convert(payloads: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for payload, count in zip(payloads, channels):
+            known = payload is not None and count is not None and count >= 3
+            out.append(np.frombuffer(payload, np.uint8).reshape(-1, int(count))[:, :3].tobytes() if known else None)
+        return pd.Series(out)
+
+    return convert
+
+
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Decoded images; an undecodable file is a row without channels."""
     read = lambda paths: spark.read.format("image").option("dropInvalid", "false").load(paths)
@@ -111,14 +125,15 @@ def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def decode_tiles(decoded: DataFrame, image_id: int = -1, color: str = "reject") -> DataFrame:
     """Tiles of :func:`read_images` rows, with ``problem``: NULL for a good tile, else why it cannot be used.
 
-    ``color`` says what happens to colour images: ``reject`` flags them, ``brightness`` converts them.
+    ``color`` says what happens to colour images: ``reject`` flags them, ``brightness`` converts them, ``keep`` converts
+    them and has their blue, green and red bytes as a further column ``color``, null for grey images.
     """
-    if color not in ("reject", "brightness"):
-        raise ValueError("color is 'reject' or 'brightness'")
+    if color not in ("reject", "brightness", "keep"):
+        raise ValueError("color is 'reject', 'brightness' or 'keep'")
     named = parse_names(decoded.select("image.*").withColumnRenamed("origin", "path"))
     grey = F.col("nChannels") == 1
     pixels = F.when(grey, F.col("data"))
-    if color == "brightness":
+    if color != "reject":
         pixels = pixels.when(F.col("nChannels") > 1, brightness()("data", "nChannels"))
     strip = (F.col("width") == F.col("x_dim")) & (
         F.col("height").cast("long") == F.col("y_dim").cast("long") * F.col("z_dim")
@@ -137,6 +152,7 @@ def decode_tiles(decoded: DataFrame, image_id: int = -1, color: str = "reject")
         F.when(problem.isNull(), pixels).alias("pixels"),
         problem.alias("problem"),
         "path",
+        *([F.when(problem.isNull() & ~grey, three_channels()("data", "nChannels")).alias("color")] if color == "keep" else []),
     )
 
 
@@ -158,7 +174,7 @@ def usable(decoded: DataFrame, on_error: str = "skip") -> DataFrame:
         )
     else:
         raise ValueError("on_error is 'skip' or 'fail'")
-    return decoded.select(*TILE_META, "pixels")
+    return decoded.select(*TILE_META, "pixels", *[c for c in decoded.columns if c == "color"])
 
 
 def ingest(
@@ -168,20 +184,30 @@ def ingest(
     read_tiles(spark, path, image_id, on_error, color).write.mode("errorifexists").parquet(target)
 
 
-def encode_png(strip: np.ndarray) -> bytes:
-    """A grey (rows, cols) image as lossless PNG."""
-    height, width = strip.shape
-
+def _png(header: bytes, rows: np.ndarray) -> bytes:
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 1:] = strip
-    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     body = zlib.compress(rows.tobytes(), 6)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
 
+def encode_png(strip: np.ndarray) -> bytes:
+    """A grey (rows, cols) image as lossless PNG."""
+    height, width = strip.shape
+    rows = np.zeros((height, width + 1), np.uint8)
+    rows[:, 1:] = strip
+    return _png(struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0), rows)
+
+
+def encode_color_png(strip: np.ndarray) -> bytes:
+    """A (rows, cols, 3) image of blue, green and red as lossless PNG."""
+    height, width, _ = strip.shape
+    rows = np.zeros((height, 1 + 3 * width), np.uint8)
+    rows[:, 1:] = strip[:, :, ::-1].reshape(height, -1)
+    return _png(struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0), rows)
+
+
 def encode_pgm(strip: np.ndarray) -> bytes:
     """A grey (rows, cols) image as binary PGM."""
     return b"P5\n%d %d\n255\n" % strip.shape[::-1] + strip.tobytes()
@@ -191,22 +217,27 @@ ENCODERS = {"png": encode_png, "pgm": encode_pgm}
 
 
 def encode_tiles(tiles: DataFrame, kind: str = "png") -> DataFrame:
-    """``name`` and the encoded slice strip of every tile, with its image and zoom."""
+    """``name`` and the encoded slice strip of every tile, with its image and zoom; as PNG in colour where a tile has ``color``."""
     encode = ENCODERS[kind]
+    colored = kind == "png" and "color" in tiles.columns
 
     def run(batches):
         for batch in batches:
             data, starts = payload_view(batch.column("pixels"))
             widths = ints(batch, ["x_dim"])[:, 0]
-            files = [
-                np.frombuffer(encode(data[starts[r] : starts[r + 1]].reshape(-1, widths[r])), np.uint8)
-                for r in range(batch.num_rows)
-            ]
+            colors = batch.column("color") if colored else None
+            files = []
+            for r in range(batch.num_rows):
+                if colors is not None and colors[r].is_valid:
+                    file = encode_color_png(np.frombuffer(colors[r].as_buffer(), np.uint8).reshape(-1, widths[r], 3))
+                else:
+                    file = encode(data[starts[r] : starts[r + 1]].reshape(-1, widths[r]))
+                files.append(np.frombuffer(file, np.uint8))
             head = [batch.column(c) for c in ("image_id", "zoom_out", "name")]
             yield pa.RecordBatch.from_arrays([*head, binary_column(files)], names=["image_id", "zoom_out", "name", "content"])
 
     schema = "image_id int, zoom_out int, name string, content binary"
-    return tiles.select("image_id", "zoom_out", "name", "x_dim", "pixels").mapInArrow(run, schema)
+    return tiles.select("image_id", "zoom_out", "name", "x_dim", "pixels", *(["color"] if colored else [])).mapInArrow(run, schema)
 
 
 def export_files(encoded: DataFrame, folder: str, ending: str, by_image: bool = False) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.names import base_name
 from voxelloom.schema import IMAGES, TILE_KEY, TILE_META, TILES, VOLUME
+from voxelloom.sources import spatial
 from voxelloom.sources.pixlog import PixLog
 
 _COLUMNS = TILES.fieldNames()
@@ -30,6 +31,13 @@ def read_pix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TILES).parquet(path).select(*_COLUMNS)
 
 
+def read_for(spark: SparkSession, path: str, requests: DataFrame, touching: bool = False) -> DataFrame:
+    """The tiles that some request overlaps, and others; of a table laid out by place only the regions that are needed."""
+    if _has_files(spark, f"{path}/{spatial.REGIONS}"):
+        return spatial.read_requested(spark, path, requests, touching)
+    return read_pix(spark, path)
+
+
 def append_pix(tiles: DataFrame, path: str) -> None:
     """Append without looking for duplicates."""
     if PixLog(tiles.sparkSession, path).exists():

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxelloom.llm.common import dealt_join, keyed, kind, map_batches, portions, release, rows_of, schema, stored
+from voxelloom.llm.common import dealt_join, keyed, kind, lean, map_batches, portions, release, rows_of, schema, stored
 from voxelloom.llm.components import components
 from voxelloom.llm.shingles import SHINGLE, digest, hashed, mixed, runs, weighted
 
@@ -221,7 +221,7 @@ def _askings(buckets: DataFrame, texts: DataFrame, roots: DataFrame | None) -> D
         yield _columns(found, _ASK)
 
     rows = _members(buckets, roots).join(texts.select("node", "sketch"), "node")
-    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, _ASK).distinct()
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(lean(run), _ASK).distinct()
 
 
 def _columns(rows: list[tuple], out: T.StructType) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def _undecided(buckets: DataFrame, info: DataFrame, roots: DataFrame) -> DataFra
                 yield _columns([(band, tile, *members[at][:3]) for at in sorted(wanted)], out)
 
     rows = _members(buckets, roots).join(info, "node")
-    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, out)
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(lean(run), out)
 
 
 class _Sets:
@@ -340,7 +340,7 @@ def _decided(undecided: DataFrame, info: DataFrame, shingles: DataFrame, thresho
             yield _columns(list(_joined(members, band, threshold)), _LINK)
 
     rows = undecided.join(info.join(shingles, "node"), "node")
-    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(run, _LINK)
+    return rows.repartition("band", "_tile").sortWithinPartitions("band", "_tile").mapInArrow(lean(run), _LINK)
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:

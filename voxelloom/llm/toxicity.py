@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from voxelloom.llm.common import map_batches, schema, words
+from voxelloom.llm.common import lean, map_batches, schema, words
 from voxelloom.llm.samples import labelled
 
 GRADES = 4
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Severity, key: str = "doc_id", text: str = "te
             new = {name: pa.array(values, of) for name, of, values in results}
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | new)
 
-    return docs.mapInArrow(rate, out)
+    return docs.mapInArrow(lean(rate), out)
 
 
 def severity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -98,6 +98,16 @@ def test_plan_has_no_pairwise_join_and_broadcast_keeps_tiles_in_place(spark, mon
             assert "Exchange hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("operator", [roi_join, roi_assemble, roi_blur])
+def test_rows_spread_over_cells_are_never_sent_out_whole(spark, operator):
+    df, asked = frame(spark, cut_volume(np.zeros((4, 4, 4)), (2, 2, 2))), requests(spark, [(1, 1, 1, 2, 2, 2)] * 5)
+    got = operator(df, asked, strategy="shuffle")
+    assert got.count() == (40 if operator is roi_join else 5)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_first_tile_takes_z_then_y_then_x(spark):
     rows = cut_volume(np.zeros((4, 4, 4)), (2, 2, 2))
     pairs = roi_join(frame(spark, rows), requests(spark, [(1, 1, 1, 2, 2, 2), (2, 0, 2, 2, 4, 2)]))

@@ -209,6 +209,22 @@ def test_large_stacks_are_worked_off_in_parts(spark, monkeypatch):
     assert (batches.per_slices(stack[None], lambda s: binarise(s, "otsu")) == whole).all()
 
 
+@pytest.mark.parametrize("method", sorted(METHODS))
+def test_many_small_slices_need_little_memory(method):
+    import tracemalloc
+
+    from voxelloom.operators.threshold import binarise
+
+    slices = RNG.integers(60, 200, (1 << 15, 4, 4), dtype=np.uint8)
+    few = binarise(slices[: 1029], method)
+    tracemalloc.start()
+    whole = binarise(slices, method)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (whole[: 1029] == few).all() and len(binarise(slices[:0], method)) == 0
+    assert peak < 128 << 20  # one table of all slices alone takes 64 MiB
+
+
 LARGE = [1 << 14, 1 << 18, 1 << 22]  # 64 pixels become up to 16384 x 16384
 
 

@@ -21,6 +21,8 @@ GREY = np.arange(LEVELS)
 RESOLUTION = 1e9
 # Products of three such factors, each at most a slice's pixels or 255 times them, leave 64 bits beyond this size.
 EXACT_PIXELS = 1 << 22
+# Slices whose histograms are worked on at once: a method holds dozens of tables of 256 numbers per slice, however small the slice.
+TOGETHER = 1 << 10
 
 
 class Cumulative:
@@ -314,10 +316,14 @@ def levels(counts: np.ndarray, method: str) -> np.ndarray:
 
 def binarise(slices: np.ndarray, method: str, dark: bool = True) -> np.ndarray:
     """Black and white (n, y, x) slices."""
-    level = levels(histograms(slices), method)[:, None]
-    above = GREY[None, :] > level
-    table = np.where(above if dark else ~above, 255, 0).astype(np.uint8)
-    return apply_levels(slices, table)
+    out = np.empty(slices.shape, np.uint8)
+    for first in range(0, len(slices), TOGETHER):
+        part = slices[first : first + TOGETHER]
+        level = levels(histograms(part), method)[:, None]
+        above = GREY[None, :] > level
+        table = np.where(above if dark else ~above, 255, 0).astype(np.uint8)
+        out[first : first + TOGETHER] = apply_levels(part, table)
+    return out
 
 
 def auto_threshold(tiles: DataFrame, method: str = "Default", dark: bool = True) -> DataFrame:

@@ -73,6 +73,11 @@ def test_no_shuffle_and_no_empty_trouble(spark, colors):
         color.write_back(wrong).collect()
 
 
+def test_a_filter_over_colours_needs_one_worker(spark, colors):
+    plan = color.filter_color(tiles_of(spark, colors), "gaussian")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_colour_images_through_files(spark, tmp_path, colors):
     """PNG in colour, PNG in grey, filtered twice by the inverse; hue may round, the brightness comes back."""
     source, once, twice = tmp_path / "a", tmp_path / "b", tmp_path / "c"

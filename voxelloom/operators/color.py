@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.batches import binary_column, payload_view
-from voxelloom.operators.filters import Filter, apply_filter
+from voxelloom.functions.batches import binary_column, map_payloads, payload_view
+from voxelloom.operators.filters import Filter, bound_filter
 
 CHANNELS = ("blue", "green", "red")
 
 
-def _mapped(tiles: DataFrame, column: str, kernel, *inputs: str) -> DataFrame:
-    """``column`` replaced by ``kernel`` of the payloads of ``inputs``, row by row; a null input leaves the row as it is."""
+def _replaced(column: str, kernel, *inputs: str):
+    """A ``mapInArrow`` function that replaces ``column`` by ``kernel`` of the payloads of ``inputs``, row by row; a null input leaves the row as it is."""
 
     def run(batches):
         for batch in batches:
@@ -41,7 +41,7 @@ def _mapped(tiles: DataFrame, column: str, kernel, *inputs: str) -> DataFrame:
                 made = pa.array([old[r] if part is None else part.tobytes() for r, part in enumerate(parts)], pa.binary())
             yield pa.RecordBatch.from_arrays([made if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
-    return tiles.mapInArrow(run, tiles.schema)
+    return run
 
 
 def brightness(color: np.ndarray) -> np.ndarray:
@@ -60,26 +60,32 @@ def rescaled(color: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(own > 0, scaled, new).astype(np.uint8).reshape(-1)
 
 
+_TO_BRIGHTNESS = _replaced("pixels", brightness, "color")
+_TO_COLOR = _replaced("color", rescaled, "color", "pixels")
+
+
 def with_brightness(tiles: DataFrame) -> DataFrame:
     """``pixels`` replaced by the brightness of ``color``; tiles without colour keep theirs."""
-    return _mapped(tiles, "pixels", brightness, "color")
+    return tiles.mapInArrow(_TO_BRIGHTNESS, tiles.schema)
 
 
 def write_back(tiles: DataFrame) -> DataFrame:
     """``color`` with the brightness that ``pixels`` holds; tiles without colour stay without."""
-    return _mapped(tiles, "color", rescaled, "color", "pixels")
+    return tiles.mapInArrow(_TO_COLOR, tiles.schema)
 
 
 def filter_color(tiles: DataFrame, spec: str | Filter, params: Mapping[str, object] | None = None) -> DataFrame:
     """Run a filter over the brightness of every tile and write it back into the colours. Grey tiles, whose ``color`` is
-    null, are filtered as they are."""
-    return write_back(apply_filter(with_brightness(tiles), spec, params))
+    null, are filtered as they are. The three steps run in one Python worker."""
+    filtered = map_payloads(bound_filter(spec, params))
+    return tiles.mapInArrow(lambda batches: _TO_COLOR(filtered(_TO_BRIGHTNESS(batches))), tiles.schema)
 
 
 def channel(tiles: DataFrame, name: str) -> DataFrame:
     """One channel as grey tiles; that of a grey tile is its ``pixels``."""
     at = CHANNELS.index(name)
-    return _mapped(tiles, "pixels", lambda color: np.ascontiguousarray(color[at :: len(CHANNELS)]), "color").drop("color")
+    run = _replaced("pixels", lambda color: np.ascontiguousarray(color[at :: len(CHANNELS)]), "color")
+    return tiles.mapInArrow(run, tiles.schema).drop("color")
 
 
 def channels(tiles: DataFrame, of_tiles) -> DataFrame:

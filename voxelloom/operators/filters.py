@@ -76,8 +76,8 @@ def filter_named(name: str) -> Filter:
         raise ValueError(f"no filter {name!r}; registered: {sorted(_REGISTRY)}") from None
 
 
-def apply_filter(tiles: DataFrame, spec: str | Filter, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Run a filter over every tile; a narrow step, whatever the filter."""
+def bound_filter(spec: str | Filter, params: Mapping[str, object] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """The filter with its parameters, as a kernel over (n, z, y, x) stacks."""
     chosen = filter_named(spec) if isinstance(spec, str) else spec
     values = chosen.bind(params or {})
     kernel = chosen.kernel
@@ -91,7 +91,12 @@ def apply_filter(tiles: DataFrame, spec: str | Filter, params: Mapping[str, obje
         def run(stack: np.ndarray) -> np.ndarray:
             return kernel(stack, **values)
 
-    return tiles.mapInArrow(map_payloads(run), tiles.schema)
+    return run
+
+
+def apply_filter(tiles: DataFrame, spec: str | Filter, params: Mapping[str, object] | None = None) -> DataFrame:
+    """Run a filter over every tile; a narrow step, whatever the filter."""
+    return tiles.mapInArrow(map_payloads(bound_filter(spec, params)), tiles.schema)
 
 
 def _gaussian(stack, sigma_x, sigma_y, sigma_z):

@@ -72,3 +72,28 @@ def test_odd_rows(spark, odd, empty, rated):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     assert not any(r["toxic"] for r in toxicity.severity(odd, none).collect())
     assert toxicity.severity(empty, labels).count() == 0
+
+
+def test_the_fit_needs_few_times_its_sample(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    pick = np.random.default_rng(5)
+    rows, own = 1000, 600
+    toxic = np.arange(rows) % 2
+    features = [np.sort(pick.choice(1 << 14, own, replace=False)).astype("<u4") for _ in range(rows)]
+    for row in features[1::2]:
+        row[:40] = np.arange(40)  # forty words that mark toxic documents
+    sample = pa.table({
+        "toxic": pa.array(toxic, pa.int32()), "n_words": pa.array([own] * rows, pa.int64()),
+        "features": pa.array([x.tobytes() for x in features], pa.binary()), "counts": pa.array([np.ones(own, "<u4").tobytes()] * rows, pa.binary()),
+    })
+    monkeypatch.setattr(toxicity, "_sample", lambda *_: sample)
+    tracemalloc.start()
+    model = toxicity.fit(None, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(range(40)) <= set(model.weights) and all(model.weights[k] > 0 for k in range(40))
+    assert peak < 5 * sample.nbytes, peak / sample.nbytes

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from voxelloom.llm.common import lean, map_batches, schema, words
+from voxelloom.functions.batches import payload_view
+from voxelloom.llm.common import hand_back, lean, map_batches, schema, words
 from voxelloom.llm.samples import labelled
 
 GRADES = 4
@@ -120,19 +121,32 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, key: str, text:
     return map_batches(labelled(docs, labels, "toxic", per_class, key, text), features, out).toArrow()
 
 
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, without copies of single rows, and how many each row has."""
+    data, starts = payload_view(column.combine_chunks())
+    return data[starts[0] : starts[-1]].view("<u4"), np.diff(starts) // 4
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Severity:
     """A model of labels.toxic. Without toxic or without clean labelled documents nothing counts as toxic."""
-    sample = _sample(docs, labels, per_class, key, text)
+    try:
+        return _fitted(_sample(docs, labels, per_class, key, text))
+    finally:
+        hand_back()
+
+
+def _fitted(sample: pa.Table) -> Severity:
     toxic = np.array(sample.column("toxic").to_pylist(), dtype=np.int64)
     never = Severity({}, tuple(20.0 + k for k in range(GRADES - 1)))
     if not toxic.size or toxic.min() == toxic.max():
         return never
     n_words = np.array(sample.column("n_words").to_pylist(), dtype=np.int64)
-    parts = [np.frombuffer(x, dtype="<u4") for x in sample.column("features").to_pylist()]
-    rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in sample.column("counts").to_pylist()])
-    names, columns = np.unique(np.concatenate(parts), return_inverse=True)
-    held = np.stack([np.bincount(columns[toxic[rows] == y], minlength=len(names)) for y in (0, 1)])
+    (found, sizes), (counts, _) = (_numbers(sample.column(c)) for c in ("features", "counts"))
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    names = np.unique(found)
+    columns = np.searchsorted(names, found).astype(np.int32)
+    of_toxic = (toxic == 1)[rows]
+    held = np.stack([np.bincount(columns[of_toxic == y], minlength=len(names)) for y in (False, True)])
     of = np.array([(toxic == 0).sum(), toxic.sum()])[:, None]
     share = held / of
     pooled = held.sum(axis=0) / of.sum()
@@ -140,13 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     kept = np.abs(z) >= SELECTED_Z
     marks = (z >= SELECTED_Z) & (held[0] * 20 < held[1])
     number = np.cumsum(kept) - 1
+    # only the entries of the kept features, few of all, are needed from here on
     entry = kept[columns]
+    rows, columns, counts = rows[entry].astype(np.int64), columns[entry], counts[entry]
+    del sample, found, of_toxic, entry
     dose = np.bincount(rows, counts * marks[columns], minlength=len(toxic)) / np.maximum(n_words, 1)
     edges = np.quantile(dose[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic == 1, 1 + np.searchsorted(edges, dose, side="right"), 0)
     grades = np.unique(grades, return_inverse=True)[1]  # equal doses can leave grades out
     levels = int(grades.max()) + 1
-    weights, cuts = fit_ordinal(rows[entry], number[columns[entry]], value(counts[entry], n_words[rows[entry]]), grades, int(kept.sum()), levels)
+    weights, cuts = fit_ordinal(rows, number[columns], value(counts, n_words[rows]), grades, int(kept.sum()), levels)
     return Severity(dict(zip(names[kept].tolist(), weights.tolist(), strict=True)), tuple(cuts.tolist()))
 
 

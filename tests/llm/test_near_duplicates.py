@@ -1,6 +1,7 @@
 """Near duplicates: estimate and similarity against definitions, classes against brute force, components, odd input."""
 
 import random
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -169,3 +170,16 @@ def test_crowds_that_are_nearly_alike_do_not_list_their_pairs(spark, monkeypatch
         assert {frozenset({r["doc_id"]}) for r in found if r["class_size"] == 1} | {frozenset({-1})} <= brute(rows) | {frozenset({-1})}
         counts[n] = sum(sizes)
     assert counts[400] < 6 * counts[100] and counts[400] < 400 * nd.BANDS < 400 * 399 / 2
+
+
+def test_rounds_of_components_leave_little_behind(spark):
+    """What a round has shuffled goes while later rounds still run."""
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(i, i) for i in range(5)] + [(3, 4)] * 3, "a long, b long")
+    spark._jvm.System.gc()
+    found = components(path)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(61)}
+    until = time.monotonic() + 10
+    while shuffles.size() > 12 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffles.size() <= 12

@@ -386,22 +386,27 @@ def links(
     shingles = _shingles_of(docs, suspects.select("node", "_doc"), key, text)
     found, roots = None, None
     for _ in range(2):  # within blocks, then across them
-        good = _verified(_askings(buckets, texts, roots), shingles, threshold)
-        found = stored(good if found is None else found.unionByName(good).dropDuplicates(["a", "b"]))
-        roots = _roots(found)
-        del good
+        good = stored(_verified(_askings(buckets, texts, roots), shingles, threshold))
+        release(spark)
+        found, roots = good if found is None else found.unionByName(good), _roots(good, roots)
         release(spark)
     lists = buckets.groupBy("node").agg(F.collect_set("band").alias("bands"))  # a row per band at most
     info = stored(_packed(lists.join(texts.select("node", "sketch"), "node")))
     undecided = stored(_undecided(buckets, info, roots))
+    release(spark)
     if not undecided.isEmpty():
-        found = stored(found.unionByName(_decided(undecided, info, shingles, threshold)).dropDuplicates(["a", "b"]))
-        roots = _roots(found)
-    return described, found, roots
+        good = stored(_decided(undecided, info, shingles, threshold))
+        found, roots = found.unionByName(good), _roots(good, roots)
+        release(spark)
+    return described, found.dropDuplicates(["a", "b"]), roots
 
 
-def _roots(found: DataFrame) -> DataFrame:
-    return stored(components(found).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
+def _roots(links: DataFrame, known: DataFrame | None) -> DataFrame:
+    """node and root of every node that the links, or those that made the known roots, join to another one."""
+    edges = links.select("a", "b")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return stored(components(edges).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:

@@ -93,3 +93,15 @@ def test_chunks_are_encoded_like_whole_texts():
     for _ in range(2):
         got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
         assert got == [x.ids for x in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_remembered_once(monkeypatch):
+    """Words and chunks share one bounded memory, and ids stay those of the tokenizer when it is full."""
+    monkeypatch.setattr("voxelloom.llm.tokens.REMEMBERED", 300)
+    encode = ChunkEncoder(word_bpe())
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(3)) for n in range(1200)]
+    texts = [" ".join(f"{a} {a.title()}, {a}\x00 x{n}²" for a in names[n : n + 4]) for n in range(0, 1200, 4)] + ["\xad a\xad, É,é É", "\x1c, b"]
+    for text in texts * 2:
+        expected = np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encode([text]) == [expected]
+    assert sum(len(x) for x in vars(encode).values() if isinstance(x, dict)) < 300 + 30

@@ -9,8 +9,8 @@ from operator import is_
 
 import numpy as np
 
-#: Chunks, and words, that one Python worker remembers.
-REMEMBERED = 400_000
+#: Chunks, and the words in them, that one Python worker remembers.
+REMEMBERED = 300_000
 #: Words that are encoded as one text.
 JOINED = 64
 #: Characters on which Python and the tokenizer disagree as to white space.
@@ -38,8 +38,7 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # words and what follows them are chunks, too
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -58,26 +57,40 @@ class ChunkEncoder:
         return found
 
     def _encode_chunks(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        split, whole = {}, []
+        known, split, words, others = self.chunks, [], set(), set()
+        new: dict[str, bytes] = {}
+        letters, beyond = _LETTERS.match, _BEYOND_LATIN.search
         for chunk in chunks:
             low = chunk.lower()
-            match = None if _BEYOND_LATIN.search(chunk) else _LETTERS.match(low)
-            rest = low[match.end() :] if match else ""
-            if match and match.group().isalpha() and (not rest or rest[0].isascii()):
-                split[chunk] = (match.group(), rest)
-            else:
-                whole.append(chunk)
-        rests = {rest for _, rest in split.values()} - {""}
-        new = self._encode_words({word for word, _ in split.values() if word not in self.words})
-        others = list({rest for rest in rests if rest not in self.words} | set(whole))
-        new_others = dict(zip(others, self._encode(others), strict=True)) if others else {}
-        words = self.words
-        if len(words) < REMEMBERED:
-            words |= new
-            words |= {rest: new_others[rest] for rest in rests if rest in new_others}
-        of = lambda x: words[x] if x in words else new.get(x) or new_others[x]
-        found = {chunk: of(word) + of(rest) if rest else of(word) for chunk, (word, rest) in split.items()}
-        return found | {chunk: new_others[chunk] for chunk in whole}
+            if low.isalpha() and not beyond(chunk):
+                if low in known:
+                    new[chunk] = known[low]
+                else:
+                    words.add(low)
+                    if low != chunk:
+                        split.append((chunk, low, ""))
+                continue
+            match = None if beyond(chunk) else letters(low)
+            if match:
+                word = match.group()
+                rest = low[len(word) :]
+                if word.isalpha() and rest[0].isascii():
+                    split.append((chunk, word, rest))
+                    if word not in known:
+                        words.add(word)
+                    if rest not in known:
+                        others.add(rest)
+                    continue
+            others.add(chunk)
+        fresh = self._encode_words(words)
+        names = list(others)
+        if names:
+            fresh |= zip(names, self._encode(names), strict=True)
+        of = lambda x: known[x] if x in known else fresh[x]
+        for chunk, word, rest in split:
+            new[chunk] = of(word) + of(rest) if rest else of(word)
+        # words and what follows them come again in other chunks
+        return new | fresh
 
     def _whole(self, text: str) -> bool:
         return any(c in text for c in _ODD) or any(s in text for s in self.special)

@@ -210,3 +210,32 @@ def test_payloads_of_few_requests_are_read_in_place_and_pruned(spark, tmp_path):
     before_python = plan[plan.index("_cut_wanted" if "_cut_wanted" in plan else "MapInArrow") :]
     assert "Generate explode(sequence" not in before_python.split("FileScan")[0]
     assert (stack_of(out.first()) == volume[5:7, 5:7, 5:7]).all()
+
+
+def test_many_small_pieces_are_held_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from voxelloom.operators.blocks import PieceBuffer
+
+    names = ["req_id", *[f"c{n}" for n in range(20)]]
+    buffer, held, out = PieceBuffer(pa.schema([*[(c, pa.int64()) for c in names], ("pixels", pa.binary())]), held_bytes=8 << 20), 0, []
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for n in range(40_000):
+            # the second copy of a piece merges with the first while that is held
+            for value in (n % 250, 1 + n % 250):
+                for batch in buffer.add((n, *range(300, 320)), np.full((2, 3, 4), value, np.uint8)):
+                    out += zip(batch.column("req_id").to_pylist(), batch.column("pixels").to_pylist())
+            held = max(held, len(buffer.pieces))
+            if n == 7_000:
+                most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert most <= 8 << 20 and held <= 8 << 10
+    for batch in buffer.flush():
+        out += zip(batch.column("req_id").to_pylist(), batch.column("pixels").to_pylist())
+    assert {n for n, _ in out} == set(range(40_000))
+    assert all(max(v for k, v in out if k == n) == bytes([1 + n % 250] * 24) for n in (0, 9_999, 39_999))
